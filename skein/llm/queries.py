@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "sharding", "quality")
+MODULES = ("mixing", "sharding", "quality", "toxicity", "fingerprints")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
