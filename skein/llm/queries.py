@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "sharding", "quality", "toxicity", "fingerprints")
+MODULES = ("mixing", "sharding", "quality", "toxicity", "fingerprints", "sstable")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
