@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "sharding", "quality", "toxicity", "fingerprints", "sstable")
+MODULES = ("dedup", "mixing", "sharding", "quality", "toxicity", "fingerprints", "sstable", "packing")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
