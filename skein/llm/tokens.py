@@ -6,9 +6,12 @@ joining the ids equals encoding the whole text.  Frequent units are remembered;
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
+from array import array
+from itertools import chain
 
 import numpy as np
 
@@ -26,10 +29,19 @@ _UNIT = re.compile(
     rf"|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+",  # white space but its last character, then that one
     re.ASCII,
 )
+#: For tokenizers that fold case and drop white space: the same places, without the white space.
+_FOLDED = re.compile(
+    rf"[{LATIN}]++(?=[\x00-\x7f]|\Z)" r"|[!-&(-/:-@\[-`{-~]++(?=[\sA-Za-z0-9]|\Z)" rf"|[^{WHITE}]+",
+    re.ASCII,
+)
+#: Characters whose lower case depends on nothing around them and is one character.
+_PLAIN = re.compile("[^\x00-\u012f\u0131-\u024f]")
 DEFAULT_FOLDER = "/opt/tokenizers"
 #: Units that one Python worker remembers; beyond it new units are encoded each time.
-MEMO_UNITS = 700_000
+MEMO_UNITS = 900_000
 MEMO_LENGTH = 40
+#: In the second half of the memo a unit gets a place when it is met again; slots of hashes tell.
+_SLOTS = (1 << 24) - 1
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -55,35 +67,51 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        steps = json.loads(self._tokenizer.to_str()).get("normalizer") or {}
+        self._folds = "Lowercase" in [n.get("type") for n in steps.get("normalizers", [steps])]
         self._memo: dict[str, bytes] = {}
-        self._memo_units = memo_units
+        self._memo_units, self._met = memo_units, bytearray(_SLOTS + 1)
+
+    def _cut(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if self._folds:
+            return _FOLDED.findall(text if _PLAIN.search(text) else text.lower())
+        return _UNIT.findall(text)
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         memo, out = self._memo, []
         for i in range(0, len(texts), 256):
-            cut = [_UNIT.findall(t) if t else [] for t in texts[i : i + 256]]
+            cut = [self._cut(t) for t in texts[i : i + 256]]
             units = [u for own in cut for u in own]
             parts = list(map(memo.get, units))
             if missing := [k for k, ids in enumerate(parts) if ids is None]:
                 new = self._encode(list({units[k] for k in missing}))
                 for k in missing:
                     parts[k] = new[units[k]]
-                room = self._memo_units - len(memo)
-                if room > 0:
-                    memo.update((u, ids) for u, ids in list(new.items())[:room] if len(u) <= MEMO_LENGTH)
+                self._remember(new)
             at = 0
             for own in cut:
                 out.append(b"".join(parts[at : at + len(own)]))
                 at += len(own)
         return out
 
+    def _remember(self, new: dict[str, bytes]) -> None:
+        memo, met = self._memo, self._met
+        for unit, ids in new.items():
+            if len(unit) <= MEMO_LENGTH and len(memo) < self._memo_units:
+                slot = hash(unit) & _SLOTS
+                if met[slot] or 2 * len(memo) < self._memo_units:
+                    memo[unit] = ids
+                met[slot] = 1
+
     def _encode(self, units: list[str]) -> dict[str, bytes]:
         """Ids of distinct units, from the library."""
         found: dict[str, bytes] = {}
         for i in range(0, len(units), 4096):
             part = units[i : i + 4096]
             ids = [e.ids for e in self._tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            flat = np.fromiter((x for own in ids for x in own), dtype="<u4").tobytes()
+            flat = np.array(array("I", chain.from_iterable(ids)), "<u4").tobytes()
             at = 0
             for unit, own in zip(part, ids, strict=True):
                 found[unit] = flat[at : at + 4 * len(own)]
