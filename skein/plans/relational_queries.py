@@ -148,9 +148,9 @@ def versions_distinct(spark, d):
     return u.select(F.trim("v").alias("version")).where("version <> ''").distinct()
 
 
-@R.add("duplicate_pairs", "SELECT l_orderkey, count(*)::BIGINT AS n, count(DISTINCT (l_partkey, l_suppkey))::BIGINT AS n_distinct FROM lineitem GROUP BY l_orderkey HAVING count(*) <> count(DISTINCT (l_partkey, l_suppkey))")
+@R.add("duplicate_pairs", "SELECT l_orderkey, count(*)::BIGINT AS n, count(DISTINCT (l_suppkey % 5, l_linenumber))::BIGINT AS n_distinct FROM lineitem GROUP BY l_orderkey HAVING count(*) <> count(DISTINCT (l_suppkey % 5, l_linenumber))")
 def duplicate_pairs(spark, d):
-    out = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct(F.struct("l_partkey", "l_suppkey")).alias("n_distinct"))
+    out = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.count_distinct(F.struct(F.col("l_suppkey") % 5, "l_linenumber")).alias("n_distinct"))
     return out.where("n <> n_distinct")
 
 
@@ -170,9 +170,9 @@ def key_in_use(spark, d):
     return C.key_in_use(probes, read(spark, d, "customer").where("c_acctbal > 9900"), "c_nationkey")
 
 
-@R.add("search_contains", "SELECT p_partkey, p_name FROM part WHERE contains(p_name, '1') AND contains(lower(p_type), 'a')")
+@R.add("search_contains", "SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'ing') AND contains(lower(p_type), 'a')")
 def search_contains(spark, d):
-    part = read(spark, d, "part").where(F.contains("p_name", F.lit("1")) & F.contains(F.lower("p_type"), F.lit("a")))
+    part = read(spark, d, "part").where(F.contains("p_name", F.lit("ing")) & F.contains(F.lower("p_type"), F.lit("a")))
     return part.select("p_partkey", "p_name")
 
 
@@ -187,21 +187,21 @@ def missing_ids(spark, d):
     return asked.join(read(spark, d, "part").where("p_size < 25"), F.col("l_partkey") == F.col("p_partkey"), "left_anti")
 
 
-@R.add("tags_any", "SELECT p_partkey FROM part WHERE list_has_any(list_transform(string_split(p_type, ' '), lambda x: lower(x)), ['brass', 'tin'])")
+@R.add("tags_any", "SELECT p_partkey FROM part WHERE list_has_any(list_transform(string_split(p_name, ' '), lambda x: lower(x)), ['ring', 'bolt'])")
 def tags_any(spark, d):
-    return read(spark, d, "part").where(T.has_any_tag(F.split("p_type", " "), [" Brass", "TIN"])).select("p_partkey")
+    return read(spark, d, "part").where(T.has_any_tag(F.split("p_name", " "), [" Ring", "BOLT"])).select("p_partkey")
 
 
-@R.add("tags_all", "SELECT p_partkey FROM part WHERE list_has_all(list_transform(string_split(p_type, ' '), lambda x: lower(x)), [lower(string_split((SELECT min(p_type) FROM part), ' ')[1])])")
+@R.add("tags_all", "SELECT p_partkey FROM part WHERE list_has_all(list_transform(string_split(p_name, ' '), lambda x: lower(x)), [lower(string_split((SELECT min(p_name) FROM part), ' ')[1])])")
 def tags_all(spark, d):
-    first = read(spark, d, "part").agg(F.min("p_type").alias("m")).first()["m"]
-    return read(spark, d, "part").where(T.has_all_tags(F.split("p_type", " "), [first.split(" ")[0] if first else ""])).select("p_partkey")
+    first = read(spark, d, "part").agg(F.min("p_name").alias("m")).first()["m"]
+    return read(spark, d, "part").where(T.has_all_tags(F.split("p_name", " "), [first.split(" ")[0] if first else ""])).select("p_partkey")
 
 
-@R.add("tags_distinct", """WITH t AS (SELECT unnest(string_split(p_type, ' ')) AS t FROM part)
+@R.add("tags_distinct", """WITH t AS (SELECT unnest(string_split(p_name, ' ')) AS t FROM part)
   SELECT lower(t) AS key, min(t) AS tag, count(*)::BIGINT AS n FROM t WHERE trim(t) <> '' GROUP BY lower(t)""")
 def tags_distinct(spark, d):
-    return C.distinct_tags(read(spark, d, "part"), F.split("p_type", " "))
+    return C.distinct_tags(read(spark, d, "part"), F.split("p_name", " "))
 
 
 @R.add("seq_next", """SELECT o_orderpriority, (coalesce(max(o_orderkey), 0) + 1)::BIGINT AS next_number, 'KFR-' || o_orderpriority || '-' || lpad((coalesce(max(o_orderkey), 0) + 1)::VARCHAR, 6, '0') AS next_id
