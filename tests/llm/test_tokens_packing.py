@@ -1,0 +1,103 @@
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from skein.llm import packing as P
+from skein.llm import sstable as B
+from skein.llm.common import scratch_path
+from skein.llm.tokens import Encoder, tokenizer_path
+
+from .conftest import ROWS
+
+tokenizers = pytest.importorskip("tokenizers")
+FILES = ["byte_bpe_50k.json", "word_bpe_49k.json"]
+
+
+def direct(name):
+    t = tokenizers.Tokenizer.from_file(tokenizer_path(name))
+    t.encode_special_tokens = True
+    return lambda texts: [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+_direct, _own = {n: direct(n) for n in FILES}, {n: Encoder(tokenizer_path(n), memo_units=50) for n in FILES}
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("ab'sté , .\n\t\r\x1c\x85   　ΣςİéÉ中😀0²<|>AB_-’́") + ["<|endoftext|>", "'ll"]), max_size=30), min_size=1, max_size=5))
+def test_units_encode_as_whole_texts(texts):
+    for n in FILES:
+        assert [np.frombuffer(b, "<u4").tolist() for b in _own[n].encode_batch(texts)] == _direct[n](texts)
+
+
+def expected(name, end):
+    ids = _direct[name]([t or "" for _, t, *_ in ROWS])
+    return [(r[0], np.array(x + [end], "<u4")) for r, x in zip(ROWS, ids)]
+
+
+def test_sstable_round_trip(spark, docs, none, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_BYTES", 512)
+    path = tokenizer_path(FILES[0])
+    manifest = B.write_shards(docs, scratch_path(spark, "t"), path)
+    rows = sorted(B.read_shards(manifest).collect(), key=lambda r: r.start)
+    want = sorted(expected(FILES[0], 0), key=lambda x: (x[0] is not None, x[0] or 0))
+    assert [r.doc_id for r in rows] == [i for i, _ in want]
+    at = 0
+    for r in rows:
+        assert r.start == at and r.n_tokens * 4 == len(r.ids) and r.ids_crc32 == zlib.crc32(r.ids)
+        at += r.n_tokens
+    assert sorted(bytes(r.ids) for r in rows) == sorted(x.tobytes() for _, x in want)
+    found = B.lookup(manifest, spark.createDataFrame([(12,), (5,), (999,), (None,)], "doc_id long")).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in found) == [(False, 5), (False, 12), (False, 12), (True, 0)]
+    assert {bytes(r.ids) for r in found if r.doc_id == 5} == {x.tobytes() for i, x in want if i == 5}
+    assert B.read_shards(B.write_shards(none, scratch_path(spark, "t"), path)).count() == 0
+
+
+def test_shard_file_lookup():
+    sink = pa.BufferOutputStream()
+    w = B.Writer(sink)
+    for i in range(0, 3000, 3):
+        w.add(B.key_of(i - 500), np.arange(i % 50, dtype="<u4") + 70_000 * (i % 2))
+    assert w.close()[0] == 1000
+    r = B.Reader(pa.BufferReader(sink.getvalue()))
+    assert [x.tolist() for x in r.get(-500 + 33)] == [(np.arange(33) + 70_000).tolist()]
+    assert r.get(-499) == [] and sum(r.may_have(i) for i in range(10_000, 11_000)) < 50
+    assert [i for i, _ in r] == [i - 500 for i in range(0, 3000, 3)]
+
+
+def test_pieces(docs, none):
+    out = P.pack(docs, tokenizer_path(FILES[1]), sequence=256)
+    rows = out.collect()
+    sequences = {}
+    for r in rows:
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.length
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length, r.sequence_tokens))
+    for own in sequences.values():
+        own.sort()
+        assert [o for o, *_ in own] == [sum(x[1] for x in own[:k]) for k in range(len(own))]
+        total = sum(x[1] for x in own)
+        assert total == own[0][2] <= 256 and total & (total - 1) == 0
+    joined = []
+    for start in sorted(rows, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.doc_tokens, r.start)):
+        joined.append(start)
+    whole = {}
+    for r in joined:
+        whole.setdefault((r.doc_id, r.doc_tokens), []).append(r)
+    for i, ids in expected(FILES[1], 2):
+        own = whole[(i, len(ids))]
+        copies = sum(1 for x in ROWS if x[0] == i)
+        assert sum(r.length for r in own) == copies * len(ids)
+        for r in own:
+            assert bytes(r.ids) == ids[r.start : r.start + r.length].tobytes()
+    assert P.pack(none, tokenizer_path(FILES[1])).count() == 0
+
+
+def test_hilbert_curve_steps(monkeypatch):
+    monkeypatch.setattr(P, "BITS", 2)
+    grid = np.stack(np.meshgrid(*[np.arange(4)] * 4), -1).reshape(-1, 4)
+    key = P.hilbert(grid)
+    path = grid[np.argsort(key)]
+    assert len(set(key.tolist())) == 256 and (np.abs(np.diff(path, axis=0)).sum(axis=1) == 1).all()
