@@ -30,6 +30,8 @@ from .hashing import Words, grams, mix
 BACKOFF = 0.4
 #: Bytes of text in a block, and of text whose n-grams meet in one range of the count table, about.
 BLOCK_BYTES = 12 << 20
+#: 56 bits of each hash travel: at a billion different n-grams one in 70 million shares its count with another.
+_KEPT = np.uint64(0xFFFFFFFFFFFFFF00)
 _OUT = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, log_score double"
 _NO_ID = -(1 << 63)
 
@@ -54,31 +56,49 @@ def _ranges(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
 
 def _orders(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unigrams, bigrams and trigrams of a block's documents, one after the other."""
-    return tuple(np.concatenate([f(w) for w in words]) if words else np.empty(0, np.uint64) for f in (mix, lambda w: grams(w, 2), lambda w: grams(w, 3)))
-
-
-def _score(words: np.ndarray, look, others: float) -> tuple[int, int, int, float]:
-    """How many words a document scores by trigram, bigram and unigram, and its log score."""
-    n = len(words)
-
-    def left(hashes: np.ndarray) -> np.ndarray:
-        """Counts in other rows, by position."""
-        own, back, times = np.unique(hashes, return_inverse=True, return_counts=True)
-        return (look(own) - times)[back].astype(float)
-
-    c1, c2, c3 = left(mix(words)), left(grams(words, 2)), left(grams(words, 3))
-    unigram = np.where(c1 > 0, c1, 1.0) / np.where(c1 > 0, others, others + 1.0)
-    score, order = unigram.copy(), np.ones(n, int)
-    if n > 1:
-        known = c2 > 0
-        score[1:] = np.where(known, c2 / np.maximum(c1[:-1], 1), BACKOFF * unigram[1:])
-        order[1:] = np.where(known, 2, 1)
-    if n > 2:
-        known = c3 > 0
-        score[2:] = np.where(known, c3 / np.maximum(c2[:-1], 1), BACKOFF * score[2:])
-        order[2:] = np.where(known, 3, order[2:])
-    by = np.bincount(order, minlength=4)
-    return int(by[3]), int(by[2]), int(by[1]), float(np.log(score).sum())
+    makers = (mix, lambda w: grams(w, 2), lambda w: grams(w, 3))
+    return tuple(np.concatenate([f(w) for w in words]) & _KEPT if words else np.empty(0, np.uint64) for f in makers)
+
+
+def _left(hashes: np.ndarray, doc: np.ndarray, sums: np.ndarray) -> np.ndarray:
+    """Counts of n-grams in other rows: those of the corpus, by rank of the hash, less those of the document itself.
+
+    A stable sort keeps documents in order among equal hashes, so the n-grams of one document are neighbours.
+    """
+    order = np.argsort(hashes, kind="stable")
+    ranked, owner = hashes[order], doc[order]
+    fresh = np.empty(len(order), bool)
+    fresh[:1] = True
+    np.not_equal(ranked[1:], ranked[:-1], out=fresh[1:])
+    del ranked
+    total = sums[np.cumsum(fresh) - 1]
+    fresh[1:] |= owner[1:] != owner[:-1]
+    starts = np.flatnonzero(fresh)
+    own = np.diff(starts, append=len(order))
+    out = np.empty(len(order), np.int64)
+    out[order] = total - np.repeat(own, own)
+    return out
+
+
+def _scores(words: list[np.ndarray], sums: np.ndarray, corpus: int) -> tuple[np.ndarray, ...]:
+    """Per document of a block: words scored by trigram, by bigram, by unigram, and the log score."""
+    size = np.array([len(w) for w in words])
+    n, doc = int(size.sum()), np.repeat(np.arange(len(words), dtype=np.int32), size)
+    rank = np.arange(n) - np.repeat(np.cumsum(size) - size, size)  # place in its document
+    second, third = np.flatnonzero(rank >= 1), np.flatnonzero(rank >= 2)
+    left = _left(np.concatenate(_orders(words)), np.concatenate([doc, doc[second], doc[third]]), sums)
+    c1, c2, c3 = left[:n], np.zeros(n, np.int64), left[n + len(second) :]
+    c2[second] = left[n : n + len(second)]
+    others = corpus - size[doc].astype(float)
+    score, by = np.where(c1 > 0, c1 / np.maximum(others, 1), 1 / (others + 1)), np.ones(n, np.int8)
+    known = c2[second] > 0
+    score[second] = np.where(known, c2[second] / np.maximum(c1[second - 1], 1), BACKOFF * score[second])
+    by[second[known]] = 2
+    known = c3 > 0
+    score[third] = np.where(known, c3 / np.maximum(c2[third - 1], 1), BACKOFF * score[third])
+    by[third[known]] = 3
+    count = lambda k: np.bincount(doc[by == k], minlength=len(words))
+    return count(3), count(2), count(1), np.bincount(doc, weights=np.log(score), minlength=len(words))
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -109,17 +129,11 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
     def finish(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         words = Words().of(pdf["text"].tolist())
-        hashes = np.unique(np.concatenate(_orders(words)))
         parts = [_spread(x) for x in answers.sort_values("range")["sums"]]
         sums = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
-
-        def look(own: np.ndarray) -> np.ndarray:
-            return sums[np.searchsorted(hashes, own)]
-
-        found = [_score(w, look, float(total - len(w))) if len(w) else (0, 0, 0, 0.0) for w in words]
-        return pd.DataFrame(
-            [(i, len(w), *f) for i, w, f in zip(pdf["doc_id"], words, found, strict=True)], columns=[c.split()[0] for c in _OUT.split(", ")]
-        )
+        three, two, one, score = _scores(words, sums, total)
+        found = {"doc_id": pdf["doc_id"].to_numpy(), "n_words": [len(w) for w in words], "n_trigram": three, "n_bigram": two, "n_unigram": one}
+        return pd.DataFrame(found | {"log_score": score})
 
     asked = rows.groupBy("block").applyInPandas(lists, "range int, block int, hashes binary, counts binary")
     told = asked.repartition(n, "range").groupBy("range").applyInPandas(add, "block int, range int, sums binary")
