@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import partitions, table
 from .hashing import mix
@@ -85,7 +86,7 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
             found = [winnow(t or "") for t in pdf[text]]
             yield pdf.assign(hashes=[h.astype(np.int64) for h, _ in found], places=[p for _, p in found])
 
-    inner = docs.schema.add("hashes", "array<bigint>").add("places", "array<bigint>")
+    inner = StructType([*docs.schema, *[StructField(c, ArrayType(LongType())) for c in ("hashes", "places")]])
     return docs.mapInPandas(run, inner)
 
 
