@@ -1,6 +1,6 @@
 """Packing along a space-filling curve.
 
-A document's hashed words, projected to a few dimensions by random signs, give a point; its place on a Hilbert curve is the
+A document's hashed tokens, projected to a few dimensions by random signs, give a point; its place on a Hilbert curve is the
 key of a range sort, so neighbours in the order are alike.  Each range is cut along the curve into sequences of SEQUENCE
 tokens; documents are cut where a sequence is full.  What is left at the end of a range becomes sequences of powers of two,
 which need no padding.
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, table
-from .hashing import MARKS, Words
+from .hashing import mix
 from .tokens import encoder, tokenizer_path
 
 SEQUENCE = 4096
@@ -33,14 +33,21 @@ _PIECES = (
 )
 
 
-def project(words: list[np.ndarray]) -> np.ndarray:
-    """A point per document: sums of random signs of its words, by the root of their number, squeezed to 0 .. 2 ** BITS - 1."""
-    out = np.zeros((len(words), DIMENSIONS))
-    for i, w in enumerate(words):
-        if len(w):
-            for d in range(DIMENSIONS):
-                out[i, d] = 2.0 * float(((w >> np.uint64(60 - d)) & np.uint64(1)).sum()) - len(w)
-            out[i] /= np.sqrt(len(w))
+def _signs(n: int) -> np.ndarray:
+    """A sign per hashed token and dimension, for the tokens below n."""
+    h = mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return np.stack([((h >> np.uint64(60 - d)) & np.uint64(1)).astype(np.float32) * 2 - 1 for d in range(DIMENSIONS)], axis=1)
+
+
+_SIGNS = _signs(1 << 16)
+
+
+def project(tokens: list[np.ndarray]) -> np.ndarray:
+    """A point per document: sums of signs of its hashed tokens, by the root of their number, squeezed to 0 .. 2 ** BITS - 1."""
+    out = np.zeros((len(tokens), DIMENSIONS))
+    for i, ids in enumerate(tokens):
+        if len(ids):
+            out[i] = _SIGNS[ids & 0xFFFF].sum(axis=0) / np.sqrt(len(ids))
     squeezed = 0.5 + np.arctan(out / 2) / np.pi
     return np.minimum(squeezed * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
 
@@ -75,7 +82,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, curve (the Hilbert key), ids (little-endian, 2 bytes each where all fit, else 4; width tells)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cut, encode, end = Words(MARKS), encoder(path).encode_batch, np.array([end_id], "<u4").tobytes()
+        encode, end = encoder(path).encode_batch, np.array([end_id], "<u4").tobytes()
         for pdf in frames:
             for at in range(0, len(pdf), 512):
                 part = pdf.iloc[at : at + 512]
@@ -83,7 +90,7 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
                 ids = [np.frombuffer(b + end, "<u4") for b in encode(texts)]
                 width = [2 if int(x.max()) < 1 << 16 else 4 for x in ids]
                 yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64"), "curve": hilbert(project(cut.of(texts))), "width": width,
+                    "doc_id": part["doc_id"].astype("Int64"), "curve": hilbert(project(ids)), "width": width,
                     "ids": [x.astype(f"<u{w}").tobytes() for x, w in zip(ids, width, strict=True)],
                 })
 
