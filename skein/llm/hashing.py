@@ -47,11 +47,15 @@ class Words:
 
     def _hash(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and starts of the words of a buffer."""
+        return self.located(data)[:2]
+
+    def located(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes, starts and ends of the words of a buffer."""
         inside = self._inside[data]
         edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
         starts, ends = edges[::2], edges[1::2]
         if not len(starts):
-            return np.empty(0, np.uint64), starts
+            return np.empty(0, np.uint64), starts, ends
         self._grow(len(data) + 1)
         with np.errstate(over="ignore"):
             sums = np.empty(len(data) + 1, np.uint64)
@@ -59,7 +63,7 @@ class Words:
             np.cumsum(self._lower[data] * self._powers[: len(data)], out=sums[1:])
             h = (sums[ends] - sums[starts]) * self._inverse[starts]
             h += (ends - starts).astype(np.uint64) * _U(0x9E3779B97F4A7C15)
-        return mix(h), starts
+        return mix(h), starts, ends
 
     def of(self, texts: list[str | None]) -> list[np.ndarray]:
         """The hashes of the words of each text, in order; none for a null or empty text."""
