@@ -178,18 +178,16 @@ def semantic_id(*parts: Column | str) -> Column:
     return F.when(F.contains(value, F.lit("::")) | F.startswith(value, F.lit(":")) | F.endswith(value, F.lit(":")), F.raise_error(F.concat(F.lit("empty part in "), value))).otherwise(value)
 
 
-def truncate_utf8(c: Column | str, max_bytes: int) -> Column:
+def truncate_utf8(c: Column | str, max_bytes: Column | int) -> Column:
     """The longest prefix of at most so many UTF-8 bytes that ends between characters."""
     raw = F.encode(_col(c), "UTF-8")
-    # the first byte left out is a continuation (10xxxxxx) iff the cut falls inside a character: step back to its lead byte
-    cut = lambda n: F.substring(raw, 1, n)
-    def inside(n):
-        return (F.conv(F.hex(F.substring(raw, n + 1, 1)), 16, 10).cast("int")).between(0x80, 0xBF)
-    choice = F.when(F.octet_length(_col(c)) <= max_bytes, raw)
-    for back in range(4):
-        if max_bytes - back >= 0:
-            choice = choice.when(~inside(max_bytes - back), cut(max_bytes - back))
-    return F.decode(choice, "UTF-8")
+    most = F.lit(max_bytes) if isinstance(max_bytes, int) else max_bytes.cast("int")
+    out = F.when(F.octet_length(_col(c)) <= most, raw)
+    for back in range(4):  # a cut is inside a character iff a continuation byte (10xxxxxx) comes next
+        n = most - back
+        follows = F.conv(F.hex(F.substring(raw, n + 1, F.lit(1))), 16, 10).cast("int")
+        out = out.when((n >= 0) & ~follows.between(0x80, 0xBF), F.substring(raw, F.lit(1), n))
+    return F.decode(out, "UTF-8")
 
 
 def parse_iso_or_min(c: Column | str) -> Column:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.text import cosine, estimate_tokens, is_blank
 
@@ -59,6 +61,19 @@ def filter_tree(must: Sequence[Column] = (), should: Sequence[Column] = (), must
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def with_embedding(df: DataFrame, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]], dim: int, text: str = "text") -> DataFrame:
+    """df with `embedding` from a plug-in that maps a batch of texts to vectors of dim numbers; another length is an error."""
+
+    @F.pandas_udf(ArrayType(FloatType()))
+    def run(texts: pd.Series) -> pd.Series:
+        vectors = list(embed(texts.fillna("").tolist()))
+        if any(len(v) != dim for v in vectors):
+            raise ValueError(f"a vector is not of {dim} numbers")
+        return pd.Series(vectors)
+
+    return df.withColumn("embedding", run(F.col(text)))
+
+
 def with_score(points: DataFrame, query: Sequence[float] | DataFrame, vector: str = "embedding") -> DataFrame:
     """points with the cosine score against a literal vector, or the vector `q` of a one-row DataFrame."""
     if isinstance(query, DataFrame):

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import truncate_utf8
+
 #: Extensions that count as binary, largest file, transcript line (fixed values).
 BINARY = "dll exe pdb png jpg jpeg gif bmp ico zip gz 7z tar pdf woff woff2 ttf eot mp3 mp4 avi mov so dylib bin class jar nupkg snk".split()
 MAX_FILE = 50 * 1024
@@ -92,21 +94,19 @@ def restore_transcript(spark: SparkSession, path: str, schema: str, org: str, se
 
 
 def capped_record(turns: DataFrame, max_bytes: int = MAX_LINE, note: str = " [truncated]") -> DataFrame:
-    """turns (instructions, answer) whose JSON line fits: first the answer is cut, then the instructions, each with the note."""
+    """turns (instructions, answer) whose JSON line fits: first the answer is cut, then the instructions, each with the note.
+
+    The excess is taken off in bytes of the text; where many of its characters are escaped in JSON more is cut than needed.
+    """
     out = turns
     for column in ("answer", "instructions"):
         size = F.octet_length(F.to_json(F.struct(*[F.col(c) for c in turns.columns])))
         room = F.greatest(F.octet_length(F.col(column)) - (size - max_bytes) - len(note), F.lit(0))
-        short = F.concat(truncate_to(F.col(column), room), F.lit(note))
+        short = F.concat(truncate_utf8(F.col(column), room), F.lit(note))
         out = out.withColumn(column, F.when(size > max_bytes, short).otherwise(F.col(column)))
     return out
 
 
-def truncate_to(text, n_bytes):
-    """A prefix of at most so many bytes, by a column; cuts at code points of four bytes in the worst case."""
-    return F.when(F.octet_length(text) <= n_bytes, text).otherwise(F.substring(text, F.lit(1), F.floor(n_bytes / 4).cast("int")))
-
-
 def write_archive(df: DataFrame, path: str) -> None:
     """Rows as JSON with their SHA-256."""
     body = F.to_json(F.struct(*df.columns))

@@ -140,6 +140,14 @@ def test_files(spark, tmp_path):
     assert files.load_state(spark, str(tmp_path / "none"), "a int").count() == 0
 
 
+def test_capped_record(spark):
+    rows = [(1, "in", "a" * 50), (2, "i" * 500, "é" * 400), (3, "in", None), (4, "i" * 30, '"' * 300)]
+    out = files.capped_record(spark.createDataFrame(rows, "id int, instructions string, answer string"), 200)
+    got = {r.id: r for r in out.withColumn("n", F.octet_length(F.to_json(F.struct("id", "instructions", "answer")))).collect()}
+    assert got[1].answer == "a" * 50 and got[3].answer is None and all(r.n <= 200 for r in got.values())
+    assert got[2].answer == " [truncated]" and got[2].instructions.endswith("[truncated]")
+
+
 LINES = ["event: response.output_text.delta", 'data: {"delta":"a"}', "", 'data: {"type":"response.output_text.delta","delta":{"text":"b"}}', "",
          'data: {"type":"x.output_text.delta","output_text":{"delta":{"text":"c"}}}', "event: response.completed", 'data: {"response":{"id":"r1"}}', "", "data: [DONE]", "data: late"]
 
