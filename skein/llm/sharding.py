@@ -59,11 +59,10 @@ def directory(rows: DataFrame, max_bytes: int) -> DataFrame:
             break
         active = rows.withColumn("root", prefix(F.col("h"), top)).join(more, "root")
         deep = top
-        found[-1] = found[-1].where(F.col("depth") <= top)
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)
-    return out.dropDuplicates(["depth", "shard"])
+    return out
 
 
 def shard_documents(docs: DataFrame, max_bytes: int = SHARD_BYTES, key: str = "doc_id", payload: str = "text") -> DataFrame:
