@@ -1,4 +1,4 @@
-"""Connected components of a graph of links, by rounds of least labels with pointer jumping."""
+"""Connected components of a graph of links, by contraction to least neighbours."""
 
 from __future__ import annotations
 
@@ -11,19 +11,26 @@ from .common import materialize
 def components(links: DataFrame) -> DataFrame:
     """node and comp, the least node that it reaches, for each node of links (a, b).
 
-    Each round a node takes the least label among its neighbours and itself, then the label of that label, so paths halve;
-    labels are a table of the shared folder after each round.  The minimum is partly taken before the shuffle, so a node of
-    very many links is no burden to one task.
+    Each round a node goes to its least neighbour, then on to where that one goes, and links follow their ends; links
+    inside a group vanish, so the graph shrinks and a star is done in one round.  The minimum is partly taken before the
+    shuffle, so a node of very many links is no burden to one task.  What a round leaves is a table of the shared folder.
     """
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = materialize(both.where("a <> b").distinct(), "links")
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("comp")).select(F.col("a").alias("node"), "comp"), "labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("near"))
-        hooked = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("comp"))
-        target = labels.select(F.col("node").alias("comp"), F.col("comp").alias("far"))
-        jumped = hooked.join(target, "comp").select("node", "old", F.least("comp", "far").alias("comp"))
-        jumped = materialize(jumped, "labels")
-        labels = jumped.select("node", "comp")
-        if not jumped.where("old <> comp").take(1):
-            return labels
+    edges = materialize(_distinct(links.select("a", "b")), "links")
+    labels = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    labels = labels.withColumn("comp", F.col("node"))
+    while edges.take(1):
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        step = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up"))
+        further = step.select(F.col("a").alias("up"), F.col("up").alias("top"))
+        step = materialize(step.join(further, "up").select("a", "top"), "links_up")
+        goes = step.select(F.col("a").alias("comp"), "top")
+        labels = labels.join(goes, "comp", "left").select("node", F.coalesce("top", "comp").alias("comp"))
+        labels = materialize(labels, "labels")
+        moved = edges.join(step, "a").select("b", F.col("top").alias("x"))
+        moved = moved.join(step, F.col("b") == F.col("a")).select(F.col("x").alias("a"), F.col("top").alias("b"))
+        edges = materialize(_distinct(moved), "links")
+    return labels
+
+
+def _distinct(edges: DataFrame) -> DataFrame:
+    return edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
