@@ -8,8 +8,11 @@ similar sets.  The steps:
 2. Bands of registers are bucket keys.  In each bucket the least class is the hub; the others are paired with it alone.
 3. A pair whose sizes exclude the threshold is dropped; so is one whose joint likelihood, with both sizes known, speaks
    against the threshold by far (CUT; about seven standard deviations).  The rest are verified on their full shingle sets.
-4. Verified links give components.  Buckets that still hold several components have the pairs across components tested
-   likewise, which can join any classes of a bucket that a hub did not; pairs within a component are never formed.
+4. Verified links give components.  In buckets that still hold several components, pairs across these are tested too, as a
+   hub need not be like two classes that are like each other.  Buckets of up to SMALL classes form those pairs.  Larger
+   ones, such as of documents that share a long passage, are compared by sketch in blocks of bounded size; what may be
+   linked there falls into families, and these are verified on full sets, again in bounded blocks.  A block returns only
+   the links that join components, so rows grow with classes and never with pairs.
 
 With 40 bands of 4 registers a pair of similarity 0.75 shares no bucket with probability 2.5e-7.
 
@@ -37,6 +40,10 @@ BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 #: SetSketch: base, rate and number of levels.
 BASE, RATE, LEVELS = 1.001, 20.0, (1 << 16) - 2
+#: Largest bucket whose pairs across components become rows; classes in a block of sketches and of full sets.
+SMALL, SKETCH_BLOCK, SET_BLOCK = 16, 512, 256
+#: Equal registers at least of a pair that may be linked; 7 standard deviations below those of the threshold.
+LEAST_EQUAL = 80
 #: Log-likelihood that the threshold may lie below the best similarity.
 CUT = 24.0
 _NO_ID = (1 << 63) - 1
@@ -71,18 +78,23 @@ def _log_likelihood(j: np.ndarray, greater, less, equal, u, v) -> np.ndarray:
     return greater * np.log(np.maximum(up, tiny)) + less * np.log(np.maximum(down, tiny)) + equal * np.log(np.maximum(1 - up - down, tiny))
 
 
-def plausible(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Whether the threshold is plausible for pairs of sketches (rows of a and b) of sets of known sizes."""
-    greater, less = (a > b).sum(axis=1)[:, None], (a < b).sum(axis=1)[:, None]
-    equal = REGISTERS - greater - less
-    # p(x) with the shares of each set in the joint size; the similarity can be min / max at most
-    u, v = (n_a / (n_a + n_b))[:, None], (n_b / (n_a + n_b))[:, None]
-    top = np.minimum(u / v, v / u)
-    grid = np.linspace(0, 1, 101)[None, :] * top
-    best = _log_likelihood(grid, greater, less, equal, u, v)
-    goal = _log_likelihood(np.minimum(SIMILARITY / 100, top), greater, less, equal, u, v)[:, 0]
-    peak = grid[np.arange(len(grid)), best.argmax(axis=1)]
-    return (peak >= SIMILARITY / 100) | (best.max(axis=1) - goal <= CUT)
+def plausible(greater: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """Whether the threshold is plausible for pairs of sketches, by the numbers of registers of the first that are greater
+    and less and the known sizes of the sets."""
+    out = REGISTERS - greater - less >= LEAST_EQUAL
+    for at in range(0, len(out), 4096):
+        part = np.flatnonzero(out[at : at + 4096]) + at
+        up, down = greater[part].astype(float)[:, None], less[part].astype(float)[:, None]
+        equal = REGISTERS - up - down
+        # shares of each set in the joint size; the similarity can be min / max at most
+        u, v = (n_a[part] / (n_a[part] + n_b[part]))[:, None], (n_b[part] / (n_a[part] + n_b[part]))[:, None]
+        top = np.minimum(u / v, v / u)
+        grid = np.linspace(0.4, 1, 31)[None, :] * top
+        best = _log_likelihood(grid, up, down, equal, u, v)
+        goal = _log_likelihood(np.minimum(SIMILARITY / 100, top), up, down, equal, u, v)[:, 0]
+        peak = grid[np.arange(len(grid)), best.argmax(axis=1)]
+        out[part] = (peak >= SIMILARITY / 100) | (best.max(axis=1) - goal <= CUT)
+    return out
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -129,12 +141,14 @@ def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def likely(r_a: pd.Series, r_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-        out = []
+        greater, less = [], []
         for at in range(0, len(r_a), 2048):
-            part = slice(at, at + 2048)
-            a, b = (np.frombuffer(b"".join(r.iloc[part]), "<u2").reshape(-1, REGISTERS) for r in (r_a, r_b))
-            out.append(plausible(a, b, n_a.iloc[part].to_numpy(float), n_b.iloc[part].to_numpy(float)))
-        return pd.Series(np.concatenate(out) if out else np.empty(0, bool))
+            a, b = (np.frombuffer(b"".join(r.iloc[at : at + 2048]), "<u2").reshape(-1, REGISTERS) for r in (r_a, r_b))
+            greater.append((a > b).sum(axis=1))
+            less.append((a < b).sum(axis=1))
+        if not greater:
+            return pd.Series([], dtype=bool)
+        return pd.Series(plausible(np.concatenate(greater), np.concatenate(less), n_a.to_numpy(float), n_b.to_numpy(float)))
 
     near = pairs.join(left, "a").join(right, "b")
     near = near.where(100 * F.least("n_a", "n_b") >= SIMILARITY * F.greatest("n_a", "n_b"))
@@ -145,17 +159,148 @@ def _linked(shared: Column, n_a: Column, n_b: Column) -> Column:
     return 100 * shared >= SIMILARITY * (n_a + n_b - shared)
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs that are links on their full sets; a is the side that many pairs share, so b's sets travel."""
-    pairs = materialize(_alike(pairs, classes), f"{name}_pairs")
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialize(_sets(docs, classes.join(nodes, "node").select("node", "rep", "set_id")), f"{name}_sets")
+def _linked_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b, n_a, n_b) that are links on their full sets; a is the side that many pairs share, so b's sets travel."""
     moved = pairs.join(sets.select(F.col("node").alias("b"), F.col("elements").alias("e_b")), "b")
     met = moved.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("e_a")), "a")
     shared = F.size(F.array_intersect("e_a", "e_b")).cast("long")
     return met.where(_linked(shared, F.col("n_a"), F.col("n_b"))).select("a", "b")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+
+
+def _block_pairs(rows: DataFrame, group: str, size: int) -> DataFrame:
+    """rows (group, node, n: the group's number of rows) once for each pair of blocks i <= j that its own block is in."""
+    blocks = F.ceil(F.col("n") / size).cast("int")
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
+
+
+def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of the two blocks that a group of _block_pairs compares."""
+    own, i, j = pdf["own"].to_numpy(), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    return np.flatnonzero(own == i), np.flatnonzero(own == j)
+
+
+def _open_pairs(pdf: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which pairs of rows a and b are across components, of sizes that allow a link, and not the mirror of another."""
+    comp, size = pdf["comp"].to_numpy(), pdf["n_shingles"].to_numpy(np.int64)
+    least, most = np.minimum(size[a][:, None], size[b]), np.maximum(size[a][:, None], size[b])
+    ok = (comp[a][:, None] != comp[b]) & (100 * least >= SIMILARITY * most)
+    return np.triu(ok, 1) if len(a) == len(b) and (a == b).all() else ok
+
+
+def _joining(labels: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
+    """Those pairs of rows that join different labels, one after the other: a forest."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.get(x, x) != x:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    out = []
+    for x, y in pairs.tolist():
+        p, q = top(int(labels[x])), top(int(labels[y]))
+        if p != q:
+            up[max(p, q)] = min(p, q)
+            out.append((x, y))
+    return out
+
+
+def _edges(pdf: pd.DataFrame, pairs: list[tuple[int, int]]) -> pd.DataFrame:
+    node = pdf["node"].to_numpy()
+    return pd.DataFrame({"a": [node[x] for x, _ in pairs], "b": [node[y] for _, y in pairs]}, dtype="int64")
+
+
+def _maybe_linked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Classes of two blocks that may be linked, directly or not, by their sketches: pairs with the least of each family.
+
+    Many buckets hold the same family; as its least class is mostly the same too, their pairs coincide.
+    """
+    pdf = pdf.sort_values("node", ignore_index=True)
+    a, b = _sides(pdf)
+    open_ = _open_pairs(pdf, a, b)
+    if not open_.any():
+        return _edges(pdf, [])
+    sketch = np.frombuffer(b"".join(pdf["registers"]), "<u2").reshape(-1, REGISTERS)
+    greater, less = np.zeros(open_.shape, np.int16), np.zeros(open_.shape, np.int16)
+    for k in range(REGISTERS):
+        x, y = sketch[a, k][:, None], sketch[b, k]
+        greater += x > y
+        less += x < y
+    at = np.argwhere(open_)
+    size = pdf["n_shingles"].to_numpy(float)
+    ok = plausible(greater[open_], less[open_], size[a[at[:, 0]]], size[b[at[:, 1]]])
+    at = at[ok]
+    top = list(range(len(pdf)))
+    for x, y in _joining(np.arange(len(pdf)), np.column_stack([a[at[:, 0]], b[at[:, 1]]])):
+        p, q = _root(top, x), _root(top, y)
+        top[max(p, q)] = min(p, q)
+    return _edges(pdf, [(p, x) for x in range(len(pdf)) if (p := _root(top, x)) != x])
+
+
+def _root(top: list[int], x: int) -> int:
+    while top[x] != x:
+        top[x] = x = top[top[x]]
+    return x
+
+
+def _surely_linked(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The links between two blocks of full sets that join components."""
+    a, b = _sides(pdf)
+    open_ = _open_pairs(pdf, a, b)
+    if not open_.any():
+        return _edges(pdf, [])
+    sets = [np.asarray(x, np.int64) for x in pdf["elements"]]
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner, column = owner[times[column] > 1], column[times[column] > 1]  # only elements of two sets or more
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros(open_.shape, np.float64)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, [at, at + 4096])
+        holds = np.zeros((len(sets), 4096), np.float32)
+        holds[owner[lo:hi], column[lo:hi] - at] = 1
+        shared += holds[a] @ holds[b].T
+    size = pdf["n_shingles"].to_numpy(np.int64)
+    shared = shared.astype(np.int64)
+    at = np.argwhere(open_ & (100 * shared >= SIMILARITY * (size[a][:, None] + size[b] - shared)))
+    return _edges(pdf, _joining(pdf["comp"].to_numpy(), np.column_stack([a[at[:, 0]], b[at[:, 1]]])))
+
+
+def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (a, b) between components that share a bucket; members has key, node and hub."""
+    rows = members.join(labels, "node", "left").select("key", "node", "hub", F.coalesce("comp", "node").alias("comp"))
+    rows = materialize(rows, "labelled")
+    mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi")
+    rows = rows.join(mixed.select("key", "n"), "key")
+
+    few = rows.where(F.col("n") <= SMALL).where("node <> hub")  # hubs have met all others
+    x, y = few.select("key", F.col("node").alias("x"), F.col("comp").alias("cx")), few.select("key", F.col("node").alias("y"), F.col("comp").alias("cy"))
+    pairs = x.join(y, "key").where("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = materialize(_alike(pairs, classes), "cross_pairs")
+
+    sketch = classes.select("node", "n_shingles", "registers")
+    many = rows.where(F.col("n") > SMALL).select("key", "node", "comp", "n").join(sketch, "node")
+    maybe = _block_pairs(many, "key", SKETCH_BLOCK).groupBy("key", "i", "j").applyInPandas(_maybe_linked, "a long, b long")
+    families = materialize(components(materialize(maybe.distinct(), "cross_maybe")), "cross_families").withColumnRenamed("comp", "family")
+
+    nodes = materialize(_ends(pairs).unionByName(families.select("node")).distinct(), "cross_nodes")
+    sets = materialize(_sets(docs, classes.join(nodes, "node").select("node", "rep", "set_id")), "cross_sets")
+    count = families.groupBy("family").agg(F.count("*").alias("n"))
+    comp = rows.select("node", "comp").distinct()
+    full = families.join(count, "family").join(comp, "node").join(classes.select("node", "n_shingles"), "node").join(sets, "node")
+    joined = _block_pairs(full, "family", SET_BLOCK).groupBy("family", "i", "j").applyInPandas(_surely_linked, "a long, b long")
+    return _linked_pairs(pairs, sets).unionByName(joined)
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
@@ -170,18 +315,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = materialize(bands.join(hubs, "key"), "members")
 
     stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    links = materialize(_verified(stars, classes, docs, "stars"), "star_links")
+    pairs = materialize(_alike(stars, classes), "star_pairs")
+    sets = materialize(_sets(docs, classes.join(_ends(pairs), "node").select("node", "rep", "set_id")), "star_sets")
+    links = materialize(_linked_pairs(pairs, sets), "star_links")
     labels = components(links)
-
-    # buckets that hold several components yet: pairs across these that no hub has tested
-    member = members.join(labels, "node", "left").select("key", "node", "hub", F.coalesce("comp", "node").alias("comp"))
-    member = materialize(member, "labelled")
-    mixed = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
-    left = member.join(mixed, "key")
-    x, y = left.alias("x"), left.alias("y")
-    cross = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.comp") < F.col("y.comp")) & (F.col("x.node") != F.col("x.hub")) & (F.col("y.node") != F.col("y.hub")))
-    cross = cross.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
-    more = materialize(_verified(cross, classes, docs, "cross"), "cross_links")
+    more = materialize(_across(members, labels, classes, docs), "cross_links")
     if more.take(1):
         labels = components(links.unionByName(more))
 
