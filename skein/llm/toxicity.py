@@ -4,7 +4,7 @@ Features are 32-bit hashes of single words, pairs of neighbours and pairs with o
 coordinate has its own rate and an L1 bound, so that few weights are not zero; only these are broadcast.
 
 The model is fitted on a bounded sample of labelled rows: at most TRAIN_ROWS by the hash of their id, in one task.  Texts
-reach it as feature hashes; a first pass counts how many texts have each, and features of fewer than MIN_TEXTS are left out.
+reach it as feature hashes; L1 alone selects among them, whatever the number of texts that have a feature.
 Scoring reads whole texts where they lie.
 
 Defined cases: a null or empty text has the score that the bias alone gives; labels that are null or absent are not used;
@@ -26,10 +26,10 @@ from .common import table
 from .hashing import MARKS, Words, batches, grams, mix
 
 TRAIN_ROWS = 12_000
-MIN_TEXTS = 8
 EPOCHS = 8
-#: FTRL-proximal: rate, its smoothing, L1 and L2.
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 6.0, 1.0
+#: FTRL-proximal: rate, its smoothing, L1 and L2; L1 has the least log loss on folds of the training rows of the 0.1 table
+#: among those that can give a weight to a feature of two texts.
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 14.0, 1.0
 THRESHOLD = 0.3
 
 
@@ -59,7 +59,8 @@ def fit(texts: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray,
     """Bias, features and weights that are not zero, from feature arrays in a fixed order."""
     flat = np.concatenate(texts) if texts else np.empty(0, np.uint32)
     keys, count = np.unique(flat, return_counts=True)
-    keys = keys[count >= MIN_TEXTS]
+    # each text moves z by less than 1 an epoch, so the others cannot pass L1: without them all weights are the same
+    keys = keys[count * EPOCHS > L1]
     rows = []
     for own in texts:
         at = np.searchsorted(keys, own)

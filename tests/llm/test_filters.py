@@ -97,3 +97,38 @@ def test_weights_are_few():
     bias, keys, weights = X.fit(texts, y)
     assert 7_000_000 in keys and len(keys) < 400 and weights[list(keys).index(7_000_000)] == weights.max()
     assert prose(1, 3) == prose(1, 3)
+
+
+def test_words_of_few_texts_are_learned():
+    r = np.random.default_rng(1)
+    texts = [np.unique(r.integers(1, 1 << 31, 60)).astype(np.uint32) for _ in range(400)]
+    y = np.array([float(i % 5 == 0) for i in range(400)])
+    few = 3_000_000_000
+    for i in (0, 100, 200, 300):  # in four toxic texts and in no other
+        texts[i] = np.append(texts[i], few).astype(np.uint32)
+    bias, keys, weights = X.fit(texts, y)
+    assert few in keys.tolist() and weights[keys.tolist().index(few)] > 0
+
+
+def test_left_out_features_would_have_no_weight(monkeypatch):
+    r = np.random.default_rng(2)
+    texts = [np.unique(r.integers(1, 3000, 40)).astype(np.uint32) for _ in range(300)]
+    y = np.array([float(i % 4 == 0) for i in range(300)])
+    monkeypatch.setattr(X, "L1", 10.0)
+    bias, keys, weights = X.fit(texts, y)
+    # the same with z kept for every feature
+    w, z, n = ({k: 0.0 for t in texts for k in t.tolist()} for _ in range(3))
+    b, b_n = float(np.log(y.mean() / (1 - y.mean()))), 1.0
+    for epoch in range(X.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(texts)):
+            own = texts[i].tolist()
+            g = 1 / (1 + np.exp(-(b + sum(w[k] for k in own)))) - y[i]
+            for k in own:
+                new = n[k] + g * g
+                z[k] += g - (np.sqrt(new) - np.sqrt(n[k])) / X.ALPHA * w[k]
+                n[k] = new
+                w[k] = (np.sign(z[k]) * X.L1 - z[k]) / ((X.BETA + np.sqrt(new)) / X.ALPHA + X.L2) if abs(z[k]) > X.L1 else 0.0
+            b_n += g * g
+            b -= 0.05 * g / np.sqrt(b_n)
+    want = {k: v for k, v in w.items() if v}
+    assert sorted(want) == keys.tolist() and np.allclose([want[k] for k in sorted(want)], weights) and np.isclose(b, bias)
