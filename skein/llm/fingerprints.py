@@ -1,13 +1,14 @@
 """Document fingerprints by winnowing.
 
 Each run of K code points has a rolling hash; of each window of W runs the least hash is chosen, the rightmost of equal
-ones; what is chosen is kept with its place.  Two texts that share K + W - 1 code points share a chosen hash.
+ones; what is chosen is kept with its place.  Two texts that share K + W - 1 code points share a chosen hash.  A short text
+has a narrower window, so that half of it spans one: from 2 K - 1 code points on, a text shares a chosen hash with any text
+of no greater length that has its first half.  Shorter ones share one only with texts that have a whole run of theirs.
 
 Documents meet their successor in descending order of doc_id by a range shuffle with one halo row per range.
 
 Defined cases: a null text is empty; an empty text has no fingerprint (an empty string), is like another empty one (1) and
-unlike any other (0); a text of fewer than K code points is one run, fewer than K + W - 1 are one window; a null doc_id
-comes last; rows with equal doc_id follow each other in the order of their texts; the successor of the last row is the
+unlike any other (0); a text of fewer than K code points is one run; a null doc_id comes last; rows with equal doc_id follow each other in the order of their texts; the successor of the last row is the
 first; in a table of one row it is the row itself; other columns are ignored.
 """
 
@@ -25,8 +26,8 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 from .common import partitions, table
 from .hashing import mix
 
-#: Code points in a run (a power of 2) and runs in a window (a power of 2).
-K, W = 16, 64
+#: Code points in a run (a power of 2) and most runs in a window.
+K, W = 8, 64
 _U = np.uint64
 _MULTIPLIER = 0x9FB21C651E98DF25
 _NO_ID = -(1 << 63)
@@ -35,10 +36,16 @@ _OUT = (
 )
 
 
-def winnow(text: str, k: int = K, w: int = W) -> tuple[np.ndarray, np.ndarray]:
-    """The chosen hashes (32 bits) of a text and their places, in order."""
+def width(n: int, k: int = K) -> int:
+    """Runs in a window of a text of n code points: W, or as many as the first half of a shorter text holds."""
+    return max(1, min(W, (n + 1) // 2 - k + 1))
+
+
+def winnow(text: str, k: int = K, w: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen hashes (32 bits) of a text and their places, in order; windows of w runs, or by the text's length."""
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     n = len(points)
+    w = w or width(n, k)
     if not n:
         return np.empty(0, np.uint32), np.empty(0, np.int64)
     with np.errstate(over="ignore"):
@@ -111,7 +118,7 @@ def with_successor(docs: DataFrame, n: int) -> DataFrame:
     return rows.join(F.broadcast(halos), "id", "left").select("id", "text", F.inline(F.array_compact(F.array(own, more))))
 
 
-def compare_successive(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
+def compare_successive(docs: DataFrame, k: int = K, w: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): its fingerprint, that of its edited text, and how like they are."""
     n = partitions(docs.sparkSession)
     rows = with_successor(docs, n).repartition(n, "range").sortWithinPartitions("range", "halo", F.desc("id"), "text")
@@ -150,7 +157,7 @@ def compare_successive(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
 
 
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, runs of 16 code points, windows of 64."""
+    """All documents, runs of 8 code points, windows of up to 64."""
     return compare_successive(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 

@@ -39,6 +39,17 @@ def test_shared_passage_shares_a_hash():
     assert set(a.tolist()) & set(b.tolist())
 
 
+def test_short_texts_share_a_hash_with_their_edited_text(spark):
+    rows = [(n, prose(n, 200)[:n]) for n in range(15, 200)]
+    rows += [(300 + 2 * i, prose(700 + i, 40)[: 20 + 5 * i]) for i in range(20)] + [(301 + 2 * i, "") for i in range(20)]
+    got = P.compare_successive(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and [r.doc_id for r in got if r.n_chars >= 15 and not r.near_edited > 0] == []
+    for n in (1, 8, 15, 16, 31, 78, 141, 142, 143, 500):
+        text = prose(n, 200)[:n]
+        hashes, places = P.winnow(text)
+        assert list(zip(hashes.tolist(), places.tolist())) == plain_winnow(text, P.K, P.width(n))
+
+
 def test_successors(docs, none, spark):
     rows = sorted(((i if i is not None else -(1 << 63), t or "") for i, t, *_ in ROWS), key=lambda r: (-r[0], r[1]))
     want = []
