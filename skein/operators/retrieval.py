@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,6 +15,8 @@ from pyspark.sql.types import ArrayType, FloatType
 from ..functions.text import cosine, estimate_tokens, is_blank
 
 KEEP = 8
+#: Points and queries that are scored at once, and queries whose scores are summed together.
+POINT_BLOCK, QUERY_BLOCK, _STRIP = 4096, 1024, 64
 
 
 def fetch_limit(k: int = KEEP) -> int:
@@ -86,6 +89,79 @@ def top_k(scored: DataFrame, k: int, tie: str = "vec_id") -> DataFrame:
     return scored.orderBy(F.desc_nulls_last("score"), F.asc(tie)).limit(k)
 
 
+def _scores(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
+    """Cosines of all pairs, products summed in the order of the numbers, so that equal vectors have equal scores."""
+    out, norms = np.empty((len(queries), len(points))), [np.zeros(len(points)), np.zeros(len(queries))]
+    for norm, x in zip(norms, (points, queries), strict=True):
+        for j in range(x.shape[1]):
+            norm += x[:, j] * x[:, j]
+    columns = np.ascontiguousarray(points.T)
+    for at in range(0, len(queries), _STRIP):
+        part = queries[at : at + _STRIP]
+        dots = np.zeros((len(part), len(points)))
+        for j, column in enumerate(columns):
+            dots += part[:, j, None] * column
+        below = np.sqrt(norms[1][at : at + _STRIP, None]) * np.sqrt(norms[0])
+        out[at : at + _STRIP] = np.divide(dots, below, out=np.full(dots.shape, np.nan), where=below > 0)
+    return out
+
+
+def top_k_each(points: DataFrame, queries: DataFrame, k: int, label: str = "label", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """query_id, key, label, score: for each of queries (query_id, q) the k best of points by cosine, ties by key.
+
+    Blocks of queries meet blocks of points; each pair of blocks yields k rows a query, and these alone are merged.  A null
+    vector, one that is all zero or of another length than the query has a null score and comes last; query_id and key are
+    ids without repeats and not null.
+    """
+    n_points, n_queries = points.count(), queries.count()
+    p_blocks, q_blocks = -(-n_points // POINT_BLOCK) or 1, -(-n_queries // QUERY_BLOCK) or 1
+
+    def block(column: str, n: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
+
+    own = points.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"), block(key, p_blocks).alias("pb"))
+    own = own.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("v"), block("query_id", q_blocks).alias("qb"))
+    asked = asked.withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))))
+    types = {f.name: f.dataType.simpleString() for f in own.schema} | {"query_id": asked.schema["query_id"].dataType.simpleString()}
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        ids, places, scores = [], [], []
+        left = left.sort_values("key", kind="stable").reset_index(drop=True)
+        sizes = left["v"].map(lambda v: -1 if v is None else len(v)).to_numpy()
+        wanted = right["v"].map(lambda v: -1 if v is None else len(v)).to_numpy()
+        for size in np.unique(wanted):
+            rows, like = np.flatnonzero(wanted == size), np.flatnonzero(sizes == size)
+            score = np.full((len(rows), len(left)), np.nan)
+            if size > 0 and len(like):
+                score[:, like] = _scores(np.stack(left["v"].to_numpy()[like]), np.stack(right["v"].to_numpy()[rows]))
+            for row, values in zip(rows, score, strict=True):
+                down = np.where(np.isnan(values), np.inf, -values)
+                near = np.arange(len(down))
+                if len(down) > k:  # all as good as the k-th, then by key
+                    near = np.flatnonzero(down <= np.partition(down, k - 1)[k - 1])
+                chosen = near[np.argsort(down[near], kind="stable")[:k]]
+                ids += [right["query_id"].iloc[row]] * len(chosen)
+                places += chosen.tolist()
+                scores += [None if np.isnan(x) else float(x) for x in values[chosen]]
+        found = left.iloc[places]
+        return pd.DataFrame({"query_id": ids, key: found["key"].array, label: found["label"].array, "score": pd.array(scores, dtype="Float64")})
+
+    schema = f"query_id {types['query_id']}, `{key}` {types['key']}, `{label}` {types['label']}, score double"
+    partial = own.groupBy("pb", "qb").cogroup(asked.groupBy("pb", "qb")).applyInPandas(best, schema)
+    order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), F.asc(key))
+    return partial.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n")
+
+
+def diverse_each(best: DataFrame, key: Column, k: int = KEEP, tie: str = "vec_id") -> DataFrame:
+    """`diverse` for each query_id."""
+    order = [F.desc_nulls_last("score"), F.asc(tie)]
+    keyed = best.withColumn("__key", F.lower(key.cast("string"))).where("__key IS NOT NULL")
+    first = keyed.withColumn("__n", F.row_number().over(Window.partitionBy("query_id", "__key").orderBy(*order))).where("__n = 1")
+    ranked = first.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order)))
+    return ranked.where(F.col("rank") <= k).drop("__key", "__n")
+
+
 def diverse(best: DataFrame, key: Column, k: int = KEEP, tie: str = "vec_id") -> DataFrame:
     """The first row of each key (ignoring case; null keys are skipped) in order of score, k at most, with its rank.
 

@@ -183,3 +183,20 @@ def test_follow_changes(spark, tmp_path):
         source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         incremental.follow_changes(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert sorted((r.doc_id, r.body) for r in spark.read.parquet(str(tmp_path / "out/v=1")).collect()) == [(1, "a2"), (3, "c")]
+
+
+def test_top_k_of_each_query(spark, monkeypatch):
+    from skein.operators import retrieval as V
+
+    monkeypatch.setattr(V, "POINT_BLOCK", 7)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 3)
+    rows = [(i, i % 4, [float((i * 7 + j * j) % 5) for j in range(6)]) for i in range(40)] + [(40, 1, [0.0] * 6), (41, None, None), (42, 1, [1.0])]
+    points = spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>")
+    queries = points.where("vec_id % 5 = 0 AND vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    for k in (4, 50):
+        got = V.top_k_each(points, queries, k).collect()
+        for q in queries.collect():
+            want = V.top_k(V.with_score(points.where("vec_id < 41"), q.q), k).collect()
+            own = sorted((r for r in got if r.query_id == q.query_id), key=lambda r: (r.score is None, -(r.score or 0), r.vec_id))[: len(want)]
+            assert [(r.vec_id, r.label, r.score) for r in own] == [(r.vec_id, r.label, r.score) for r in want]
+        assert len(got) == 8 * min(k, 43)
