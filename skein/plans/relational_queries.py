@@ -187,6 +187,12 @@ def missing_ids(spark, d):
     return asked.join(read(spark, d, "part").where("p_size < 25"), F.col("l_partkey") == F.col("p_partkey"), "left_anti")
 
 
+@R.add("missing_ids_whole", "SELECT DISTINCT l_partkey FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size < 25)")
+def missing_ids_whole(spark, d):
+    asked = read(spark, d, "lineitem").select("l_partkey").distinct()
+    return asked.join(read(spark, d, "part").where("p_size < 25"), F.col("l_partkey") == F.col("p_partkey"), "left_anti")
+
+
 @R.add("tags_any", "SELECT p_partkey FROM part WHERE list_has_any(list_transform(string_split(p_name, ' '), lambda x: lower(x)), ['ring', 'bolt'])")
 def tags_any(spark, d):
     return read(spark, d, "part").where(T.has_any_tag(F.split("p_name", " "), [" Ring", "BOLT"])).select("p_partkey")
@@ -218,8 +224,17 @@ def seq_next(spark, d):
   SELECT question_id, question_hash, CASE WHEN n IS NULL THEN 'NotFound' WHEN k > 1 THEN 'Conflict' ELSE 'Answered' END AS status, coalesce(n, 0)::BIGINT AS matches,
     CASE WHEN k <= 1 THEN f[1] END AS answer, CASE WHEN k <= 1 THEN f[2] END AS source_ref, CASE WHEN k <= 1 THEN f[3] END AS confidence FROM q LEFT JOIN p ON h = question_hash""")
 def authoritative_lookup(spark, d):
+    return _lookup(spark, d, read(spark, d, "documents").where("doc_id % 97 < 3"))
+
+
+@R.add("authoritative_lookup_whole", R.sql["authoritative_lookup"].replace(" FROM documents WHERE doc_id % 97 < 3)", " FROM documents)"))
+def authoritative_lookup_whole(spark, d):
+    return _lookup(spark, d, read(spark, d, "documents"))
+
+
+def _lookup(spark, d, docs):
     i = F.col("doc_id")
-    entries = read(spark, d, "documents").where("doc_id % 97 < 3").select(
+    entries = docs.select(
         i.alias("entry_id"), F.sha2(F.lower("source"), 256).alias("question_hash"), F.when(i % 3 == 0, F.col("lang")).alias("model_answer"),
         F.when(i % 4 != 0, F.upper("lang")).alias("human_answer"), F.concat(F.lit("REF-"), i).alias("identifier"),
         F.when(i % 5 == 0, F.concat(F.lit("src"), i)).alias("source_ref"), F.when(i % 2 == 0, "low").alias("confidence"), F.lit(True).alias("is_active"),

@@ -200,3 +200,15 @@ def test_top_k_of_each_query(spark, monkeypatch):
             own = sorted((r for r in got if r.query_id == q.query_id), key=lambda r: (r.score is None, -(r.score or 0), r.vec_id))[: len(want)]
             assert [(r.vec_id, r.label, r.score) for r in own] == [(r.vec_id, r.label, r.score) for r in want]
         assert len(got) == 8 * min(k, 43)
+
+
+def test_lookups_meet_whole_tables(spark, tmp_path):
+    from skein.plans.relational_queries import R
+
+    assert "% 97" not in R.sql["authoritative_lookup_whole"] and "% 97" in R.sql["authoritative_lookup"]
+    spark.createDataFrame([(i, "src1", "en") for i in range(50)], "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1,)], "item_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(i,) for i in range(20)], "l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(5, 1), (6, 40)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    assert [r.matches for r in R.queries["authoritative_lookup_whole"](spark, str(tmp_path)).collect()] == [50]
+    assert sorted(r.l_partkey for r in R.queries["missing_ids_whole"](spark, str(tmp_path)).collect()) == [i for i in range(20) if i != 5]
