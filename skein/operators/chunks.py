@@ -7,8 +7,10 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ..functions.text import CJK, URL, WHITE, WORD, is_blank
 
@@ -135,17 +137,24 @@ def greedy_chunks(df: DataFrame, key: str, budget: int = BUDGET, overlap: int =
 def packed_sections(df: DataFrame, group: str, order: str, tokens: Column, budget: int = SECTION_TOKENS) -> DataFrame:
     """df with the number of the section that each row of a group falls in: a section is full when the next row would not fit.
 
-    One fold over each group's rows in order; the group's rows are those of one source file.
+    One fold over each group's rows in order, then by tokens, as they stream by; a task holds one batch.  A null group is a
+    group, a null order comes first, null tokens count as 0, and equal rows each have their own place.
     """
-    rows = df.withColumn("__t", tokens.cast("int"))
-    listed = rows.groupBy(group).agg(F.array_sort(F.collect_list(F.struct(F.col(order), F.col("__t")))).alias("r"))
-    step = F.aggregate(
-        "r", F.struct(F.array().cast("array<int>").alias("s"), F.lit(0).alias("used"), F.lit(1).alias("now")),
-        lambda a, x: F.struct(
-            F.concat(a["s"], F.array(F.when((a["used"] > 0) & (a["used"] + x["__t"] > budget), a["now"] + 1).otherwise(a["now"]))).alias("s"),
-            F.when((a["used"] > 0) & (a["used"] + x["__t"] > budget), x["__t"]).otherwise(a["used"] + x["__t"]).alias("used"),
-            F.when((a["used"] > 0) & (a["used"] + x["__t"] > budget), a["now"] + 1).otherwise(a["now"]).alias("now"),
-        ),
-    )
-    placed = listed.select(group, F.explode(F.arrays_zip(F.col(f"r.{order}").alias(order), step["s"].alias("section"))).alias("z"))
-    return rows.drop("__t").join(placed.select(group, f"z.{order}", "z.section"), [group, order])
+    # rows of a group lie in one partition and follow each other
+    rows = df.withColumn("__t", F.coalesce(tokens.cast("long"), F.lit(0))).repartition(group).sortWithinPartitions(group, order, "__t")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, used, now = object(), 0, 1
+        for batch in batches:
+            sections = []
+            for g, t in zip(batch.column(group).to_pylist(), batch.column("__t").to_pylist(), strict=True):
+                if g != current:
+                    current, used, now = g, 0, 1
+                if used > 0 and used + t > budget:
+                    used, now = 0, now + 1
+                used += t
+                sections.append(now)
+            kept = [c for c in batch.schema.names if c != "__t"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(sections, pa.int32())], names=[*kept, "section"])
+
+    return rows.mapInArrow(run, StructType([*df.schema, StructField("section", IntegerType())]))

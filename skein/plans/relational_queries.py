@@ -123,8 +123,8 @@ def model_for_fact(spark, d):
 def sample_labels(spark, d):
     docs, labels = read(spark, d, "documents").select("doc_id", "source"), read(spark, d, "labels")
     j = docs.join(labels, "doc_id", "left")
-    n = j.groupBy("source").agg(F.count("quality").alias("labelled_in_source"))
-    return j.join(n, "source").select("doc_id", "quality", "toxic", "labelled_in_source")
+    n = j.groupBy(F.col("source").alias("own")).agg(F.count("quality").alias("labelled_in_source"))
+    return j.join(n, F.col("source").eqNullSafe(F.col("own"))).select("doc_id", "quality", "toxic", "labelled_in_source")
 
 
 @R.add("primary_entity", """WITH n AS (SELECT o_custkey, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL)

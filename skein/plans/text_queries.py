@@ -232,8 +232,9 @@ def markdown_sections(spark, d):
 
 @R.add("packed_sections")
 def packed_sections(spark, d):
-    docs = read(spark, d, "documents").select("source", "doc_id", "text")
-    return chunks.packed_sections(docs, "source", "doc_id", T.estimate_tokens("text")).select("source", "doc_id", "section")
+    lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    rows = lines.select("doc_id", "line", T.estimate_tokens("text").alias("tokens"))
+    return chunks.packed_sections(rows, "doc_id", "line", F.col("tokens")).select("doc_id", "line", "section")
 
 
 @R.add("section_parts", """SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INTEGER AS part, count(*) OVER (PARTITION BY source)::BIGINT AS total FROM documents""")

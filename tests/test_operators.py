@@ -212,3 +212,20 @@ def test_lookups_meet_whole_tables(spark, tmp_path):
     spark.createDataFrame([(5, 1), (6, 40)], "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     assert [r.matches for r in R.queries["authoritative_lookup_whole"](spark, str(tmp_path)).collect()] == [50]
     assert sorted(r.l_partkey for r in R.queries["missing_ids_whole"](spark, str(tmp_path)).collect()) == [i for i in range(20) if i != 5]
+
+
+def test_packed_sections_keep_every_row(spark):
+    rows = [(None, 1, 6), (None, 2, 6), ("g", None, 4), ("g", 1, 4), ("g", 1, 4), ("g", 2, None), ("h", 1, 99)]
+    df = spark.createDataFrame(rows, "g string, i int, t int")
+    got = [(r.g, r.i, r.t, r.section) for r in chunks.packed_sections(df, "g", "i", F.col("t"), 10).collect()]
+    want = [(None, 1, 6, 1), (None, 2, 6, 2), ("g", None, 4, 1), ("g", 1, 4, 1), ("g", 1, 4, 2), ("g", 2, None, 2), ("h", 1, 99, 1)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_sample_labels_keep_null_sources(spark, tmp_path):
+    from skein.plans.relational_queries import R
+
+    spark.createDataFrame([(1, None), (2, None), (3, "a")], "doc_id long, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = R.queries["sample_labels"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.quality, r.labelled_in_source) for r in got) == [(1, 1, 1), (2, None, 1), (3, 0, 1)]
