@@ -3,11 +3,12 @@
 A builder keeps the stack of open elements, closes those that HTML closes by implication and drops end tags that match
 nothing; each element writes into the layout as it opens and closes, so depth costs no recursion and a page no tree.
 
-Visible is what a browser shows without scripts running: nothing inside head, script, style, template, noscript, iframe,
-object, svg, canvas, audio, video or a data list, nor under the attribute `hidden` or a style of display:none or
+Visible is what a browser that can run scripts shows before any has run: nothing inside head, script, style, template,
+noscript, iframe, object, svg, canvas, audio, video, a data list or a formula's annotations and phantoms, nor under the attribute `hidden` or a style of display:none or
 visibility:hidden, nor closed dialogs.  A paragraph-like block stands between empty lines, another block on its own lines;
 list items have a mark and indent; table rows are lines (or several, if cells have several) whose cells start in common
-columns, up to COLUMN characters wide; `pre` keeps its white space.
+columns, up to COLUMN characters wide, and stay clear of cells that span from rows above; `pre` and `xmp` keep their white
+space; formulae are inline text; inputs show their value, unless their type has none to read.
 
 Defined cases: a null or empty page has an empty text; text without markup is one block; broken markup never fails;
 repeated rows render alike; other columns pass through.
@@ -27,11 +28,15 @@ from .common import table
 
 #: Widest padding of a table column.
 COLUMN = 60
+#: Most rows that a cell spans (a fixed value of HTML).
+ROWS = 65_534
 #: Element names by role (fixed values of HTML).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe object svg canvas audio video datalist noembed noframes title math".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr form fieldset".split())
+HIDDEN = frozenset("head script style template noscript iframe object svg canvas audio video datalist noembed noframes title annotation annotation-xml mphantom".split())
+#: Types of inputs whose value is not shown as text.
+UNREAD = frozenset("hidden checkbox radio password file range color image".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre xmp blockquote figure hr form fieldset".split())
 BLOCK = SPACED | frozenset(
     "address article aside body center details dialog dd div dt figcaption footer header hgroup html legend li main menu nav "
     "option optgroup search section select summary caption tr tbody thead tfoot td th textarea".split()
@@ -123,10 +128,29 @@ class Grid:
     """The cells of an open table."""
 
     def __init__(self):
-        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.rows: list[list[tuple[int, int, list[str]]]] = []  # columns, rows, lines
+        self.groups: set[int] = set()  # the first row of each group, which no cell from above spans into
+
+    def placed(self) -> Iterator[list[tuple[int, list[str]]]]:
+        """The rows with an empty cell in each column that a cell from above spans."""
+        held: dict[int, int] = {}  # rows to come, by column
+        for k, row in enumerate(self.rows):
+            if k in self.groups:
+                held = {}
+            out, at, new = [], 0, {}
+            for span, rows, cell in row:
+                while at in held:
+                    out.append((1, []))
+                    at += 1
+                if rows > 1:
+                    new |= dict.fromkeys(range(at, at + span), rows - 1)
+                out.append((span, cell))
+                at += span
+            held = {c: n - 1 for c, n in held.items() if n > 1} | new
+            yield out
 
     def lines(self) -> list[str]:
-        rows = [r for r in self.rows if any(c for _, c in r)]
+        rows = [r for r in self.placed() if any(c for _, c in r)]
         width: list[int] = []
         for row in rows:
             at = 0
@@ -197,7 +221,7 @@ class Layout:
             self.sheet.space()
         elif name == "wbr":
             pass
-        elif name == "input" and attributes.get("type", "text").lower() in ("submit", "button", "reset", "text"):
+        elif name == "input" and attributes.get("type", "text").strip().lower() not in UNREAD:
             self.sheet.text(attributes.get("value", ""), False)
 
     def _open(self, name: str, attributes: dict[str, str]):
@@ -205,18 +229,22 @@ class Layout:
         if name in ("td", "th"):
             grid = self._grid()
             if grid is not None:
-                span = attributes.get("colspan", "1")
+                span, rows = attributes.get("colspan", "1").strip(), attributes.get("rowspan", "1").strip()
                 self.sheet = Sheet()
-                return ("cell", sheet, grid, min(int(span), 100) if span.isdigit() and int(span) else 1)
+                span = min(int(span), 100) if span.isdecimal() and int(span) else 1
+                # 0 is all rows to the end of the group
+                return ("cell", sheet, grid, span, (min(int(rows), ROWS) or ROWS) if rows.isdecimal() else 1)
         if name == "tr" and (grid := self._grid()) is not None:
             grid.rows.append([])
             return None
+        if name in ("tbody", "thead", "tfoot") and (grid := self._grid()) is not None:
+            grid.groups.add(len(grid.rows))
         if name in BLOCK:
             nested = name in ("ul", "ol") and self._inside("li")
             sheet.space() if name in SPACED and not nested else sheet.line()
         if name == "table":
             return ("table", Grid())
-        if name == "pre":
+        if name in ("pre", "xmp"):
             self.pre += 1
             return ("pre",)
         if name in ("ul", "ol", "menu"):
@@ -279,7 +307,7 @@ class Layout:
             grid = state[2]
             if not grid.rows:
                 grid.rows.append([])
-            grid.rows[-1].append((state[3], cell))
+            grid.rows[-1].append((state[3], state[4], cell))
             return
         sheet = self.sheet
         if kind == "table":
@@ -287,7 +315,7 @@ class Layout:
             for row in state[1].lines():
                 sheet._put(row)
                 sheet.line()
-        if name == "pre":
+        if name in ("pre", "xmp"):
             self.pre -= 1
         if kind == "list":
             sheet.line()
@@ -327,6 +355,8 @@ class Layout:
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
                 if name == "textarea":
                     self.text(page[at : close.start()])
+                elif name == "xmp" and not self.unseen:  # its text has no entities
+                    self.sheet.text(page[at : close.start()], True)
                 self.end(name)
                 at = close.end()
             elif name == "pre" and page.startswith("\n", at):

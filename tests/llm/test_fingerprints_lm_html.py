@@ -129,3 +129,18 @@ def test_layout_column(spark):
     got = {r.page_id: r.text for r in H.with_text(pages).collect()}
     assert got == {i: t for i, (_, t) in enumerate(CASES)}
     assert H.with_text(pages.where("1 = 0")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds", "so x=2 holds"),
+        ("a<xmp>  <b>\n   &amp;</xmp>b", "a\n\n  <b>\n   &amp;\n\nb"), ("<div hidden><xmp>x</xmp></div>y", "y"),
+        ("<input type=email value=a@b.c> <input type=number value=7> <input type=DATE value=2020-01-02>", "a@b.c 7 2020-01-02"),
+        ("<input type=hidden value=x><input type=password value=y><input type=checkbox value=z>w", "w"),
+        ("<table><tr><th rowspan=2>Name<th>Q<tr><td>3<tr><td>pear<td>4</table>", "Name  Q\n      3\npear  4"),
+        ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tbody><tr><td>f<td>g<td>h</table>", "a  b  c\nd     e\nf  g  h"),
+    ],
+)
+def test_layout_shows_all_visible_text(page, text):
+    assert H.extract(page) == text
