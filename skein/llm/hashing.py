@@ -31,11 +31,11 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Cuts and hashes words: runs of bytes outside `separators`, A-Z in lower case."""
+    """Cuts and hashes words: runs of bytes outside `separators`, A-Z in lower case unless `fold` is off."""
 
-    def __init__(self, separators: bytes = SPACES):
+    def __init__(self, separators: bytes = SPACES, fold: bool = True):
         self._lower = np.arange(1, 257, dtype=np.uint64)
-        self._lower[ord("A") : ord("Z") + 1] += 32
+        self._lower[ord("A") : ord("Z") + 1] += 32 * fold
         self._inside = np.ones(256, dtype=bool)
         self._inside[list(separators)] = False
         self._powers = _powers(_P, 4096)

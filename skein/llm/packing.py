@@ -1,12 +1,14 @@
 """Packing along a space-filling curve.
 
-A document's hashed tokens, projected to a few dimensions by random signs, give a point; its place on a Hilbert curve is the
-key of a range sort, so neighbours in the order are alike.  Each range is cut along the curve into sequences of SEQUENCE
-tokens; documents are cut where a sequence is full.  What is left at the end of a range becomes sequences of powers of two,
-which need no padding.
-
-Defined cases: a null or empty text has the end id alone; a null doc_id stays null; repeated rows are packed each; an empty
-table gives no pieces; other columns are ignored.
+A document's hashed tokens, projected to a few dimensions by random signs, give a direction, whatever the document's
+length; rare tokens weigh more than those that all texts share.  The direction's place on a Hilbert curve is the key of a
+range sort, so neighbours in the order are alike.  Documents travel in runs of at most RUN tokens, so that ranges of equal
+rows hold about equal tokens and neither a very long text nor many copies of one land in one task.  Each range is cut along
+the curve into sequences of SEQUENCE tokens; documents are cut where a sequence is full.  What is left at the end of a range
+becomes sequences of powers of two, which need no padding.
+
+Defined cases: a null or empty text has the end id alone and lies at the middle of the space; a null doc_id stays null;
+repeated rows are packed each; an empty table gives no pieces; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,16 +23,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions, table
-from .hashing import mix
+from .hashing import batches, mix
 from .tokens import encoder, tokenizer_path
 
 SEQUENCE = 4096
 #: Dimensions of the projection and bits of each on the curve.
 DIMENSIONS, BITS = 4, 12
 END_ID = 2
+#: Tokens that travel in one row.
+RUN = 2048
 _PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, ids binary"
 )
+_RUNS = "doc_id long, absent boolean, curve long, start long, doc_tokens long, width int, ids binary"
 
 
 def _signs(n: int) -> np.ndarray:
@@ -39,17 +44,19 @@ def _signs(n: int) -> np.ndarray:
     return np.stack([((h >> np.uint64(60 - d)) & np.uint64(1)).astype(np.float32) * 2 - 1 for d in range(DIMENSIONS)], axis=1)
 
 
-_SIGNS = _signs(1 << 16)
+#: Vocabularies number their entries from the frequent to the rare ones, so an id tells how much its token says.
+_SIGNS = _signs(1 << 16) * np.sqrt(np.arange(1, (1 << 16) + 1) / (1 << 16)).astype(np.float32)[:, None]
 
 
 def project(tokens: list[np.ndarray]) -> np.ndarray:
-    """A point per document: sums of signs of its hashed tokens, by the root of their number, squeezed to 0 .. 2 ** BITS - 1."""
+    """A point per document: the weighted sum of signs of its hashed tokens, as a unit vector, on a grid of 2 ** BITS steps."""
     out = np.zeros((len(tokens), DIMENSIONS))
     for i, ids in enumerate(tokens):
-        if len(ids):
-            out[i] = _SIGNS[ids & 0xFFFF].sum(axis=0) / np.sqrt(len(ids))
-    squeezed = 0.5 + np.arctan(out / 2) / np.pi
-    return np.minimum(squeezed * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
+        for at in range(0, len(ids), 1 << 16):
+            out[i] += _SIGNS[ids[at : at + (1 << 16)] & 0xFFFF].sum(axis=0)
+    length = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    unit = np.divide(out, length, out=np.zeros_like(out), where=length > 0)
+    return np.minimum((unit + 1) / 2 * (1 << BITS), (1 << BITS) - 1).astype(np.int64)
 
 
 def hilbert(points: np.ndarray) -> np.ndarray:
@@ -79,29 +86,31 @@ def hilbert(points: np.ndarray) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """doc_id, curve (the Hilbert key), ids (little-endian, 2 bytes each where all fit, else 4; width tells)."""
+    """Runs of documents: doc_id (0 where it is absent), curve (the Hilbert key), start, doc_tokens and ids of `width` bytes each, little-endian."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(path).encode_batch, np.array([end_id], "<u4").tobytes()
-        for pdf in frames:
-            for at in range(0, len(pdf), 512):
-                part = pdf.iloc[at : at + 512]
-                texts = part["text"].tolist()
-                ids = [np.frombuffer(b + end, "<u4") for b in encode(texts)]
-                width = [2 if int(x.max()) < 1 << 16 else 4 for x in ids]
-                yield pd.DataFrame({
-                    "doc_id": part["doc_id"].astype("Int64"), "curve": hilbert(project(ids)), "width": width,
-                    "ids": [x.astype(f"<u{w}").tobytes() for x, w in zip(ids, width, strict=True)],
-                })
-
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "doc_id long, curve long, width int, ids binary")
+        for pdf in batches(frames, 1024):
+            ids = [np.frombuffer(b + end, "<u4") for b in encode(pdf["text"].tolist())]
+            # the end id says nothing of a document
+            curve = hilbert(project([x[:-1] for x in ids])).tolist()
+            out = []
+            for doc_id, absent, key, x in zip(pdf["doc_id"], pdf["absent"], curve, ids, strict=True):
+                for at in range(0, len(x), RUN):
+                    part = x[at : at + RUN]
+                    width = 2 if int(part.max()) < 1 << 16 else 4
+                    out.append((doc_id, absent, key, at, len(x), width, part.astype(f"<u{width}").tobytes()))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in _RUNS.split(", ")])
+
+    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("absent"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInPandas(run, _RUNS)
 
 
 def pack(docs: DataFrame, path: str, end_id: int = END_ID, sequence: int = SEQUENCE) -> DataFrame:
     """The pieces of all sequences: which ids of which document stand where; ids are 4 bytes each, little-endian."""
     n = partitions(docs.sparkSession)
     rows = materialize(tokenized(docs, path, end_id), "tokenized")  # else the range limits would encode everything twice
-    rows = rows.repartitionByRange(n, "curve", "doc_id").sortWithinPartitions("curve", "doc_id", "ids")
+    rows = rows.repartitionByRange(n, "curve", "absent", "doc_id", "start").sortWithinPartitions("curve", "absent", "doc_id", "start", "ids")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32  # sequences of a range are numbered from here
@@ -119,17 +128,18 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, sequence: int = SEQUE
             number += 1
 
         def frame() -> pd.DataFrame:
+            ids = pd.array([x[0] for x in out], "Int64")  # exact where some are null
             made = pd.DataFrame(out, columns=[c.split()[0] for c in _PIECES.split(", ")])
             out.clear()
-            return made.assign(doc_id=made["doc_id"].astype("Int64"))
+            return made.assign(doc_id=ids)
 
         for pdf in frames:
-            for doc_id, width, data in zip(pdf["doc_id"], pdf["width"], pdf["ids"], strict=True):
-                doc_id = None if pd.isna(doc_id) else int(doc_id)
+            for doc_id, absent, start, whole, width, data in zip(*[pdf[c] for c in ("doc_id", "absent", "start", "doc_tokens", "width", "ids")], strict=True):
+                doc_id = None if absent else doc_id
                 ids, at = np.frombuffer(data, f"<u{width}").astype("<u4"), 0
                 while at < len(ids):
                     take = min(sequence - filled, len(ids) - at)
-                    held.append((doc_id, at, ids[at : at + take], len(ids)))
+                    held.append((doc_id, start + at, ids[at : at + take], whole))
                     at, filled = at + take, filled + take
                     if filled == sequence:
                         emit(held, sequence)

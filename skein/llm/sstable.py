@@ -16,7 +16,7 @@ object stores, HDFS); a manifest table, written by Spark, names the files that c
 manifest names.
 
 Defined cases: a null text is empty and has the end id alone; a null doc_id sorts first; rows with equal doc_id are kept,
-in the order of their texts; an empty table makes an empty manifest; other columns are ignored.
+in the order of a hash of their texts; an empty table makes an empty manifest; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,6 +31,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -63,8 +64,8 @@ def _probes(key: bytes, bits: int) -> list[int]:
 class Writer:
     """Writes one shard; keys come in ascending order."""
 
-    def __init__(self, stream):
-        self._stream, self._codec = stream, pa.Codec("zstd", 1)
+    def __init__(self, stream, block_bytes: int = BLOCK_BYTES):
+        self._stream, self._codec, self._limit = stream, pa.Codec("zstd", 1), block_bytes
         self._at, self._block, self._last, self._index, self._keys, self._tokens = 0, bytearray(), b"", [], [], 0
 
     @property
@@ -86,7 +87,7 @@ class Writer:
         self._last = key
         self._tokens += len(ids)
         self._keys.append(key)
-        if len(self._block) >= BLOCK_BYTES:
+        if len(self._block) >= self._limit:
             self._flush()
 
     def _flush(self) -> None:
@@ -169,7 +170,9 @@ def _file_system(uri: str):
     return pa.fs.FileSystem.from_uri(uri)
 
 
-def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 0, text: str = "text") -> DataFrame:
+def write_shards(
+    docs: DataFrame, folder: str, path: str, end_id: int = 0, text: str = "text", file_bytes: int = FILE_BYTES, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
     """Encodes docs (doc_id, text) with the tokenizer file at path and writes shards below folder, in order of doc_id.
 
     The manifest: shard (its place in the order), file, entries, tokens, first_id, last_id, and start, the number of ids in
@@ -177,7 +180,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 0, text:
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "id").sortWithinPartitions("id", "text")
+    # rows with equal ids may lie in several ranges, by a hash of their text
+    rows = rows.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "id", "h").sortWithinPartitions("id", "h", "text").drop("h")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _file_system(folder)
@@ -188,29 +192,29 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 0, text:
 
         def finish() -> None:
             entries, tokens = writer.close()
-            made.append((f"{folder}/{name}", entries, tokens, first, last))
+            made.append((f"{folder}/{name}", entries, tokens, first, last, TaskContext.get().partitionId() << 32 | len(made)))
 
         for pdf in frames:
             ids = pdf["id"].tolist()
-            for at in range(0, len(ids), 256):
-                for id_, encoded in zip(ids[at : at + 256], encode(pdf["text"].iloc[at : at + 256].tolist()), strict=True):
-                    if writer is not None and writer.stored >= FILE_BYTES and id_ != last:
+            for at in range(0, len(ids), 1024):
+                for id_, encoded in zip(ids[at : at + 1024], encode(pdf["text"].iloc[at : at + 1024].tolist()), strict=True):
+                    if writer is not None and writer.stored >= file_bytes:
                         finish()
                         writer = None
                     if writer is None:
                         name, first = f"{uuid.uuid4().hex}.sst", id_
-                        writer = Writer(fs.open_output_stream(f"{base}/{name}"))
+                        writer = Writer(fs.open_output_stream(f"{base}/{name}"), block_bytes)
                     last = id_
                     writer.add(key_of(None if id_ == _NO_ID else id_), np.frombuffer(encoded + end, "<u4"))
         if writer is not None:
             finish()
-        yield pd.DataFrame(made, columns=["file", "entries", "tokens", "first_id", "last_id"])
+        yield pd.DataFrame(made, columns=["file", "entries", "tokens", "first_id", "last_id", "place"])
 
-    made = rows.mapInPandas(write, "file string, entries long, tokens long, first_id long, last_id long")
+    made = rows.mapInPandas(write, "file string, entries long, tokens long, first_id long, last_id long, place long")
     made = materialize(made, "sst_manifest")
-    order = Window.orderBy("first_id")  # one row per file
+    order = Window.orderBy("place")  # one row per file
     start = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return made.withColumns({"shard": F.row_number().over(order), "start": start.cast("long")})
+    return made.withColumns({"shard": F.row_number().over(order), "start": start.cast("long")}).drop("place")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -237,13 +241,29 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 def _frame(rows: list) -> pd.DataFrame:
     out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
-    return out.assign(doc_id=out["doc_id"].astype("Int64"))
+    return out.assign(doc_id=pd.array([r[0] for r in rows], "Int64"))  # exact where some are null
 
 
 def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
-    """doc_id and ids of the wanted identifiers: each goes to the one shard whose key range holds it, then to one block."""
-    m, w = manifest.select("file", "first_id", "last_id"), wanted.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"))
-    near = w.join(F.broadcast(m), F.col("id").between(F.col("first_id"), F.col("last_id"))).select("file", "id")  # one row per file
+    """doc_id and ids of the wanted identifiers: each goes to the shards whose key range holds it, then to one block of each.
+
+    Files and wanted ids are sorted together by range; an id is asked of the last file that begins before it, and of those
+    that begin with it.  The last file of each range is handed on to the ranges behind it (a row per range), so nothing is
+    broadcast or compared in pairs.
+    """
+    n = partitions(manifest.sparkSession)
+    ids = wanted.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"))
+    files = manifest.select(F.col("first_id").alias("id"), "last_id", "file")
+    both = files.withColumn("asked", F.lit(False)).unionByName(ids.withColumn("asked", F.lit(True)), allowMissingColumns=True)
+    both = materialize(both.repartitionByRange(n, "id").withColumn("range", F.spark_partition_id()), "sst_asked")
+    ends = both.where("NOT asked").groupBy("range").agg(F.max(F.struct("id", "last_id", "file")).alias("f"))
+    carried = ends.select(F.explode(F.sequence(F.col("range") + 1, F.lit(n))).alias("range"), "f").groupBy("range").agg(F.max("f").alias("f"))
+    carried = carried.select(F.lit(_NO_ID).alias("id"), "f.last_id", "f.file", F.lit(False).alias("asked"), "range")
+    by = Window.partitionBy("range").orderBy("id", F.desc("asked"), "last_id")
+    before = F.last(F.when(~F.col("asked"), F.struct("last_id", "file")), ignorenulls=True).over(by)
+    near = both.unionByName(carried).withColumn("f", before).where("asked AND id <= f.last_id").select("f.file", "id")
+    near = near.unionByName(ids.join(files, "id").select("file", "id"))
+    near = near.repartition("file")
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
@@ -256,7 +276,7 @@ def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
                         own = None if id_ == _NO_ID else id_
                         out += [(own, x.tobytes()) for x in shard.get(own)]
             got = pd.DataFrame(out, columns=["doc_id", "ids"])
-            yield got.assign(doc_id=got["doc_id"].astype("Int64"))
+            yield got.assign(doc_id=pd.array([r[0] for r in out], "Int64"))
 
     return near.sortWithinPartitions("file").mapInPandas(read, "doc_id long, ids binary")
 

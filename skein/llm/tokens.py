@@ -1,7 +1,12 @@
 """Token ids of whole texts, by the public tokenizer files, with a bounded memo of word-sized units.
 
-A text is cut into units at places where both supported pre-tokenizers always cut too, so encoding each unit alone and
-joining the ids equals encoding the whole text.  Frequent units are remembered; the rest go through the library.
+A text is cut at places where both supported pre-tokenizers always cut too, so encoding each unit alone and joining the ids
+equals encoding the whole text.  Units are words with the space before them; each distinct one of some megabytes is looked
+up once, and what the memo lacks goes through the library in smaller units.
+
+Defined cases: a null or empty text has no ids; a text that holds the string of an added token (such as `<|endoftext|>`)
+goes through the library as a whole, which gives that token there; a text with white space beyond ASCII is cut by a regular
+expression where white space has ids; texts of any length are cut, none is shortened.
 """
 
 from __future__ import annotations
@@ -20,10 +25,11 @@ from .hashing import CHUNK, SPACES, Words
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 os.environ.setdefault("RAYON_NUM_THREADS", "1")
 
-#: Characters with the Unicode property White_Space (fixed values).
-WHITE = "\t-\r \x85\xa0  -     　"
-#: Letters of the Latin blocks below U+0250 (fixed values); all have the category L.
-LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-ɏ"
+#: Characters with the Unicode property White_Space (fixed values), and those of them beyond ASCII.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_WIDE = re.compile("[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: Letters of the Latin blocks below U+0250 whose lower case is letters alone: a mark in it would join what follows.
+LATIN = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower().isalpha())
 _UNIT = re.compile(
     rf" ?[{LATIN}]++(?=[\x00-\x7f]|\Z)"  # a whole run of letters: what follows is ASCII and no letter
     r"| ?[!-&(-/:-@\[-`{-~]++(?=[\sA-Za-z0-9]|\Z)"  # a whole run of ASCII marks but the apostrophe
@@ -40,14 +46,14 @@ _FOLDED = re.compile(
 _ONE_PIECE = re.compile(rf" ?(?:[{LATIN}]+|[!-&(-/:-@\[-`{{-~]+)")
 DEFAULT_FOLDER = "/opt/tokenizers"
 #: Units that one Python worker remembers; beyond it new units are encoded each time.
-MEMO_UNITS = 1_300_000
+MEMO_UNITS = 1_000_000
 MEMO_LENGTH = 40
 #: Bytes of text whose distinct words are looked up together.
 GROUP_BYTES = 4 << 20
-#: The first of them are mostly the frequent ones; they also lie in a table that fits the processor's cache.
-COMMON_UNITS = 3000
 #: In the last quarter of the memo a unit gets a place when it is met again; slots of hashes tell.
 _SLOTS = (1 << 24) - 1
+#: Parts the hash of a word after a space from that of the word alone.
+_SPACED = np.uint64(0x9D8F3C5B7A61E24D)
 
 
 def tokenizer_path(name: str, folder: str | None = None) -> str:
@@ -63,45 +69,56 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
 
 
 class Encoder:
-    """Encodes whole texts into little-endian unsigned 32-bit ids, without special tokens.
-
-    Strings of special tokens inside a text are ordinary text.  A null text has no ids.
-    """
+    """Encodes whole texts into little-endian unsigned 32-bit ids, as the library does with add_special_tokens=False."""
 
     def __init__(self, path: str, memo_units: int = MEMO_UNITS):
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self._tokenizer, self._bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self._plain, self._tokenizer, self._bare = (Tokenizer.from_file(path) for _ in range(3))
+        self._tokenizer.encode_special_tokens = True  # units have no added token, but folding may make one up
         # the same vocabulary and merges, for units that are one piece already
         self._bare.normalizer = normalizers.Sequence([])
         self._bare.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        for t in (self._tokenizer, self._bare):
-            t.encode_special_tokens = True
-        steps = json.loads(self._tokenizer.to_str()).get("normalizer") or {}
+        spec = json.loads(self._tokenizer.to_str())
+        steps = spec.get("normalizer") or {}
         self._folds = "Lowercase" in [n.get("type") for n in steps.get("normalizers", [steps])]
-        self._words = Words()
-        self._memo: dict[str | bytes, bytes] = {}
-        self._common: dict[str, bytes] = {}
+        self._cut = (_FOLDED if self._folds else _UNIT).findall
+        self._added = [t["content"] for t in spec.get("added_tokens") or []]
+        self._words = Words(fold=self._folds)
+        self._memo: dict[bytes, bytes] = {}
         self._memo_units, self._met = memo_units, bytearray(_SLOTS + 1)
 
-    def _encode_words(self, texts: list[str | None]) -> list[bytes]:
-        """For tokenizers that fold case and drop white space: each distinct word of some megabytes is looked up once.
-
-        Words are told apart by 64-bit hashes inside a group of GROUP_BYTES; the memo is by their bytes.
-        """
-        out: list[bytes] = []
-        group: list[bytes] = []
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        out = [b""] * len(texts)
+        group: list[int] = []
+        held: list[bytes] = []
         size = 0
-        for t in texts:
-            b = t.encode("utf-8", "surrogatepass") if t else b""
-            if group and size + len(b) > GROUP_BYTES:
-                out += self._encode_group(group)
-                group, size = [], 0
-            group.append(b)
-            size += len(b) + 1
-        return out + self._encode_group(group) if group else out
+
+        def flush() -> None:
+            for i, ids in zip(group, self._encode_group(held), strict=True):
+                out[i] = ids
+
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if any(a in t for a in self._added):
+                out[i] = np.array(self._plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+            elif not self._folds and not t.isascii() and _WIDE.search(t):
+                out[i] = b"".join(self._looked_up([u.encode("utf-8", "surrogatepass") for u in self._cut(t)]))
+            else:
+                b = t.encode("utf-8", "surrogatepass")
+                if group and size + len(b) > GROUP_BYTES:
+                    flush()
+                    group, held, size = [], [], 0
+                group.append(i)
+                held.append(b)
+                size += len(b) + 1
+        if group:
+            flush()
+        return out
 
     def _encode_group(self, texts: list[bytes]) -> list[bytes]:
+        """Words are told apart by 64-bit hashes inside a group; the memo is by their bytes."""
         data = b"\n".join(texts) + b"\n"
         view, found, at = np.frombuffer(data, np.uint8), [], 0
         while at < len(data):
@@ -112,66 +129,76 @@ class Encoder:
             found.append((h, starts + at, ends + at))
             at = end
         h, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True))
+        after = np.cumsum([len(t) + 1 for t in texts])  # behind each text and its separator
+        until_text = np.searchsorted(starts, after)  # how many words up to the end of each text
+        spaced = np.zeros(len(starts), bool)
+        gaps: list[tuple[int, int, bytes]] = []
+        if not self._folds:
+            spaced, gaps = self._gaps(data, view, starts, ends, after, until_text)
+            h = h ^ (spaced * _SPACED)
         _, first, back = np.unique(h, return_index=True, return_inverse=True)
-        words = [data[a:b].lower() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        parts = list(map(self._memo.get, words))
-        if missing := [k for k, ids in enumerate(parts) if ids is None]:
-            new = self._encode([words[k].decode("utf-8", "surrogatepass") for k in missing])
-            for k, ids in zip(missing, new.values(), strict=True):
-                parts[k] = ids
-            self._remember({words[k]: parts[k] for k in missing})
+        words = [data[a:b] for a, b in zip((starts - spaced)[first].tolist(), ends[first].tolist(), strict=True)]
+        if self._folds:
+            words = [w.lower() for w in words]
+        if gaps:
+            place = {g: len(words) + n for n, g in enumerate(dict.fromkeys(g for _, _, g in gaps))}
+            words += list(place)
+            back = np.insert(back, [j for j, _, _ in gaps], [place[g] for _, _, g in gaps])
+            until_text = until_text + np.searchsorted([k for _, k, _ in gaps], np.arange(len(texts)), "right")
+        parts = self._looked_up(words)
         length = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         flat, begin = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(length) - length
         each = length[back]
         until = np.cumsum(each)
         ids = flat[np.repeat(begin[back] - (until - each), each) + np.arange(int(until[-1]) if len(until) else 0)]
-        # how many words, then ids, lie before the end of each text
-        n_words = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
-        cuts = np.concatenate([[0], until])[n_words].tolist()
+        cuts = np.concatenate([[0], until])[until_text].tolist()
         return [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
 
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        if self._folds:
-            return self._encode_words(texts)
-        out = []
-        for i in range(0, len(texts), 256):
-            cut = [_UNIT.findall(t) if t else [] for t in texts[i : i + 256]]
-            units = [u for own in cut for u in own]
-            parts = list(map(self._common.get, units))
-            rare = [k for k, ids in enumerate(parts) if ids is None]
-            missing = []
-            for k, ids in zip(rare, map(self._memo.get, [units[k] for k in rare]), strict=True):
-                if ids is None:
-                    missing.append(k)
-                parts[k] = ids
-            if missing:
-                new = self._encode(list({units[k] for k in missing}))
-                for k in missing:
-                    parts[k] = new[units[k]]
-                self._remember(new)
-            at = 0
-            for own in cut:
-                out.append(b"".join(parts[at : at + len(own)]))
-                at += len(own)
-        return out
+    @staticmethod
+    def _gaps(data: bytes, view: np.ndarray, starts: np.ndarray, ends: np.ndarray, after: np.ndarray, until_text: np.ndarray) -> tuple[np.ndarray, list]:
+        """Which words take the space before them, and the white space besides: (word it stands before, text, unit), in order.
 
-    def _remember(self, new: dict) -> None:
-        memo, met, common = self._memo, self._met, self._common
+        Of white space before a word the last character is the word's own if it is a space, else a unit by itself; the rest
+        is one unit, and so is white space at the end of a text.
+        """
+        owner = np.searchsorted(after, starts, "right")
+        begins = np.concatenate([[0], after[:-1]])
+        before = np.maximum(np.concatenate([[0], ends[:-1]])[: len(starts)], begins[owner])
+        gap = starts - before
+        spaced = (gap > 0) & (view[np.maximum(starts, 1) - 1] == 0x20)
+        out = []
+        for j in np.flatnonzero(gap > spaced).tolist():
+            g = data[before[j] : starts[j] - spaced[j]]
+            for unit in (g,) if spaced[j] else (g[:-1], g[-1:]):
+                if unit:
+                    out.append((j, int(owner[j]), unit))
+        counts = np.diff(until_text, prepend=0)
+        last = np.where(counts > 0, np.concatenate([[0], ends])[until_text], begins)
+        tails = [(int(until_text[k]), k, data[last[k] : after[k] - 1]) for k in np.flatnonzero(after - 1 > last).tolist()]
+        return spaced, sorted([*tails, *out], key=lambda x: (x[1], x[0])) if tails else out
+
+    def _looked_up(self, units: list[bytes]) -> list[bytes]:
+        """The ids of each unit."""
+        parts = list(map(self._memo.get, units))
+        if missing := {units[k]: None for k, ids in enumerate(parts) if ids is None}:
+            new = self._encode(list(missing))
+            parts = [new[u] if ids is None else ids for u, ids in zip(units, parts, strict=True)]
+            self._remember(new)
+        return parts
+
+    def _remember(self, new: dict[bytes, bytes]) -> None:
+        memo, met = self._memo, self._met
         for unit, ids in new.items():
             if len(unit) <= MEMO_LENGTH and len(memo) < self._memo_units:
                 slot = hash(unit) & _SLOTS
                 if met[slot] or 4 * len(memo) < 3 * self._memo_units:
                     memo[unit] = ids
-                    if len(common) < COMMON_UNITS:
-                        common[unit] = ids
                 met[slot] = 1
 
-    def _encode(self, units: list[str]) -> dict[str, bytes]:
-        """Ids of distinct units that the memo lacks.  Whole words of folded text are made of smaller units."""
-        if not self._folds:
-            return self._library(units)
-        cut = [_FOLDED.findall(u) for u in units]
-        known = {x: self._memo.get(x.encode()) for own in cut for x in own}
+    def _encode(self, units: list[bytes]) -> dict[bytes, bytes]:
+        """Ids of distinct units that the memo lacks, by way of the smaller units they are made of."""
+        cut = [self._cut(u.decode("utf-8", "surrogatepass")) for u in units]
+        known = {x: self._memo.get(x.encode("utf-8", "surrogatepass")) for own in cut for x in own}
         found = known | self._library([x for x, ids in known.items() if ids is None])
         return {u: b"".join([found[x] for x in own]) for u, own in zip(units, cut, strict=True)}
 
