@@ -1,23 +1,30 @@
 """HTML to text by layout: all visible text, with block spacing, lists and aligned table cells.
 
 A builder keeps the stack of open elements, closes those that HTML closes by implication and drops end tags that match
-nothing; each element writes into the layout as it opens and closes, so depth costs no recursion and a page no tree.
+nothing; each element writes into the layout as it opens and closes, so depth costs no recursion and a page no tree.  The
+places of open elements are kept by name, so a tag costs the same whatever is open, and a page costs time by its length.
 
 Visible is what a browser that can run scripts shows before any has run: nothing inside head, script, style, template,
-noscript, iframe, object, svg, canvas, audio, video, a data list or a formula's annotations and phantoms, nor under the attribute `hidden` or a style of display:none or
-visibility:hidden, nor closed dialogs.  A paragraph-like block stands between empty lines, another block on its own lines;
-list items have a mark and indent; table rows are lines (or several, if cells have several) whose cells start in common
+noscript, iframe, object, svg, canvas, audio, video, a data list or a formula's annotations and phantoms, nor under the
+attribute `hidden` or a style of display:none or visibility:hidden, nor closed dialogs, nor closed details but for their
+summary.  A paragraph-like block stands between empty lines, another block on its own lines; list items have a mark and
+indent, up to INDENT characters; table rows are lines (or several, if cells have several) whose cells start in common
 columns, up to COLUMN characters wide, and stay clear of cells that span from rows above; `pre` and `xmp` keep their white
 space; formulae are inline text; inputs show their value, unless their type has none to read.
 
-Defined cases: a null or empty page has an empty text; text without markup is one block; broken markup never fails;
-repeated rows render alike; other columns pass through.
+Beyond COLUMNS columns or LINE characters of a row, cells follow each other without alignment, and the cells of tables
+inside more than NESTED others are blocks; text is never left out for that.
+
+Defined cases: a null or empty page has an empty text; text without markup is one block; broken markup never fails: numbers
+that are none count as absent, a tag that the page's end cuts off is dropped; repeated rows render alike; other columns pass
+through, but one with the name of the new column is replaced.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,6 +35,8 @@ from .common import table
 
 #: Widest padding of a table column.
 COLUMN = 60
+#: Columns that are aligned, width of the lines on which they are, deepest indent, and tables around one that has a grid.
+COLUMNS, LINE, INDENT, NESTED = 64, 400, 60, 12
 #: Most rows that a cell spans (a fixed value of HTML).
 ROWS = 65_534
 #: Element names by role (fixed values of HTML).
@@ -62,11 +71,33 @@ ENDS_P = BLOCK - frozenset("td th tr tbody thead tfoot caption option optgroup h
 IN_HEAD = frozenset("base link meta script style title template noscript".split())
 #: An end tag does not reach through these, unless it is one of them.
 WALLS = frozenset("td th table caption".split())
+P_WALLS = WALLS | {"button"}
+
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAME = re.compile(r"[a-zA-Z][^ \t\n\f/>]*")
+_BETWEEN = re.compile(r"[ \t\n\f/]*")
+_ATTRIBUTE = re.compile(r"=?[^ \t\n\f/>=]*")
+_EQUALS = re.compile(r"[ \t\n\f]*=[ \t\n\f]*")
+_BARE = re.compile(r"[^ \t\n\f>]*")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
+_INTEGER = re.compile(r"[ \t\n\f\r]*([+-]?)0*([0-9]*)")
+_REFERENCE = re.compile(r"&#0*+[0-9]{8,};?")
+
+
+def number(s: str | None, otherwise: int, most: int = (1 << 31) - 1) -> int:
+    """The integer that an attribute begins with, as HTML reads it: ASCII digits, at most `most` in size."""
+    m = _INTEGER.match(s or "")
+    if not m or m.end() == m.end(1) or (not m[2] and "0" not in m[0]):
+        return otherwise
+    n = min(int(m[2][:12] or 0), most)
+    return -n if m[1] == "-" else n
+
+
+def unescape(s: str) -> str:
+    """Text with character references read; those beyond all code points, of any number of digits, are U+FFFD."""
+    return html.unescape(_REFERENCE.sub("\ufffd", s) if "&#" in s else s)
 
 
 class Sheet:
@@ -131,88 +162,100 @@ class Grid:
         self.rows: list[list[tuple[int, int, list[str]]]] = []  # columns, rows, lines
         self.groups: set[int] = set()  # the first row of each group, which no cell from above spans into
 
-    def placed(self) -> Iterator[list[tuple[int, list[str]]]]:
-        """The rows with an empty cell in each column that a cell from above spans."""
-        held: dict[int, int] = {}  # rows to come, by column
+    def placed(self) -> Iterator[list[tuple[int, int, list[str]]]]:
+        """Column, columns and lines of the cells of each row, beside the columns that cells from above span."""
+        until: dict[int, int] = {}  # the last row that a cell spans, by column that is aligned
         for k, row in enumerate(self.rows):
             if k in self.groups:
-                held = {}
-            out, at, new = [], 0, {}
+                until = {}
+            out, at = [], 0
             for span, rows, cell in row:
-                while at in held:
-                    out.append((1, []))
+                while until.get(at, -1) >= k:
                     at += 1
                 if rows > 1:
-                    new |= dict.fromkeys(range(at, at + span), rows - 1)
-                out.append((span, cell))
+                    until |= dict.fromkeys(range(at, min(at + span, COLUMNS)), k + rows - 1)
+                if cell:
+                    out.append((at, span, cell))
                 at += span
-            held = {c: n - 1 for c, n in held.items() if n > 1} | new
             yield out
 
     def lines(self) -> list[str]:
-        rows = [r for r in self.placed() if any(c for _, c in r)]
-        width: list[int] = []
+        rows = [r for r in self.placed() if r]
+        width = [0] * COLUMNS
         for row in rows:
-            at = 0
-            for span, cell in row:
-                width += [0] * (at + span - len(width))
-                if span == 1 and cell:
+            for at, span, cell in row:
+                if span == 1 and at < COLUMNS:
                     width[at] = max(width[at], min(COLUMN, max(map(len, cell))))
-                at += span
+        begins = [0]  # of each column, as wide as a line goes
+        for w in width:
+            begins.append(min(begins[-1] + w + 2, LINE))
         out = []
         for row in rows:
-            for k in range(max(len(c) for _, c in row)):
-                parts, at = [], 0
-                for span, cell in row:
-                    room = sum(width[at : at + span]) + 2 * (span - 1)
-                    parts.append((cell[k] if k < len(cell) else "").ljust(room))
-                    at += span
-                out.append("  ".join(parts).rstrip())
+            cells, k = [(begins[min(at, COLUMNS)], cell) for at, _, cell in row], 0
+            while cells:
+                line = ""
+                for begin, cell in cells:
+                    line = line.ljust(begin) if not line or len(line) + 2 <= begin else line + "  "
+                    line += cell[k]
+                out.append(line)
+                k += 1
+                cells = [c for c in cells if len(c[1]) > k]
         return out
 
 
-def _attributes(s: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(s)}
-
-
 class Layout:
     """One page."""
 
     def __init__(self):
         self.sheet = Sheet()
-        self.stack: list[tuple] = []  # name, unseen, state to restore
+        self.stack: list[tuple] = []  # name, change of unseen, state to restore, whether it was opened in the layout
+        self.places: dict[str, list[int]] = {}  # where in the stack each name is open
         self.unseen = self.pre = 0
 
-    def start(self, name: str, rest: str) -> None:
-        names = [e[0] for e in self.stack[-64:]]
-        if "head" in names and name not in IN_HEAD:
-            self._close_to("head", frozenset())
-        if name in ENDS_P and "p" in names:
-            self._close_to("p", WALLS | {"button"})
+    def _last(self, names) -> int:
+        """The innermost place of any of the names, -1 if none is open."""
+        return max((own[-1] for n in names if (own := self.places.get(n))), default=-1)
+
+    def _inside(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def _imply(self, name: str) -> None:
+        """Closes and opens what a start tag implies."""
+        if name not in IN_HEAD and self._inside("head"):
+            self._pop_to(self.places["head"][-1])
+        if name in ENDS_P and self._inside("p") and (p := self.places["p"][-1]) > self._last(P_WALLS):
+            self._pop_to(p)
+        if name in HEADINGS and self.stack and self.stack[-1][0] in HEADINGS:
+            self._pop_to(len(self.stack) - 1)
         if name in CLOSES:
             shut, bound = CLOSES[name]
-            k = len(self.stack) - 1
-            last = -1
-            while k >= 0 and self.stack[k][0] not in bound:
-                if self.stack[k][0] in shut:
-                    last = k
-                k -= 1
-            if last >= 0:
-                self._pop_to(last)
-        if name in ("td", "th") and not any(e[0] in ("tr", "table") for e in self.stack[-1:]) and self._inside("table"):
-            self.start("tr", "")
-        attributes = _attributes(rest) if rest and rest != "/" else {}
+            inner = self._last(bound)
+            first = [own[k] for n in shut if (own := self.places.get(n)) and (k := bisect_right(own, inner)) < len(own)]
+            if first:
+                self._pop_to(min(first))
+        if name in ("td", "th") and self._inside("table") and self.stack[-1][0] not in ("tr", "table"):
+            self.start("tr", {})
+
+    def start(self, name: str, attributes: dict[str, str]) -> None:
+        self._imply(name)
         hidden = name in HIDDEN or "hidden" in attributes or bool(_UNSEEN.search(attributes.get("style", "")))
         hidden |= name == "dialog" and "open" not in attributes
         if name in VOID:
             if not self.unseen and not hidden:
                 self._void(name, attributes)
             return
-        self.unseen += hidden
-        self.stack.append((name, hidden, None if self.unseen else self._open(name, attributes)))
-
-    def _inside(self, name: str) -> bool:
-        return any(e[0] == name for e in self.stack)
+        change = int(hidden)
+        if name == "summary" and not hidden and self.stack and self.stack[-1][0] == "details" and self.stack[-1][2] == ["closed"]:
+            self.stack[-1][2][0] = "summed up"  # the first summary of closed details shows
+            change = -1
+        self.unseen += change
+        opened = not self.unseen
+        state = self._open(name, attributes) if opened else None
+        if name == "details" and "open" not in attributes:
+            change, state = change + 1, ["closed"]
+            self.unseen += 1
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, change, state, opened))
 
     def _void(self, name: str, attributes: dict[str, str]) -> None:
         if name == "br":
@@ -229,11 +272,10 @@ class Layout:
         if name in ("td", "th"):
             grid = self._grid()
             if grid is not None:
-                span, rows = attributes.get("colspan", "1").strip(), attributes.get("rowspan", "1").strip()
                 self.sheet = Sheet()
-                span = min(int(span), 100) if span.isdecimal() and int(span) else 1
+                span, rows = number(attributes.get("colspan"), 1, 100), number(attributes.get("rowspan"), 1, ROWS)
                 # 0 is all rows to the end of the group
-                return ("cell", sheet, grid, span, (min(int(rows), ROWS) or ROWS) if rows.isdecimal() else 1)
+                return ("cell", sheet, grid, max(span, 1), (rows or ROWS) if rows >= 0 else 1)
         if name == "tr" and (grid := self._grid()) is not None:
             grid.rows.append([])
             return None
@@ -243,60 +285,50 @@ class Layout:
             nested = name in ("ul", "ol") and self._inside("li")
             sheet.space() if name in SPACED and not nested else sheet.line()
         if name == "table":
-            return ("table", Grid())
+            return ("table", Grid()) if len(self.places.get("table", ())) < NESTED else None
         if name in ("pre", "xmp"):
             self.pre += 1
             return ("pre",)
         if name in ("ul", "ol", "menu"):
-            first = attributes.get("start", "1")
-            return ("list", [int(first) if first.lstrip("-").isdigit() else 1] if name == "ol" else None, sheet.indent, name in ("ul", "ol") and self._inside("li"))
+            first = [number(attributes.get("start"), 1)] if name == "ol" else None
+            return ("list", first, sheet.indent, name in ("ul", "ol") and self._inside("li"))
         if name == "li":
-            counter = next((e[2][1] for e in reversed(self.stack) if e[2] and e[2][0] == "list"), None)
+            of = self._last(("ul", "ol", "menu"))
+            counter = self.stack[of][2][1] if of >= 0 and self.stack[of][2] else None
             mark = "- "
             if counter is not None:
+                counter[0] = number(attributes.get("value"), counter[0])
                 mark = f"{counter[0]}. "
                 counter[0] += 1
             state = ("item", sheet.indent)
-            sheet.mark, sheet.indent = sheet.indent + mark, sheet.indent + " " * len(mark)
+            sheet.mark, sheet.indent = sheet.indent + mark, (sheet.indent + " " * len(mark))[:INDENT]
             return state
         if name in ("dd", "blockquote"):
             state = ("item", sheet.indent)
-            sheet.indent += "  "
+            sheet.indent = (sheet.indent + "  ")[:INDENT]
             return state
         if name == "q":
             sheet.text('"', False)
         return None
 
     def _grid(self) -> Grid | None:
-        for name, _, state in reversed(self.stack):
-            if name == "table":
-                return state[1] if state else None
-        return None
+        at = self._last(("table",))
+        return self.stack[at][2][1] if at >= 0 and self.stack[at][2] else None
 
     def end(self, name: str) -> None:
         if name == "br":
-            return self.start("br", "")
-        for k in range(len(self.stack) - 1, -1, -1):
-            own = self.stack[k][0]
-            if own == name:
-                return self._pop_to(k)
-            if own in WALLS and name not in WALLS and name not in ("tr", "tbody", "thead", "tfoot", "html", "body"):
-                return None
-        return None
-
-    def _close_to(self, name: str, bounds: frozenset) -> None:
-        for k in range(len(self.stack) - 1, -1, -1):
-            if self.stack[k][0] == name:
-                return self._pop_to(k)
-            if self.stack[k][0] in bounds:
-                return None
+            return self.start("br", {})
+        own = self.places.get(name)
+        through = name in WALLS or name in ("tr", "tbody", "thead", "tfoot", "html", "body")
+        if own and (through or own[-1] > self._last(WALLS)):
+            self._pop_to(own[-1])
 
     def _pop_to(self, k: int) -> None:
         while len(self.stack) > k:
-            name, hidden, state = self.stack.pop()
-            visible = not self.unseen
-            self.unseen -= hidden
-            if visible:
+            name, change, state, opened = self.stack.pop()
+            self.places[name].pop()
+            self.unseen -= change
+            if opened:
                 self._shut(name, state)
 
     def _shut(self, name: str, state) -> None:
@@ -335,36 +367,83 @@ class Layout:
         if s and not self.unseen:
             if self.stack and self.stack[-1][0] in ("table", "tbody", "thead", "tfoot", "tr") and not s.strip():
                 return
-            self.sheet.text(html.unescape(s) if "&" in s else s, self.pre > 0)
+            self.sheet.text(unescape(s) if "&" in s else s, self.pre > 0)
+
+    @staticmethod
+    def _tag(page: str, at: int) -> tuple[int, dict[str, str]]:
+        """Where a tag ends whose name ends at `at`, and its attributes; -1 if the page ends first.
+
+        Quotes count after an equals sign alone, as in HTML.  Each character is looked at a bounded number of times.
+        """
+        found: dict[str, str] = {}
+        while True:
+            at = _BETWEEN.match(page, at).end()
+            if at >= len(page):
+                return -1, found
+            if page[at] == ">":
+                return at + 1, found
+            m = _ATTRIBUTE.match(page, at)
+            name, value, at = m[0].lower(), "", m.end()
+            if m := _EQUALS.match(page, at):
+                at = m.end()
+                quote = page[at : at + 1]
+                if quote in ('"', "'"):
+                    close = page.find(quote, at + 1)
+                    if close < 0:
+                        return -1, found
+                    value, at = page[at + 1 : close], close + 1
+                elif quote != ">":
+                    m = _BARE.match(page, at)
+                    value, at = m[0], m.end()
+            found.setdefault(name, unescape(value) if "&" in value else value)
 
     def render(self, page: str) -> str:
-        at = 0
         page = page.replace("\r\n", "\n").replace("\r", "\n")
-        while m := _TOKEN.search(page, at):
-            if m.start() > at:
-                self.text(page[at : m.start()])
-            at = m.end()
-            if not m[2]:
+        at = begun = 0  # text not yet written begins there
+        while (at := page.find("<", at)) >= 0:
+            closing = page.startswith("/", at + 1)
+            name = _NAME.match(page, at + 1 + closing)
+            if not name and not closing and page[at + 1 : at + 2] not in ("!", "?"):
+                at += 1
                 continue
-            name = m[2].lower()
-            if m[1]:
-                self.end(name)
+            self.text(page[begun:at])
+            if not name:  # a comment, a declaration or an end tag of nothing
+                comment = page.startswith("<!--", at)
+                end = page.find("-->" if comment else ">", at + 2)
+                begun = at = len(page) if end < 0 else end + (3 if comment else 1)
                 continue
-            self.start(name, m[3])
-            if name in RAW:
-                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>|\Z", re.I).search(page, at)
-                if name == "textarea":
-                    self.text(page[at : close.start()])
-                elif name == "xmp" and not self.unseen:  # its text has no entities
-                    self.sheet.text(page[at : close.start()], True)
-                self.end(name)
-                at = close.end()
-            elif name == "pre" and page.startswith("\n", at):
-                at += 1
-        self.text(page[at:])
+            end, attributes = self._tag(page, name.end())
+            begun = at = len(page) if end < 0 else end
+            if end < 0:
+                break
+            tag = name[0].lower()
+            if closing:
+                self.end(tag)
+                continue
+            self.start(tag, attributes)
+            if tag in RAW:
+                begun = at = self._raw(page, at, tag)
+            elif tag == "pre" and page.startswith("\n", at):
+                begun = at = at + 1
+        self.text(page[begun:])
         self._pop_to(0)
         return "\n".join(self.sheet.done())
 
+    def _raw(self, page: str, at: int, tag: str) -> int:
+        """Past an element whose content is no markup."""
+        close = _RAW_END[tag].search(page, at)
+        stop = close.start() if close else len(page)
+        if tag == "textarea":
+            self.text(page[at:stop])
+        elif tag == "xmp" and not self.unseen:  # its text has no entities
+            self.sheet.text(page[at:stop], True)
+        self.end(tag)
+        end = self._tag(page, close.end())[0] if close else -1
+        return len(page) if end < 0 else end
+
+
+_RAW_END = {name: re.compile(rf"</{name}(?=[ \t\n\f/>])", re.I) for name in RAW}
+
 
 def extract(page: str | None) -> str:
     return Layout().render(page) if page else ""
