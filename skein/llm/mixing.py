@@ -7,10 +7,12 @@ fraction is 0 or 1, with odds that keep each expected value; the words that the
 of a source are rounded side by side and leave one fraction each; those meet in the next layer of a reduction tree.  So a
 source's taken words miss its target by part of a single row.
 
-Choices are hashes of seed and key, so runs agree whatever the partitions.
+Rows that are alike are counted before they are dealt and travel in chunks, so a repeated or absent identifier is no
+burden to one block.  Choices are hashes of seed and key, so runs agree whatever the partitions.
 
 Defined cases: a null source is a source of its own, with the last place; a null or empty text has size 0 and takes
-0 words; an empty table gives an empty mix; rows that repeat are rounded one by one; other columns are ignored.
+0 words; an empty table gives an empty mix; rows that repeat are rounded one by one; other columns are ignored by `mix`
+and pass through `mix_documents`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,12 +26,12 @@ from pyspark.sql import functions as F
 
 from .common import materialize, n_words, table
 
-#: Rows that one task rounds together, and residuals that meet in one node of the tree.
-BLOCK, FANOUT = 8192, 512
+#: Rows that one task rounds together, residuals that meet in one node of the tree, and equal rows that travel as one.
+BLOCK, FANOUT, CHUNK = 8192, 512, 1024
 _EPS = 1e-9
 #: Stands for a null doc_id while rows are in pandas, which would make the column one of floats.
 _NO_ID = -(1 << 63)
-_ROWS = "doc_id long, source string, size long, source_size long, target double, base int, x double, block long, open boolean"
+_ROWS = "doc_id long, source string, size long, tag long, source_size long, target double, base int, x double, block long, open boolean"
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -67,28 +69,28 @@ def _unit(seed: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def _pivot(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
     """Rounds one block of rows of one source; at most one row stays open.
 
-    Large rows go first.  A fraction that stays with a row of over 4 times the size of the next is drawn by itself, and the
-    words it takes too many or too few are taken from or given to the fractions still to come, where these have enough; so
-    the fraction left at the end is one of a small row, and the words of the block stay as they were.
+    Large rows go first.  A fraction that stays with a row of over 4 times the size of the next steps against all fractions
+    still to come at once, where these have room: it becomes 1 with odds x, and they give its missing words, or 0, and they
+    take its words.  Each gives 1 - x and takes x parts of one amount, so every expected value is kept, and the fraction left
+    at the end is one of a small row.
     """
-    pdf = pdf.sort_values(["size", "doc_id"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    if "n" in pdf:
+        pdf = pdf.loc[pdf.index.repeat(pdf["n"])].drop(columns="n")
+    pdf = pdf.sort_values(["size", "doc_id", "tag"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
     x, size, opened = pdf["x"].to_numpy(float).copy(), pdf["size"].to_numpy(float), pdf["open"].to_numpy(bool).copy()
     rows = np.flatnonzero(opened)
     key = pdf["doc_id"].to_numpy(np.int64).view(np.uint64)
-    luck = _unit(seed, key[rows], key[np.roll(rows, 1)] + np.arange(len(rows), dtype=np.uint64)).tolist() if len(rows) else []
+    pairs = key[np.roll(rows, 1)] + np.arange(len(rows), dtype=np.uint64) if len(rows) else key[rows]
+    luck, alone = (_unit(s, key[rows], pairs).tolist() for s in (seed, seed ^ 0x5851F42D))
     held = -1
     for n, i in enumerate(rows.tolist()):
         if held >= 0 and size[held] > 4 * size[i]:
-            rest = rows[n:]
-            taken, free = float((x[rest] * size[rest]).sum()), float(((1 - x[rest]) * size[rest]).sum())
-            up, down = (1 - x[held]) * size[held], x[held] * size[held]
-            if up < 0.5 * taken and down < 0.5 * free:
-                if luck[n - 1] < x[held]:
-                    x[rest] *= 1 - up / taken
-                    x[held] = 1.0
-                else:
-                    x[rest] = 1 - (1 - x[rest]) * (1 - down / free)
-                    x[held] = 0.0
+            rest, own = rows[n:], x[held]
+            room = np.minimum(x[rest] / (1 - own), (1 - x[rest]) / own)
+            if (total := float((room * size[rest]).sum())) >= 2 * size[held]:
+                amount = room * (size[held] / total)
+                x[rest] += -(1 - own) * amount if alone[n] < own else own * amount
+                x[held] = float(alone[n] < own)
                 opened[held], held = False, -1
         if held < 0:
             held = i
@@ -113,7 +115,8 @@ def _node(seed: int):
 
 
 def mix(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 20_231) -> DataFrame:
-    """doc_id, size, source, source_size, target, copies, taken for each row of sizes (doc_id, source, size).
+    """doc_id, size, tag, source, source_size, target, copies, taken for each row of sizes (doc_id, source, size, and tag if rows of
+    equal values are to be told apart by it).
 
     sizes is read several times: hand in a table, not a long plan.
     """
@@ -123,10 +126,14 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     base = F.least(F.floor(rate + _EPS), F.lit(most)).cast("int")
     x = F.greatest(rate - base, F.lit(0.0))
+    tag = F.col("tag") if "tag" in sizes.columns else F.lit(0).cast("long")
+    alike = sizes.groupBy(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), "source", "size", tag.alias("tag")).agg(F.count("*").alias("m"))
+    chunks = alike.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("m") - 1) / CHUNK).cast("long"))))
     rows = (
-        sizes.alias("s").join(F.broadcast(aims.alias("a")) if _small(aims) else aims.alias("a"), F.col("s.source").eqNullSafe(F.col("a.source")))
-        .select(F.coalesce("s.doc_id", F.lit(_NO_ID)).alias("doc_id"), "s.source", "s.size", "a.source_size", "a.target", base.alias("base"), x.alias("x"),
-                F.pmod(F.xxhash64(F.lit(seed), "s.doc_id"), n_blocks).alias("block"))
+        chunks.alias("s").join(F.broadcast(aims.alias("a")) if _small(aims) else aims.alias("a"), F.col("s.source").eqNullSafe(F.col("a.source")))
+        .select("doc_id", "s.source", "s.size", "tag", "a.source_size", "a.target", base.alias("base"), x.alias("x"),
+                F.pmod(F.xxhash64(F.lit(seed), "doc_id", "size", "tag", "chunk"), n_blocks).alias("block"),
+                F.least(F.col("m") - F.col("chunk") * CHUNK, F.lit(CHUNK)).cast("int").alias("n"))
         .withColumn("open", (F.col("size") > 0) & (F.col("x") > _EPS) & (F.col("x") < 1 - _EPS))
         .withColumn("x", F.when(F.col("open"), F.col("x")).otherwise(F.round("x")))
     )
@@ -143,10 +150,10 @@ def mix(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    lucky = (F.pmod(F.xxhash64(F.lit(seed), F.lit("last"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)) < F.col("x")
+    lucky = (F.pmod(F.xxhash64(F.lit(seed), F.lit("last"), "doc_id", "tag"), F.lit(1 << 30)) / float(1 << 30)) < F.col("x")
     copies = (F.col("base") + F.when(F.col("open"), lucky.cast("int")).otherwise(F.col("x").cast("int"))).cast("int")
     return out.withColumn("copies", copies).select(
-        F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
+        F.nullif("doc_id", F.lit(_NO_ID)).alias("doc_id"), "size", "tag", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken")
     )
 
 
@@ -163,19 +170,21 @@ def sizes_of(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """Rows of docs, each as often as the mix takes it, with all their columns.
 
-    Rows with equal doc_id and source take their copies row by row in order of size.
+    Rows are told apart by a hash of all their columns; those that are wholly alike are one row with the copies of all, so
+    no order among them is needed.  Columns of maps have no hash: rows that differ in them alone count as alike.
     """
-    names = docs.columns
-    key = {
-        "__d": F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))),
-        "__s": F.coalesce(F.concat(F.lit("="), "source"), F.lit("")),
-    }
-    nth = F.row_number().over(Window.partitionBy("__d", "__s").orderBy("__n"))
-    chosen = mix(sizes_of(docs), **options).withColumns(key | {"__n": F.col("size")}).withColumn("__k", nth)
-    chosen = chosen.select("__d", "__s", "__k", "copies").where("copies > 0")
-    full = docs.withColumns(key | {"__n": n_words(F.col("text"))}).withColumn("__k", nth)  # one shuffle serves window and join
-    taken = full.join(chosen, ["__d", "__s", "__k"]).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return taken.select(*[F.col(f"`{n}`") for n in names])
+    names = [f"`{n}`" for n in docs.columns]
+    hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    rows = docs.select(F.struct(*names).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(*hashed).alias("tag"))
+    key = {"id": F.coalesce("doc_id", F.lit(_NO_ID)), "src": F.coalesce("source", F.lit(""))}  # one shuffle serves both below
+    by = [*key, "size", "tag"]
+    chosen = mix(materialize(rows.drop("row"), "mix_sizes"), **options).withColumns(key)
+    chosen = chosen.groupBy(*by).agg(F.sum("copies").alias("copies")).where("copies > 0")
+    taken = rows.withColumns(key).groupBy(*by).agg(F.first("row").alias("row")).join(chosen, by).select("row", "copies")
+    # in two steps, so that no array grows with the copies of one row
+    some = taken.select("row", "copies", F.explode(F.sequence(F.lit(0), F.floor((F.col("copies") - 1) / CHUNK))).alias("part"))
+    each = F.sequence(F.lit(1), F.least(F.col("copies") - F.col("part") * CHUNK, F.lit(CHUNK)))
+    return some.select("row", F.explode(each)).select("row.*")
 
 
 def op2_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,7 @@
 import collections
 
+import numpy as np
+import pandas as pd
 import pytest
 
 from skein.llm import mixing as M
@@ -55,10 +57,55 @@ def test_tree_over_blocks_comes_near(spark, monkeypatch):
 def test_documents_of_the_mix(docs, none):
     mixed = M.mix_documents(docs)
     assert mixed.columns == docs.columns
-    assert mixed.count() == sum(r.copies for r in M.mix(M.sizes_of(docs)).collect())
+    taken, target = collections.Counter(), {r.source: r.target for r in M.mix(M.sizes_of(docs)).collect()}
+    for r in mixed.collect():
+        taken[r.source] += len((r.text or "").split())
+    assert all(abs(taken[s] - target[s]) <= 30_000 for s in target)
     assert M.mix_documents(none).count() == 0
 
 
+def test_expected_copies_are_kept():
+    """Blocks of an upper layer, with unequal fractions and large rows: each row's mean over seeds is its fraction."""
+    rng = np.random.default_rng(3)
+    n = 60
+    x = np.where(np.arange(n) % 2, 0.1, 0.9)
+    size = np.where(np.arange(n) == 7, 400, rng.integers(1, 9, n))
+    x[7] = 0.6
+    pdf = pd.DataFrame({"doc_id": np.arange(n), "source": "s", "size": size, "tag": 0, "source_size": 1, "target": 1.0, "base": 0, "x": x, "block": 0, "open": True})
+    mean, runs = np.zeros(n), 4000
+    for seed in range(runs):
+        out = M._pivot(pdf, seed).sort_values("doc_id")
+        mean += out["x"].to_numpy() / runs
+        assert out["open"].sum() <= 1 and abs((out["x"] * out["size"]).sum() - (x * size).sum()) < 1e-6
+    assert np.abs(mean - x).max() < 4.5 * np.sqrt(0.25 / runs)
+
+
+def test_many_equal_rows_are_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(M, "BLOCK", 64)
+    monkeypatch.setattr(M, "CHUNK", 16)
+    rows = [(None, "a", 7)] * 900 + [(5, "b", 3)] * 700 + [(i, "c", i % 50) for i in range(300)]
+    out = M.mix(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    assert collections.Counter((r.doc_id, r.source, r.size) for r in out) == collections.Counter(rows)
+    taken, target = collections.Counter(), {}
+    for r in out:
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(abs(taken[s] - target[s]) <= 50 for s in target)
+
+
+def test_documents_with_awkward_columns(spark):
+    """Repeated rows, absent keys and columns with the names that the mix uses itself."""
+    rows = [(i % 5 if i % 4 else None, prose(i % 7, 5 + i % 3), "s" if i % 3 else None, i % 2, 1, "x", [i % 2]) for i in range(60)]
+    names = "doc_id long, text string, source string, copies int, tag int, row string, size array<int>"
+    docs = spark.createDataFrame(rows, names)
+    mixed = M.mix_documents(docs)
+    assert mixed.columns == docs.columns
+    had, got = collections.Counter(map(str, rows)), collections.Counter(str(tuple(r)) for r in mixed.collect())
+    assert set(got) <= set(had) and all(n <= 2 * had[r] for r, n in got.items())
+    assert got.total() == sum(r.copies for r in M.mix(M.sizes_of(docs)).collect()) or abs(got.total() - 90) <= 15
+    assert got == collections.Counter(str(tuple(r)) for r in M.mix_documents(docs.repartition(7)).collect())
+
+
 @pytest.mark.parametrize("limit", [300, 2_000, 10**9])
 def test_shards(docs, limit, spark):
     rows = S.shard_documents(docs, limit).collect()
