@@ -1,15 +1,17 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 Features are 32-bit hashes of single words, pairs of neighbours and pairs with one word between, present or not.  Each
-coordinate has its own rate and an L1 bound, so that few weights are not zero; only these are broadcast.
+coordinate has its own rate and an L1 bound, so that few weights are not zero; only these are broadcast.  Weights are not
+below zero and the bias is the log-odds of the labels: no number of harmless words makes up for a toxic one, so long texts
+and languages with few toxic texts are judged as others are.
 
-The model is fitted on a bounded sample of labelled rows: at most TRAIN_ROWS by the hash of their id, in one task.  Texts
-reach it as feature hashes; L1 alone selects among them, whatever the number of texts that have a feature.
-Scoring reads whole texts where they lie.
+The model is fitted on a bounded sample of labelled rows, in one task: at most TRAIN_ROWS by the hash of their id, one row of
+each id, and of these as many as have TRAIN_FEATURES features in all.  Texts reach it as feature hashes; L1 alone selects
+among them, whatever the number of texts that have a feature.  Scoring reads whole texts where they lie.
 
 Defined cases: a null or empty text has the score that the bias alone gives; labels that are null or absent are not used;
-without labels of both classes every score is 0; repeated rows score alike; other columns pass through `filter_documents`
-and are ignored elsewhere.
+of rows with one id the least text is learned; without labels every score is 0, and with labels of one class alone it is
+that class; repeated rows score alike; other columns pass through `filter_documents` and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -25,11 +27,10 @@ from pyspark.sql import functions as F
 from .common import table
 from .hashing import MARKS, Words, batches, grams, mix
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS, TRAIN_FEATURES = 12_000, 16_000_000
 EPOCHS = 8
-#: FTRL-proximal: rate, its smoothing, L1 and L2; L1 has the least log loss on folds of the training rows of the 0.1 table
-#: among those that can give a weight to a feature of two texts.
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 14.0, 1.0
+#: FTRL-proximal: rate, its smoothing, L1 and L2.
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 10.0, 1.0
 THRESHOLD = 0.3
 
 
@@ -52,7 +53,14 @@ class Model:
             at = np.searchsorted(own, self.keys)
             at[at == len(own)] = 0
             z += float(self.weights[own[at] == self.keys].sum())
-        return float(1.0 / (1.0 + np.exp(-np.clip(z, -35, 35))))
+        return float(1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))) if np.isfinite(z) else float(z > 0)
+
+
+def log_odds(labels: np.ndarray) -> float:
+    """Of class 1; infinite where there is but one class, and minus infinity without labels."""
+    if not labels.any() or labels.all():
+        return np.inf if len(labels) and labels.all() else -np.inf
+    return float(np.log(labels.mean() / (1 - labels.mean())))
 
 
 def fit(texts: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
@@ -67,8 +75,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray,
         at[at == len(keys)] = 0
         rows.append(at[keys[at] == own] if len(keys) else at[:0])
     z, n, w = np.zeros(len(keys)), np.zeros(len(keys)), np.zeros(len(keys))
-    bias = float(np.log(max(labels.mean(), 1e-6) / max(1 - labels.mean(), 1e-6)))
-    bias_n = 1.0
+    bias = log_odds(labels)
     for epoch in range(EPOCHS):
         for i in np.random.default_rng(epoch).permutation(len(rows)):
             at = rows[i]
@@ -79,10 +86,7 @@ def fit(texts: list[np.ndarray], labels: np.ndarray) -> tuple[float, np.ndarray,
             sigma = (np.sqrt(n_new) - np.sqrt(n_old)) / ALPHA
             z_new = z[at] + g - sigma * w[at]
             z[at], n[at] = z_new, n_new
-            shrunk = np.sign(z_new) * L1 - z_new
-            w[at] = np.where(np.abs(z_new) > L1, shrunk / ((BETA + np.sqrt(n_new)) / ALPHA + L2), 0.0)
-            bias_n += g * g
-            bias -= 0.05 * g / np.sqrt(bias_n)
+            w[at] = np.maximum(-L1 - z_new, 0.0) / ((BETA + np.sqrt(n_new)) / ALPHA + L2)
     used = w != 0
     return bias, keys[used], w[used]
 
@@ -91,8 +95,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, trai
     """Fits on at most train_rows rows of docs (doc_id, text) that have a label (doc_id, toxic) and are `usable`."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IS NOT NULL")
     known = known.where(usable) if usable is not None else known
-    sample = known.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
+    # of labels that differ the greater one counts
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # bounded by train_rows
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
     def extract(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = Words(MARKS)
@@ -101,20 +108,25 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, trai
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "features": own})
 
     def learn(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, y, rows = [], [], []
+        y, rows, held = [], [], 0
         for pdf in frames:
-            ids += pdf["doc_id"].tolist()
-            y += pdf["toxic"].tolist()
-            rows += [np.frombuffer(f, np.uint32) for f in pdf["features"]]
-        if len(set(y)) < 2:
-            return
-        # equal rows of a repeated id are next to each other, so the order is the same in each run
-        order = sorted(range(len(ids)), key=lambda i: (ids[i], len(rows[i])))
-        bias, keys, weights = fit([rows[i] for i in order], np.array([float(y[i] == 1) for i in order]))
-        yield pd.DataFrame({"feature": [-1, *keys.astype(np.int64).tolist()], "weight": [bias, *weights.tolist()]})
+            for toxic, own in zip(pdf["toxic"], pdf["features"], strict=True):
+                held += len(own) // 4
+                if rows and held > TRAIN_FEATURES:
+                    break
+                y.append(float(toxic == 1))
+                rows.append(np.frombuffer(own, np.uint32))
+            if held > TRAIN_FEATURES:
+                break
+        classes = np.array(y)
+        if np.isfinite(log_odds(classes)):
+            bias, keys, weights = fit(rows, classes)
+            yield pd.DataFrame({"feature": [-1, *keys.astype(np.int64).tolist()], "weight": [bias, *weights.tolist()]})
+        else:
+            yield pd.DataFrame({"feature": [-1], "weight": [log_odds(classes)]})
 
     vectors = texts.mapInPandas(extract, "doc_id long, toxic int, features binary")
-    one = vectors.repartition(1)  # one task, bounded by train_rows
+    one = vectors.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")  # one task, bounded by train_rows
     found = one.mapInPandas(learn, "feature long, weight double").collect()  # the weights that are not zero
     bias = next((r["weight"] for r in found if r["feature"] < 0), -np.inf)
     pairs = sorted((r["feature"], r["weight"]) for r in found if r["feature"] >= 0)

@@ -1,5 +1,6 @@
 import collections
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -118,7 +119,7 @@ def test_left_out_features_would_have_no_weight(monkeypatch):
     bias, keys, weights = X.fit(texts, y)
     # the same with z kept for every feature
     w, z, n = ({k: 0.0 for t in texts for k in t.tolist()} for _ in range(3))
-    b, b_n = float(np.log(y.mean() / (1 - y.mean()))), 1.0
+    b = float(np.log(y.mean() / (1 - y.mean())))
     for epoch in range(X.EPOCHS):
         for i in np.random.default_rng(epoch).permutation(len(texts)):
             own = texts[i].tolist()
@@ -127,8 +128,64 @@ def test_left_out_features_would_have_no_weight(monkeypatch):
                 new = n[k] + g * g
                 z[k] += g - (np.sqrt(new) - np.sqrt(n[k])) / X.ALPHA * w[k]
                 n[k] = new
-                w[k] = (np.sign(z[k]) * X.L1 - z[k]) / ((X.BETA + np.sqrt(new)) / X.ALPHA + X.L2) if abs(z[k]) > X.L1 else 0.0
-            b_n += g * g
-            b -= 0.05 * g / np.sqrt(b_n)
+                w[k] = (-X.L1 - z[k]) / ((X.BETA + np.sqrt(new)) / X.ALPHA + X.L2) if z[k] < -X.L1 else 0.0
     want = {k: v for k, v in w.items() if v}
     assert sorted(want) == keys.tolist() and np.allclose([want[k] for k in sorted(want)], weights) and np.isclose(b, bias)
+
+
+def plain_ftrl(rows, labels, score):
+    """Scores of texts by FTRL over sets of tuples, one coordinate after the other; rows in the order of learning."""
+    def parts(t):
+        w = [x for x in re.split("[" + "".join(re.escape(chr(b)) for b in X.MARKS) + "]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or "")) if x]
+        return {(x,) for x in w} | {(a, b) for a, b in zip(w, w[1:])} | {(a, None, b) for a, b in zip(w, w[2:])}
+
+    sets, w, z, n = [parts(t) for t in rows], {}, collections.Counter(), collections.Counter()
+    bias = np.log(np.mean(labels) / (1 - np.mean(labels)))
+    for epoch in range(X.EPOCHS):
+        for i in np.random.default_rng(epoch).permutation(len(rows)):
+            g = 1 / (1 + np.exp(-(bias + sum(w.get(k, 0.0) for k in sets[i])))) - labels[i]
+            for k in sets[i]:
+                new = n[k] + g * g
+                z[k] += g - (np.sqrt(new) - np.sqrt(n[k])) / X.ALPHA * w.get(k, 0.0)
+                n[k] = new
+                w[k] = max(-X.L1 - z[k], 0.0) / ((X.BETA + np.sqrt(new)) / X.ALPHA + X.L2)
+    return [1 / (1 + np.exp(-(bias + sum(w.get(k, 0.0) for k in parts(t))))) for t in score]
+
+
+def test_query_against_plain_ftrl(spark, tmp_path):
+    import zlib
+
+    rows = [(i, prose(i, 30 + i % 40) + (" vile thing" if i % 5 == 0 else "") + (" Odd-WORD" if i % 10 == 1 else ""), "en", "a") for i in range(160)]
+    rows += [(7, rows[7][1], "en", "a"), (900, None, "en", "a"), (901, "", None, None), (None, "vile", None, None)]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(150)] + [(900, 1, 0), (None, 1, 1), (3, 1, 0), (151, 1, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = X.op4_ftrl_toxicity(spark, str(tmp_path)).collect()
+    fold = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    text, known = {i: t for i, t, *_ in rows}, {i: y for i, _, y in labels if i is not None and y is not None and not fold(i)}
+    order = [r.doc_id for r in spark.createDataFrame([(i,) for i in known], "doc_id long").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    want = plain_ftrl([text[i] for i in order], [known[i] for i in order], [t for _, t, *_ in rows])
+    assert len(got) == len(rows)
+    assert sorted(((str(r.doc_id), round(r.score, 6)) for r in got)) == sorted(((str(r[0]), round(float(s), 6)) for r, s in zip(rows, want)))
+    assert all(r.held_out == fold(r.doc_id) and r.predicted == int(r.score >= 0.3) for r in got)
+    assert any(r.predicted for r in got if r.held_out)
+
+
+def test_labels_of_one_class_and_repeated_ids(spark, docs, labelled):
+    train = labelled[0]
+    for toxic, score in ((0, 0.0), (1, 1.0)):
+        model = X.train(train, labelled[1].withColumn("toxic", F.lit(toxic)))
+        assert {r.score for r in X.with_score(docs.drop("score"), model).collect()} == {score}
+    model = X.train(train, labelled[1].where("doc_id < 0"))
+    assert {r.score for r in X.with_score(docs.drop("score"), model).collect()} == {0.0}
+    many = train.unionByName(spark.range(20_000).selectExpr("5L AS doc_id", "concat('zz extra text ', id) AS text"))
+    a, b = X.train(train, labelled[1]), X.train(many, labelled[1])
+    assert a.bias == b.bias and set(a.keys.tolist()) == set(b.keys.tolist())
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.1/labels.parquet").exists(), reason="no test tables")
+def test_held_out_recall(spark):
+    folder = "/root/testdata/sf0.1"
+    out = X.op4_ftrl_toxicity(spark, folder).where("held_out").join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
+    n = {(r.toxic, r.predicted): r["count"] for r in out.groupBy("toxic", "predicted").count().collect()}
+    assert n[1, 1] >= 0.9 * (n[1, 1] + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.02 * n[0, 0]
