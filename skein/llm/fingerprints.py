@@ -21,7 +21,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .common import partitions, table
 from .hashing import mix
@@ -86,15 +85,17 @@ def as_text(hashes: np.ndarray, places: np.ndarray) -> str:
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with hashes array<long> and places array<long> of a text column."""
+    """docs with hashes array<long> and places array<long> of a text column; columns of these names are replaced."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            found = [winnow(t or "") for t in pdf[text]]
-            yield pdf.assign(hashes=[h.astype(np.int64) for h, _ in found], places=[p for _, p in found])
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in parts:
+            found = [winnow(t or "") for t in texts]
+            yield pd.DataFrame({"hashes": [h.astype(np.int64) for h, _ in found], "places": [p for _, p in found]})
 
-    inner = StructType([*docs.schema, *[StructField(c, ArrayType(LongType())) for c in ("hashes", "places")]])
-    return docs.mapInPandas(run, inner)
+    own = F.pandas_udf(run, "hashes array<long>, places array<long>")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), own(F.col(f"`{text}`")).alias("found"))
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("hashes", "places")]
+    return rows.select(*kept, "found.hashes", "found.places")
 
 
 def with_successor(docs: DataFrame, n: int) -> DataFrame:
@@ -121,7 +122,8 @@ def with_successor(docs: DataFrame, n: int) -> DataFrame:
 def compare_successive(docs: DataFrame, k: int = K, w: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): its fingerprint, that of its edited text, and how like they are."""
     n = partitions(docs.sparkSession)
-    rows = with_successor(docs, n).repartition(n, "range").sortWithinPartitions("range", "halo", F.desc("id"), "text")
+    rows = with_successor(docs, n).repartitionById(n, "range")  # each range is a partition of its own
+    rows = rows.sortWithinPartitions("range", "halo", F.desc("id"), "text")
 
     def print_of(text: str):
         hashes, places = winnow(text, k, w)
