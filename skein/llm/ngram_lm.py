@@ -4,16 +4,19 @@ Each document is scored by the counts of all other rows: its own n-grams are tak
 itself.  A word scores count(w-2 w-1 w) / count(w-2 w-1) where the trigram is known, else BACKOFF times the same one word
 shorter, at last its share of all words; a word that no other row has counts as one more word.
 
-Relations, not rows, are packed, as three n-grams a word would be many times the text: documents lie in blocks by a hash
-of the row; each block has its distinct n-grams, sorted by hash, with counts; these lists meet by hash range in the count
-table, which adds them up and answers each list in its order; blocks join their answers, explode their n-grams by position
-and add up each document.  An n-gram has one entry for each block, however frequent it is.  Sizes of blocks and ranges are
-fixed, their number grows with the corpus.
+Relations are joined in packed rows, as three n-grams a word would be many times the text: documents lie in blocks of fixed
+size, by a hash of the row and its place; each block has its distinct n-grams, sorted by hash, with counts, in one row for
+each of FAN hash ranges.  The ranges of up to FAN blocks meet in the count table, which is partitioned by hash, adds them up
+and answers each row in its order.  Of more blocks, FAN at a time meet first; what they add up to goes to FAN finer ranges
+with that of the others, and the answers come back the same way.  Blocks join their answers, explode their n-grams by
+position and add up each document.  So a block makes at most FAN rows on each level, levels grow with the logarithm of the
+corpus to the base FAN, no task's share grows, and an n-gram has one entry for each block, however frequent it is.
 
 Words are runs of characters other than ASCII white space, A-Z in lower case.
 
 Defined cases: a null or empty text has no words, a log score of 0 and no per-word score; repeated rows count as other rows
-of each other; an empty table gives an empty result; other columns are ignored.
+of each other; an empty table gives an empty result; other columns are ignored.  docs is read twice if its shuffle is lost:
+hand in a table or a plan that deals its rows alike each time.
 """
 
 from __future__ import annotations
@@ -24,12 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import n_words, table
+from .common import materialize, n_words, table
 from .hashing import Words, grams, mix
 
 BACKOFF = 0.4
-#: Bytes of text in a block, and of text whose n-grams meet in one range of the count table, about.
+#: Bytes of text in a block, about.
 BLOCK_BYTES = 12 << 20
+#: Blocks whose n-grams meet at once, and hash ranges of each block; a power of 2.
+FAN = 4096
+#: Tasks for each block, most of them empty.
+SPREAD = 4
 #: 56 bits of each hash travel: at a billion different n-grams one in 70 million shares its count with another.
 _KEPT = np.uint64(0xFFFFFFFFFFFFFF00)
 _OUT = "doc_id long, n_words long, n_trigram long, n_bigram long, n_unigram long, log_score double"
@@ -48,12 +55,64 @@ def _spread(data: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint8).reshape(8, n).T.copy().view("<u8").reshape(n)
 
 
-def _ranges(sorted_hashes: np.ndarray, n: int) -> np.ndarray:
-    """Where each of n equal ranges of hashes begins in a sorted list."""
-    starts = np.array([(k << 64) // n for k in range(n)], np.uint64)
+def _ranges(sorted_hashes: np.ndarray, parent: int, depth: int, fan: int) -> np.ndarray:
+    """Where each of the fan equal parts of range `parent`, of fan ** depth, begins in a sorted list of hashes in it."""
+    bits = (depth + 1) * (fan.bit_length() - 1)
+    starts = np.array([(parent * fan + k) << (64 - bits) for k in range(fan)], np.uint64)
     return np.append(np.searchsorted(sorted_hashes, starts), len(sorted_hashes))
 
 
+def _packed(block: int, parent: int, depth: int, fan: int, hashes: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
+    """The rows of a block: one for each of the ranges that have n-grams of it."""
+    cuts, out = _ranges(hashes, parent, depth, fan), []
+    for k in np.flatnonzero(np.diff(cuts)).tolist():
+        part = slice(cuts[k], cuts[k + 1])
+        out.append((parent * fan + k, block, _squeeze(np.diff(hashes[part], prepend=np.uint64(0))), _squeeze(counts[part])))
+    return pd.DataFrame(out, columns=["range", "block", "hashes", "counts"])
+
+
+def _added(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows of a range: its n-grams with counts, the place in them of each entry of each row, and where rows end."""
+    with np.errstate(over="ignore"):
+        keys = [np.cumsum(_spread(x), dtype=np.uint64) for x in pdf["hashes"]]
+    hashes, back = np.unique(np.concatenate(keys), return_inverse=True)
+    sums = np.bincount(back, weights=np.concatenate([_spread(x) for x in pdf["counts"]]).astype(float), minlength=len(hashes))
+    return hashes, sums.astype(np.uint64), back, np.cumsum([len(k) for k in keys])
+
+
+def _answers(pdf: pd.DataFrame, sums: np.ndarray, back: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"block": pdf["block"], "range": pdf["range"], "sums": [_squeeze(a) for a in np.split(sums[back], ends[:-1])]})
+
+
+_LIST, _SUMS = "range long, block long, hashes binary, counts binary", "block long, range long, sums binary"
+
+
+def _totals(lists: DataFrame, n: int, fan: int, tasks: int, depth: int = 1) -> DataFrame:
+    """block, range and the corpus counts of each packed row of n blocks, in the order of its n-grams."""
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        _, sums, back, ends = _added(pdf)
+        return _answers(pdf, sums, back, ends)
+
+    if n <= fan:
+        return lists.repartition(tasks, "range").groupBy("range").applyInPandas(add, _SUMS)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        hashes, sums, _, _ = _added(pdf)
+        return _packed(int(pdf["up"].iloc[0]), int(pdf["range"].iloc[0]), depth, fan, hashes, sums)
+
+    def hand_back(pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        _, _, back, ends = _added(pdf)
+        sums = np.concatenate([_spread(x) for x in answers.sort_values("range")["sums"]])
+        return _answers(pdf, sums, back, ends)
+
+    lists = materialize(lists.withColumn("up", F.floor(F.col("block") / fan)), f"lm_lists{depth}")
+    finer = _totals(lists.repartition(tasks, "up", "range").groupBy("up", "range").applyInPandas(merge, _LIST), -(-n // fan), fan, tasks, depth + 1)
+    finer = finer.select(F.col("block").alias("up"), F.floor(F.col("range") / fan).alias("parent"), "range", "sums")
+    pairs = lists.groupBy("up", "range").cogroup(finer.groupBy("up", "parent"))
+    return pairs.applyInPandas(hand_back, _SUMS)
+
+
 def _orders(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Unigrams, bigrams and trigrams of a block's documents, one after the other."""
     makers = (mix, lambda w: grams(w, 2), lambda w: grams(w, 3))
@@ -101,31 +160,19 @@ def _scores(words: list[np.ndarray], sums: np.ndarray, corpus: int) -> tuple[np.
     return count(3), count(2), count(1), np.bincount(doc, weights=np.log(score), minlength=len(words))
 
 
-def score_documents(docs: DataFrame) -> DataFrame:
+def score_documents(docs: DataFrame, block_bytes: int = BLOCK_BYTES, fan: int = FAN) -> DataFrame:
     """doc_id, n_words, n_trigram, n_bigram, n_unigram, log_score, per_word for each row of docs (doc_id, text)."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("bytes"), F.sum(n_words(F.col("text"))).alias("words")).first()
-    total, n = size["words"] or 0, max(1, -(-(size["bytes"] or 0) // BLOCK_BYTES))
+    total, n = size["words"] or 0, max(1, -(-(size["bytes"] or 0) // block_bytes))
     rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    # by range of the row's hash, so that each block is one partition
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")).repartition(n, "block")
+    # by the row and its place, so that repeated rows lie in many blocks
+    dealt = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(n))
+    tasks = SPREAD * n  # hashed numbers of blocks seldom meet in one of them
+    rows = rows.withColumn("block", dealt).repartition(tasks, "block")
 
     def lists(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes, counts = np.unique(np.concatenate(_orders(Words().of(pdf["text"].tolist()))), return_counts=True)
-        cuts, block, out = _ranges(hashes, n), int(pdf["block"].iloc[0]), []
-        for k in np.flatnonzero(np.diff(cuts)):
-            part = slice(cuts[k], cuts[k + 1])
-            deltas = np.diff(hashes[part], prepend=np.uint64((int(k) << 64) // n))
-            out.append((int(k), block, _squeeze(deltas), _squeeze(counts[part])))
-        return pd.DataFrame(out, columns=["range", "block", "hashes", "counts"])
-
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = np.uint64((int(pdf["range"].iloc[0]) << 64) // n)
-        with np.errstate(over="ignore"):
-            keys = [np.cumsum(_spread(x), dtype=np.uint64) + start for x in pdf["hashes"]]
-        all_keys, back = np.unique(np.concatenate(keys), return_inverse=True)
-        sums = np.bincount(back, weights=np.concatenate([_spread(x) for x in pdf["counts"]]).astype(float), minlength=len(all_keys))
-        answers = np.split(sums[back].astype(np.uint64), np.cumsum([len(k) for k in keys])[:-1])
-        return pd.DataFrame({"block": pdf["block"], "range": pdf["range"], "sums": [_squeeze(a) for a in answers]})
+        return _packed(int(pdf["block"].iloc[0]), 0, 0, fan, hashes, counts)
 
     def finish(key: tuple, pdf: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         words = Words().of(pdf["text"].tolist())
@@ -135,8 +182,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         found = {"doc_id": pdf["doc_id"].to_numpy(), "n_words": [len(w) for w in words], "n_trigram": three, "n_bigram": two, "n_unigram": one}
         return pd.DataFrame(found | {"log_score": score})
 
-    asked = rows.groupBy("block").applyInPandas(lists, "range int, block int, hashes binary, counts binary")
-    told = asked.repartition(n, "range").groupBy("range").applyInPandas(add, "block int, range int, sums binary")
+    told = _totals(rows.groupBy("block").applyInPandas(lists, _LIST), n, fan, tasks)
     out = rows.groupBy("block").cogroup(told.groupBy("block")).applyInPandas(finish, _OUT)
     return out.withColumns({"doc_id": F.nullif("doc_id", F.lit(_NO_ID)), "per_word": F.try_divide("log_score", "n_words")})
 

@@ -4,6 +4,7 @@ import math
 import re
 import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -67,6 +68,12 @@ def test_successors(docs, none, spark):
     one = P.compare_successive(spark.createDataFrame([(1, "abcd")], "doc_id long, text string")).collect()
     assert one[0].near_next == 1.0 and one[0].edited_sha256 == hashlib.sha256(b"abab").hexdigest()
     assert P.fingerprint(docs).columns == [*docs.columns, "hashes", "places"]
+    clash = docs.selectExpr("doc_id", "text", "size AS hashes", "block AS `row`", "score AS found")
+    got = P.fingerprint(clash)
+    assert got.columns == ["doc_id", "text", "row", "found", "hashes", "places"]
+    for r in got.collect():
+        hashes, places = P.winnow(r.text or "")
+        assert r.hashes == hashes.tolist() and r.places == places.tolist()
 
 
 def plain_backoff(rows):
@@ -93,13 +100,28 @@ def plain_backoff(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [1500, 12 << 20])
-def test_backoff_scores(docs, none, monkeypatch, block):
-    monkeypatch.setattr(L, "BLOCK_BYTES", block)
-    out = L.score_documents(docs.select("doc_id", "text")).collect()
+@pytest.mark.parametrize("block,fan", [(4000, 256), (12 << 20, 64), (60_000, 2)])
+def test_backoff_scores(docs, none, block, fan):
+    """One block, one level of blocks and several."""
+    out = L.score_documents(docs.select("doc_id", "text"), block, fan).collect()
     assert sorted((r.n_words, round(r.log_score, 6)) for r in out) == plain_backoff([t for _, t, *_ in ROWS])
     assert all(r.n_trigram + r.n_bigram + r.n_unigram == r.n_words and (r.per_word is None) == (r.n_words == 0) for r in out)
-    assert L.score_documents(none.select("doc_id", "text")).count() == 0
+    assert L.score_documents(none.select("doc_id", "text"), block, fan).count() == 0
+
+
+def test_packed_rows_grow_with_blocks_alone():
+    hashes = np.unique(np.random.default_rng(0).integers(0, 1 << 63, 9000, dtype=np.uint64) * np.uint64(2))
+    rows = L._packed(5, 0, 0, 16, hashes, np.ones(len(hashes), np.int64))
+    assert len(rows) == 16 and rows["range"].tolist() == list(range(16))
+    one = rows.iloc[3]
+    finer = L._packed(0, 3, 1, 16, np.cumsum(L._spread(one["hashes"]), dtype=np.uint64), L._spread(one["counts"]))
+    assert len(finer) == 16 and finer["range"].tolist() == list(range(48, 64))
+
+
+def test_repeated_rows_lie_in_many_blocks(spark):
+    rows = [(None, "the same words again and again")] * 400 + [(i, prose(i, 12)) for i in range(30)]
+    out = L.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), 2000, 4).collect()
+    assert sorted((r.n_words, round(r.log_score, 6)) for r in out) == plain_backoff([t for _, t in rows])
 
 
 def test_words_in_slices(monkeypatch):
