@@ -9,10 +9,14 @@ similar sets.  The steps:
 3. A pair whose sizes exclude the threshold is dropped; so is one whose joint likelihood, with both sizes known, speaks
    against the threshold by far (CUT; about seven standard deviations).  The rest are verified on their full shingle sets.
 4. Verified links give components.  In buckets that still hold several components, pairs across these are tested too, as a
-   hub need not be like two classes that are like each other.  Buckets of up to SMALL classes form those pairs.  Larger
-   ones, such as of documents that share a long passage, are compared by sketch in blocks of bounded size; what may be
-   linked there falls into families, and these are verified on full sets, again in bounded blocks.  A block returns only
-   the links that join components, so rows grow with classes and never with pairs.
+   hub need not be like two classes that are like each other.  Buckets of up to SMALL classes form those pairs.  Of larger
+   ones, such as of documents that share a long passage, a class is left out that has less than three quarters of its
+   shingles in common with the classes of other components there, all together: it cannot have a link to any.  What is
+   left is compared by sketch in blocks of bounded size; what may be linked there falls into families, and these are
+   verified on full sets, in blocks bounded in rows and in shingles.  A block returns only the links that join components.
+
+So a class travels once for each band and each shingle, but in a large bucket of classes that have three quarters of their
+shingles in common and still are of several components: there it travels once more for each BLOCK of others.
 
 With 40 bands of 4 registers a pair of similarity 0.75 shares no bucket with probability 2.5e-7.
 
@@ -40,8 +44,8 @@ BANDS, ROWS = 40, 4
 REGISTERS = BANDS * ROWS
 #: SetSketch: base, rate and number of levels.
 BASE, RATE, LEVELS = 1.001, 20.0, (1 << 16) - 2
-#: Largest bucket whose pairs across components become rows; classes in a block of sketches and of full sets.
-SMALL, SKETCH_BLOCK, SET_BLOCK = 16, 512, 256
+#: Largest bucket whose pairs across components become rows; classes in a block of sketches and of full sets, and shingles there.
+SMALL, SKETCH_BLOCK, SET_BLOCK, SET_SHINGLES = 16, 2048, 1024, 1 << 18
 #: Equal registers at least of a pair that may be linked; 7 standard deviations below those of the threshold.
 LEAST_EQUAL = 80
 #: Log-likelihood that the threshold may lie below the best similarity.
@@ -171,14 +175,27 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
 
-def _block_pairs(rows: DataFrame, group: str, size: int) -> DataFrame:
-    """rows (group, node, n: the group's number of rows) once for each pair of blocks i <= j that its own block is in."""
-    blocks = F.ceil(F.col("n") / size).cast("int")
+def _block_pairs(rows: DataFrame, group: str, blocks: Column) -> DataFrame:
+    """rows (group, node), of a group in so many blocks, once for each pair of blocks i <= j that its own block is in."""
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
     return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("other")
 
 
+def _within_reach(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Those nodes (node, comp, n_shingles) of which three quarters of the shingles are in sets of other components, each somewhere.
+
+    A link has three quarters of the shingles of either side in common, so the others have none.  Two rounds, as those that
+    go take their shingles along.
+    """
+    for k in range(2):
+        each = sets.join(nodes, "node").select("node", "comp", "n_shingles", F.explode("elements").alias("x"))
+        common = each.groupBy("x").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("x")
+        met = each.join(common, "x").groupBy("node", "comp", "n_shingles").agg(F.count("*").alias("m"))
+        nodes = materialize(met.where(F.col("m") * 100 >= F.col("n_shingles") * SIMILARITY).drop("m"), f"within_reach{k}")
+    return nodes
+
+
 def _sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """The rows of the two blocks that a group of _block_pairs compares."""
     own, i, j = pdf["own"].to_numpy(), int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
@@ -190,7 +207,8 @@ def _open_pairs(pdf: pd.DataFrame, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     comp, size = pdf["comp"].to_numpy(), pdf["n_shingles"].to_numpy(np.int64)
     least, most = np.minimum(size[a][:, None], size[b]), np.maximum(size[a][:, None], size[b])
     ok = (comp[a][:, None] != comp[b]) & (100 * least >= SIMILARITY * most)
-    return np.triu(ok, 1) if len(a) == len(b) and (a == b).all() else ok
+    same = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+    return ok & (a[:, None] < b) if same else ok
 
 
 def _joining(labels: np.ndarray, pairs: np.ndarray) -> list[tuple[int, int]]:
@@ -224,23 +242,24 @@ def _maybe_linked(pdf: pd.DataFrame) -> pd.DataFrame:
     """
     pdf = pdf.sort_values("node", ignore_index=True)
     a, b = _sides(pdf)
-    open_ = _open_pairs(pdf, a, b)
-    if not open_.any():
-        return _edges(pdf, [])
+    top = list(range(len(pdf)))
     sketch = np.frombuffer(b"".join(pdf["registers"]), "<u2").reshape(-1, REGISTERS)
-    greater, less = np.zeros(open_.shape, np.int16), np.zeros(open_.shape, np.int16)
-    for k in range(REGISTERS):
-        x, y = sketch[a, k][:, None], sketch[b, k]
-        greater += x > y
-        less += x < y
-    at = np.argwhere(open_)
     size = pdf["n_shingles"].to_numpy(float)
-    ok = plausible(greater[open_], less[open_], size[a[at[:, 0]]], size[b[at[:, 1]]])
-    at = at[ok]
-    top = list(range(len(pdf)))
-    for x, y in _joining(np.arange(len(pdf)), np.column_stack([a[at[:, 0]], b[at[:, 1]]])):
-        p, q = _root(top, x), _root(top, y)
-        top[max(p, q)] = min(p, q)
+    for t in range(0, len(a), 256):  # the counts of a tile stay in the cache
+        part = a[t : t + 256]
+        open_ = _open_pairs(pdf, part, b)
+        if not open_.any():
+            continue
+        greater, less = np.zeros(open_.shape, np.int16), np.zeros(open_.shape, np.int16)
+        for k in range(REGISTERS):
+            x, y = sketch[part, k][:, None], sketch[b, k]
+            greater += x > y
+            less += x < y
+        at = np.argwhere(open_)
+        ok = plausible(greater[open_], less[open_], size[part[at[:, 0]]], size[b[at[:, 1]]])
+        for x, y in zip(part[at[ok, 0]].tolist(), b[at[ok, 1]].tolist(), strict=True):
+            p, q = _root(top, x), _root(top, y)
+            top[max(p, q)] = min(p, q)
     return _edges(pdf, [(p, x) for x in range(len(pdf)) if (p := _root(top, x)) != x])
 
 
@@ -266,7 +285,7 @@ def _surely_linked(pdf: pd.DataFrame) -> pd.DataFrame:
     shared = np.zeros(open_.shape, np.float64)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
         lo, hi = np.searchsorted(column, [at, at + 4096])
-        holds = np.zeros((len(sets), 4096), np.float32)
+        holds = np.zeros((len(sets), 4096), np.float32)  # SET_BLOCK bounds the sets
         holds[owner[lo:hi], column[lo:hi] - at] = 1
         shared += holds[a] @ holds[b].T
     size = pdf["n_shingles"].to_numpy(np.int64)
@@ -287,17 +306,22 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
     pairs = x.join(y, "key").where("cx < cy").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = materialize(_alike(pairs, classes), "cross_pairs")
 
-    sketch = classes.select("node", "n_shingles", "registers")
-    many = rows.where(F.col("n") > SMALL).select("key", "node", "comp", "n").join(sketch, "node")
-    maybe = _block_pairs(many, "key", SKETCH_BLOCK).groupBy("key", "i", "j").applyInPandas(_maybe_linked, "a long, b long")
+    many = rows.where(F.col("n") > SMALL).select("key", "node", "comp")
+    nodes = many.select("node", "comp").distinct().join(classes.select("node", "n_shingles"), "node")
+    wanted = materialize(_ends(pairs).unionByName(nodes.select("node")).distinct(), "cross_nodes")
+    sets = materialize(_sets(docs, classes.join(wanted, "node").select("node", "rep", "set_id")), "cross_sets")
+    nodes = _within_reach(sets, nodes)
+
+    many = materialize(many.join(nodes.select("node"), "node", "left_semi"), "cross_many")
+    left = many.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key", "n")
+    many = many.join(left, "key").join(classes.select("node", "n_shingles", "registers"), "node")
+    maybe = _block_pairs(many, "key", F.ceil(F.col("n") / SKETCH_BLOCK)).groupBy("key", "i", "j").applyInPandas(_maybe_linked, "a long, b long")
     families = materialize(components(materialize(maybe.distinct(), "cross_maybe")), "cross_families").withColumnRenamed("comp", "family")
 
-    nodes = materialize(_ends(pairs).unionByName(families.select("node")).distinct(), "cross_nodes")
-    sets = materialize(_sets(docs, classes.join(nodes, "node").select("node", "rep", "set_id")), "cross_sets")
-    count = families.groupBy("family").agg(F.count("*").alias("n"))
-    comp = rows.select("node", "comp").distinct()
-    full = families.join(count, "family").join(comp, "node").join(classes.select("node", "n_shingles"), "node").join(sets, "node")
-    joined = _block_pairs(full, "family", SET_BLOCK).groupBy("family", "i", "j").applyInPandas(_surely_linked, "a long, b long")
+    families = families.join(nodes, "node")
+    count = families.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / SET_BLOCK), F.ceil(F.sum("n_shingles") / SET_SHINGLES)).alias("blocks"))
+    full = families.join(count, "family").join(sets, "node")
+    joined = _block_pairs(full, "family", F.col("blocks")).groupBy("family", "i", "j").applyInPandas(_surely_linked, "a long, b long")
     return _linked_pairs(pairs, sets).unionByName(joined)
 
 
@@ -337,10 +361,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, the one of least doc_id, and its own columns; repeated rows count as one."""
-    kept = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("__id")).distinct()
-    rows = docs.withColumn("__id", F.coalesce("doc_id", F.lit(_NO_ID)))
-    return rows.join(kept.hint("shuffle_hash"), "__id", "left_semi").dropDuplicates(["__id", "text"]).drop("__id")
+    """docs with one row of each component, the one of least doc_id, and its own columns, whatever their names; repeated rows
+    count as one.  Columns that cannot be ordered, such as maps, pass through."""
+    kept = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id")).distinct()
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("text").alias("body"))
+    return rows.join(kept.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "body"]).select("row.*")
 
 
 def op1_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

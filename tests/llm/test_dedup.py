@@ -1,14 +1,17 @@
 import re
+from pathlib import Path
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skein.llm import dedup as D
 from skein.llm.components import components
 from skein.llm.hashing import Words, shingles
 
-from .conftest import ROWS, prose
+from .conftest import BASE, ROWS, prose
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -64,6 +67,47 @@ def test_families_across_buckets(spark, monkeypatch):
     assert result(D.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
 
 
+def test_one_bucket_of_many_classes(spark, monkeypatch):
+    """2,500 documents share a passage of less than three quarters: none may travel into blocks; one near the threshold does."""
+    monkeypatch.setattr(D, "SMALL", 4)
+    shared = prose(60, 60)
+    rows = [(i, shared + " " + " ".join(f"own{i}w{k}" for k in range(40))) for i in range(2500)]
+    most = prose(61, 200)
+    rows += [(5000 + i, most + " " + " ".join(f"few{i}w{k}" for k in range(44 - 22 * (i in (3, 4))))) for i in range(40)]
+    seen, pairs = [], D._block_pairs
+
+    def counted(df, *args):
+        seen.append(df.count())
+        return pairs(df, *args)
+
+    monkeypatch.setattr(D, "_block_pairs", counted)
+    got = D.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and sum(seen) <= 40 * 40 + 40
+    comps = {r.doc_id: r.component_id for r in got}
+    assert all(comps[i] == i for i in range(2500))
+    few = [r for r in rows if r[0] >= 5000]
+    assert sorted(((False, i), comps[i]) for i, _ in few) == [(k, c) for k, _, c in brute(few)]
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.01/documents.parquet").exists(), reason="no test tables")
+def test_links_of_each_hundredth_document(spark):
+    """Exact links of every id divisible by 100, against all rows: each lies within a component."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()]
+    cut = Words()
+    sets = {i: set(shingles(cut.of([t])[0]).tolist()) for i, t in rows}
+    comps = {r.doc_id: r.component_id for r in D.op1_setsketch_dedup(spark, "/root/testdata/sf0.01").collect()}
+    assert set(comps) == set(sets)
+    links = [(q, i) for q in sets if q % 100 == 0 for i in sets if i != q and sets[q] and 100 * len(sets[q] & sets[i]) >= 75 * len(sets[q] | sets[i])]
+    assert links and all(comps[q] == comps[i] for q, i in links)
+
+
+def test_keep_one_with_clashing_names(spark):
+    rows = [(1, BASE, 5, "a"), (2, BASE, 6, "b"), (3, prose(9, 60), 7, "c"), (3, prose(9, 60), 8, "c"), (None, None, 9, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, id int, body string").withColumn("row", F.lit(1)).withColumn("kept", F.lit(2))
+    out = D.keep_one(docs)
+    assert out.columns == docs.columns and sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 3]
+
+
 def test_keep_one(docs, none):
     kept = D.keep_one(docs)
     assert kept.columns == docs.columns
