@@ -21,12 +21,13 @@ def _col(c: Column | str) -> Column:
 
 
 def trim_white(c: Column | str) -> Column:
-    return F.regexp_replace(_col(c), rf"^[{WHITE}]+|[{WHITE}]+$", "")
+    # a run is tried at its first character alone, so long inner runs cost no more than their length
+    return F.regexp_replace(_col(c), rf"^[{WHITE}]++|(?<![{WHITE}])[{WHITE}]++$", "")
 
 
 def is_blank(c: Column | str) -> Column:
     """True for null, empty and all-white text."""
-    return F.coalesce(trim_white(c) == "", F.lit(True))
+    return F.coalesce(~_col(c).rlike(f"[^{WHITE}]"), F.lit(True))
 
 
 def normalize_crlf(c: Column | str) -> Column:

@@ -6,13 +6,13 @@ import math
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions.text import CJK, URL, WHITE, WORD, is_blank
+from .ranks import with_place
 
 #: Budget of a chunk in tokens and lines repeated in the next (fixed values).
 BUDGET, OVERLAP = 4096, 6
@@ -52,10 +52,8 @@ def line_offsets(df: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def part_totals(df: DataFrame, group: str, order: str) -> DataFrame:
-    """df with part (from 1) and total in its group."""
-    return df.withColumns({
-        "part": F.row_number().over(Window.partitionBy(group).orderBy(order)), "total": F.count("*").over(Window.partitionBy(group)),
-    })
+    """df with part (from 1) and total in its group; a group may be of any size."""
+    return with_place(df, [group], [order], "part", "total").withColumn("part", F.col("part").cast("int"))
 
 
 def _class(s: str) -> str:
@@ -119,19 +117,36 @@ def pack_lines(text: str, budget: int = BUDGET, overlap: int = OVERLAP) -> Itera
 
 
 def greedy_chunks(df: DataFrame, key: str, budget: int = BUDGET, overlap: int = OVERLAP, text: str = "text") -> DataFrame:
-    """key, part, total, first_line, last_line, tokens, chunk; rows are packed where they lie, as the order inside a text matters."""
+    """key, part, total, first_line, last_line, tokens, chunk; rows are packed where they lie, as the order inside a text matters.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for k, t in zip(pdf[key], pdf[text], strict=True):
-                parts = list(pack_lines(t, budget, overlap)) if t else []
-                out += [(k, i, len(parts), a, b, estimate(c), c) for i, (a, b, c) in enumerate(parts, 1)]
-            yield pd.DataFrame(out, columns=[key, "part", "total", "first_line", "last_line", "tokens", "chunk"])
+    A null or empty text has no chunks; a null key stays null, and rows of equal keys are packed each for itself.
+    """
+    flat = StructType([df.schema[key], *[StructField(c, IntegerType()) for c in ("part", "total", "first_line", "last_line", "tokens")], StructField("chunk", StringType())])
+    ints = [pa.int32()] * 5
 
-    kind = dict(df.dtypes)[key]
-    schema = f"`{key}` {kind}, part int, total int, first_line int, last_line int, tokens int, chunk string"
-    return df.select(key, text).where(F.col(key).isNotNull()).mapInPandas(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, size = [], 0
+
+            def frame(batch=batch, out=out) -> pa.RecordBatch:
+                rows, *columns = zip(*out, strict=True)
+                values = [pa.array(c, t) for c, t in zip(columns, [*ints, pa.string()], strict=True)]
+                out.clear()
+                return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *values], names=flat.names)
+
+            for i, t in enumerate(batch.column(1)):
+                t = t.as_py()
+                parts = list(pack_lines(t, budget, overlap)) if t else []
+                for n, (a, b, c) in enumerate(parts, 1):
+                    out.append((i, n, len(parts), a, b, estimate(c), c))
+                    size += len(c)
+                    if size > 4 << 20:
+                        yield frame()
+                        size = 0
+            if out:
+                yield frame()
+
+    return df.select(key, text).mapInArrow(run, flat)
 
 
 def packed_sections(df: DataFrame, group: str, order: str, tokens: Column, budget: int = SECTION_TOKENS) -> DataFrame:

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import has_all_tags, has_any_tag, slugify, trim_white
+from ..storage import partitions
+from .ranks import with_previous
 
 
 def latest_turn(turns: DataFrame, session: str = "conv_id", turn: str = "turn") -> DataFrame:
-    """The last row of each session and the turn before it: maxima with a partial sum on the map side, no sort of sessions."""
+    """The last row of each session and the turn before it; of each session the turn numbers are held, not the rows."""
     rest = [c for c in turns.columns if c != session]
     best = turns.groupBy(session).agg(F.max_by(F.struct(*rest), turn).alias("l"), F.count("*").alias("n_turns"), F.slice(F.sort_array(F.collect_set(turn), asc=False), 2, 1).alias("p"))
     return best.select(session, "l.*", "n_turns", F.try_element_at("p", F.lit(1)).alias("previous_turn"))
@@ -65,12 +69,34 @@ def next_order(items: DataFrame, group: str, order: str) -> DataFrame:
 
 
 def unique_slugs(items: DataFrame, name: str, order: str, scope: str | None = None, default: str = "item") -> DataFrame:
-    """items with slug: base, base-2, base-3 .. in order.  Bases that end in -n and could meet a suffix keep their own count."""
+    """items with base_slug and slug: each in order takes its base if that is free, else base-2, base-3 .. whichever is free first.
+
+    Bases that can meet differ in ends of -n alone, so items of one scope and stem follow each other in one partition and are
+    folded as they stream by; a task holds the slugs of one stem.  Ignores case, as bases are in lower case.
+    """
     base = F.coalesce(F.nullif(slugify(name), F.lit("")), F.lit(default))
-    keys = [F.col(scope)] if scope else []
-    n = F.row_number().over(Window.partitionBy(*keys, "base_slug").orderBy(order))
-    out = items.withColumn("base_slug", base).withColumn("__n", n)
-    return out.withColumn("slug", F.when(F.col("__n") == 1, F.col("base_slug")).otherwise(F.concat_ws("-", "base_slug", "__n"))).drop("__n")
+    rows = items.withColumn("base_slug", base).withColumn("__stem", F.regexp_replace("base_slug", "(?:-[0-9]+)+$", ""))
+    keys = [*([scope] if scope else []), "__stem"]
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, order, "base_slug")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, taken, following = object(), set(), {}
+        for batch in batches:
+            slugs = []
+            for *key, own in zip(*[batch.column(k).to_pylist() for k in (*keys, "base_slug")], strict=True):
+                if key != current:
+                    current, taken, following = key, set(), {}
+                slug = own
+                while slug in taken:
+                    n = following.get(own, 2)
+                    following[own] = n + 1
+                    slug = f"{own}-{n}"
+                taken.add(slug)
+                slugs.append(slug)
+            kept = [c for c in batch.schema.names if c != "__stem"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(slugs, pa.string())], names=[*kept, "slug"])
+
+    return rows.mapInArrow(run, StructType([*[f for f in rows.schema if f.name != "__stem"], StructField("slug", StringType())]))
 
 
 def reconcile_calls(calls: DataFrame, results: DataFrame, key: str = "call_id") -> DataFrame:
@@ -148,18 +174,27 @@ def without_element(df: DataFrame, array: str, test) -> DataFrame:
 
 
 def split_ordinal(df: DataFrame, order: Sequence[str], share: float = 0.8) -> DataFrame:
-    """df with part train for the first share of rows by order, else test.
+    """df with part train for the first share of rows by order, else test; rows equal to the last of the share go with it.
 
-    A row's ordinal needs no window over all rows: the row at the cut is found by its rank in the sorted order, and the
-    keys are compared with it.
+    Ranges of the order are counted, and only the one that holds the cut is ranked inside; no task has more than a range.
     """
-    n = int(df.count() * share)
-    if n == 0:
+    keys = df.select(F.struct(*order).alias("k"))
+    ranged = keys.repartitionByRange(partitions(df.sparkSession), "k").withColumn("p", F.spark_partition_id())
+    # a row per range, on the driver
+    ranges = sorted(ranged.groupBy("p").agg(F.count("*").alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi")).collect(), key=lambda r: r["p"])
+    left = int(sum(r["n"] for r in ranges) * share)
+    if left == 0:
         return df.withColumn("part", F.lit("test"))
-    last = df.orderBy(*order).offset(n - 1).limit(1).select(F.struct(*order).alias("cut"))
-    return df.join(F.broadcast(last)).withColumn("part", F.when(F.struct(*order) <= F.col("cut"), "train").otherwise("test")).drop("cut")
+    for r in ranges:
+        if left <= r["n"]:
+            break
+        left -= r["n"]
+    ends = df.sparkSession.createDataFrame([(r["lo"], r["hi"])], StructType([StructField(c, keys.schema["k"].dataType) for c in ("lo", "hi")]))
+    inside = keys.join(F.broadcast(ends), F.col("k").between(F.col("lo"), F.col("hi"))).select("k")  # one row
+    cut = inside.orderBy("k").offset(left - 1).limit(1).select(F.col("k").alias("cut"))
+    return df.join(F.broadcast(cut)).withColumn("part", F.when(F.struct(*order) <= F.col("cut"), "train").otherwise("test")).drop("cut")
 
 
 def naive_forecast(df: DataFrame, series: str, order: Sequence[str], value: str) -> DataFrame:
-    """df with forecast: the value before in its series."""
-    return df.withColumn("forecast", F.lag(value).over(Window.partitionBy(series).orderBy(*order)))
+    """df with forecast: the value before in its series; a series may be of any length."""
+    return with_previous(df, [series], order, value, "forecast")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import catalog, code
 from ..operators import sessions as S
+from ..operators.ranks import with_place
 from ..sources import files
 from ..streaming import incremental, sse
 from .registry import Registry, read
@@ -122,10 +123,9 @@ def timeseries_naive(spark, d):
 
 @R.add("route_order", "SELECT p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey, length(p_name) DESC, p_name)::INTEGER AS place FROM part")
 def route_order(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("p_brand").orderBy(F.desc("p_size"), "p_partkey", F.desc(F.length("p_name")), "p_name")
-    return read(spark, d, "part").select("p_partkey", F.row_number().over(w).alias("place"))
+    part = read(spark, d, "part").withColumn("length", F.length("p_name"))
+    out = with_place(part, ["p_brand"], ["-p_size", "p_partkey", "-length", "p_name"])
+    return out.select("p_partkey", F.col("place").cast("int").alias("place"))
 
 
 @R.add("table_batches", "SELECT event_id, floor((row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) / 100)::INTEGER AS batch FROM events")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import truncate_utf8
+from ..operators.ranks import with_place
 
 #: Extensions that count as binary, largest file, transcript line (fixed values).
 BINARY = "dll exe pdb png jpg jpeg gif bmp ico zip gz 7z tar pdf woff woff2 ttf eot mp3 mp4 avi mov so dylib bin class jar nupkg snk".split()
@@ -138,6 +139,5 @@ def replace_tables(tables: dict[str, DataFrame], root: str, kept: tuple[str, ...
 
 
 def in_batches(df: DataFrame, partition: str, order: str, size: int = 100) -> DataFrame:
-    """df with the number of the batch of `size` rows in its partition."""
-    n = F.row_number().over(Window.partitionBy(partition).orderBy(order))
-    return df.withColumn("batch", F.floor((n - 1) / size).cast("int"))
+    """df with the number of the batch of `size` rows in its partition, which may be of any size."""
+    return with_place(df, [partition], [order], "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("int"))
