@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import trim_white
 
+#: Patterns of a catalogue of workflows at most.
+MOST_PATTERNS = 2000
+
 
 def route_join_stats(pickers: DataFrame, routes: DataFrame) -> DataFrame:
     """One row: pickers, with_url, matched (a picker counts once per route), unmatched."""
@@ -126,8 +129,17 @@ def resolver_score(name: Column, identity: Column, asked: str, aliases: Column |
 def intent_matches(texts: DataFrame, workflows: DataFrame, text: str = "text") -> DataFrame:
     """texts with the workflows (workflow, patterns array, status) of which the lower-case text contains a pattern.
 
-    Workflows are a catalogue of bounded size; disabled ones are left out.
+    Workflows are a catalogue: more than MOST_PATTERNS patterns are an error; disabled ones are left out.  Each text is tested
+    where it lies, and of the patterns of a workflow that it contains the least counts.
     """
     each = workflows.where("status <> 'Disabled'").select("workflow", F.explode("patterns").alias("pattern")).where("trim(pattern) <> ''")
-    hit = F.contains(F.lower(texts[text]), F.lower(each["pattern"]))
-    return texts.join(F.broadcast(each), hit).groupBy(*texts.columns, "workflow").agg(F.min("pattern").alias("pattern")).withColumn("score", F.lit(1.0))
+    listed = each.limit(MOST_PATTERNS + 1).collect()
+    if len(listed) > MOST_PATTERNS:
+        raise ValueError("more patterns than a catalogue holds")
+    found: dict[str, Column] = {}
+    for workflow, pattern in sorted(((r["workflow"], r["pattern"]) for r in listed), reverse=True):
+        hit = F.when(F.contains(F.lower(F.col(text)), F.lit(pattern.lower())), F.struct(F.lit(workflow).alias("workflow"), F.lit(pattern).alias("pattern")))
+        found[workflow] = F.coalesce(hit, found[workflow]) if workflow in found else hit
+    if not found:
+        return texts.where("1 = 0").select("*", F.lit("").alias("workflow"), F.lit("").alias("pattern"), F.lit(1.0).alias("score"))
+    return texts.select("*", F.inline(F.array_compact(F.array(*found.values())))).withColumn("score", F.lit(1.0))

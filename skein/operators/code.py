@@ -35,6 +35,12 @@ def blanked(c: Column | str) -> Column:
     return F.regexp_replace(F.col(c) if isinstance(c, str) else c, _NOISE, " ")
 
 
+def without_comments(c: Column | str) -> Column:
+    """Code with each comment as one space; strings stay."""
+    kept = r"""(?s)(@"(?:[^"]|"")*"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])')|//[^\n]*|/\*.*?\*/"""
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, kept, "$1 ")
+
+
 def with_kind(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """files with kind, primary_type and evidence: the first rule that holds, else the suffix of the first type's name."""
     code = blanked(text)

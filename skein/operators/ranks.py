@@ -17,7 +17,7 @@ from ..storage import materialize, partitions
 def _ranged(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """row, g (the group), o (the order's values) and p (the range), as a table: both passes see the same ranges."""
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
-    rows = df.select(row, F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"g{i}") for i, c in enumerate(group)]).alias("g"), *[_bare(o).alias(f"o{i}") for i, o in enumerate(order)])
+    rows = df.select(row, F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(f"g{i}") for i, c in enumerate(group)], F.lit(0).alias("g")).alias("g"), *[_bare(o).alias(f"o{i}") for i, o in enumerate(order)])
     n = partitions(df.sparkSession)
     return materialize(rows.repartitionByRange(n, "g", *_sorted(order)).withColumn("p", F.spark_partition_id()), "ranges")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, code
+from ..operators import catalog
 from ..operators import sessions as S
 from ..operators.ranks import with_place
 from ..sources import files
@@ -67,10 +67,20 @@ def next_order(spark, d):
     return S.next_order(read(spark, d, "lineitem"), "l_orderkey", "l_linenumber").withColumn("next_order", F.col("next_order").cast("int"))
 
 
-@R.add("slug_unique", """WITH a AS (SELECT p_partkey, replace(lower(trim(p_name)), ' ', '-') AS base_slug FROM part), n AS (SELECT *, row_number() OVER (PARTITION BY base_slug ORDER BY p_partkey) AS k FROM a)
-  SELECT p_partkey, CASE WHEN k = 1 THEN base_slug ELSE base_slug || '-' || k END AS slug FROM n""")
+_SLUG_NAME = "CASE p_partkey % 5 WHEN 0 THEN '2' WHEN 1 THEN '2 2' WHEN 2 THEN '3' ELSE '' END"
+
+
+@R.add("slug_unique", f"""WITH RECURSIVE a AS (SELECT p_partkey, 'w' || (p_partkey % 37) AS stem, 'w' || (p_partkey % 37) || CASE p_partkey % 5 WHEN 0 THEN '-2' WHEN 1 THEN '-2-2' WHEN 2 THEN '-3' ELSE '' END AS base FROM part),
+    k AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY p_partkey) AS k FROM a),
+    f AS (SELECT stem, p_partkey, k, base AS slug, [base] AS taken FROM k WHERE k = 1 UNION ALL
+      SELECT stem, p_partkey, k, slug, list_append(taken, slug) FROM (SELECT k.stem, k.p_partkey, k.k, f.taken,
+        CASE WHEN NOT list_contains(f.taken, k.base) THEN k.base ELSE k.base || '-' || list_min(list_filter(range(2, len(f.taken) + 3), lambda n: NOT list_contains(f.taken, k.base || '-' || n))) END AS slug
+        FROM f JOIN k ON k.stem = f.stem AND k.k = f.k + 1))
+  SELECT p_partkey, slug FROM f""")
 def slug_unique(spark, d):
-    return S.unique_slugs(read(spark, d, "part"), "p_name", "p_partkey").select("p_partkey", "slug")
+    """Names that end in numbers, so that some meet the suffixes of others."""
+    named = read(spark, d, "part").select("p_partkey", F.concat_ws(" ", F.concat(F.lit("W"), F.col("p_partkey") % 37), F.expr(_SLUG_NAME)).alias("name"))
+    return S.unique_slugs(named, "name", "p_partkey").select("p_partkey", "slug")
 
 
 @R.add("checkpoint_list", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 100")
@@ -177,40 +187,6 @@ def chapters_edit(spark, d):
     return out.select("source", F.array_join(F.transform("chapters", lambda c: F.concat_ws(":", c["id"], c["status"])), ",").alias("chapters"))
 
 
-_SOURCES = [
-    ("src/DeviceManager.cs", "namespace A { // class Fake\n  [Label(X.Names.Device)]\n  public class DeviceManager : IDeviceManager {\n    public async Task<Device> GetDeviceAsync(string id) { return X.Missing; }\n    public void AddDevice(Device d) { var s = \"class Str\"; }\n    class Inner { }\n  }\n}"),
-    ("tests/DeviceTests.cs", "[TestFixture] public class DeviceTests { [Test] public void Works() { Use(X.Device); } }"),
-    ("src/Device.cs", "[EntityDescription(\"IoT\")] public class Device { }"),
-    ("docs/readme.md", "# Title\nOwner: me\n## 1 - First\nbody\n## 2 - Second\nmore"),
-]
-
-
-@R.add("code_kinds")
-def code_kinds(spark, d):
-    out = code.with_kind(spark.createDataFrame(_SOURCES, "path string, text string"))
-    return out.select("path", "kind", "primary_type", F.array_join("evidence", ",").alias("evidence"))
-
-
-@R.add("code_symbols")
-def code_symbols(spark, d):
-    return code.symbols(spark.createDataFrame(_SOURCES, "path string, text string"))
-
-
-@R.add("code_methods")
-def code_methods(spark, d):
-    return code.methods(spark.createDataFrame(_SOURCES, "path string, text string")).withColumn("kind", T.method_kind("method"))
-
-
-@R.add("resource_usages")
-def resource_usages(spark, d):
-    return code.resource_usages(spark.createDataFrame(_SOURCES, "path string, text string"), ["X"])
-
-
-@R.add("ddr_chapters")
-def ddr_chapters(spark, d):
-    return code.ddr_chapters(spark.createDataFrame(_SOURCES, "path string, text string"), "path")
-
-
 @R.add("supplier_votes", "WITH n AS (SELECT l_orderkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL) SELECT l_orderkey, arg_min(l_suppkey, (-n, l_suppkey)) AS l_suppkey, max(n)::BIGINT AS n FROM n GROUP BY l_orderkey")
 def supplier_votes(spark, d):
     return catalog.most_frequent(read(spark, d, "lineitem"), "l_orderkey", "l_suppkey")

@@ -127,7 +127,8 @@ def storage_keys(spark, d):
     )
 
 
-@R.add("truncate_utf8")
+@R.add("truncate_utf8", """WITH h AS (SELECT doc_id, CASE WHEN strlen(text) <= 1000 THEN text ELSE left(text, list_max(list_filter(range(250, 1001), lambda n: strlen(left(text, n)) <= 1000))) END AS head FROM documents)
+  SELECT doc_id, head, strlen(head)::INTEGER AS n_bytes FROM h""")
 def truncate_utf8(spark, d):
     out = read(spark, d, "documents").select("doc_id", T.truncate_utf8("text", 1000).alias("head"))
     return out.withColumn("n_bytes", F.octet_length("head"))
@@ -224,13 +225,21 @@ def chunks_greedy(spark, d):
     return out.withColumn("hash", F.md5(F.col("chunk").cast("binary"))).drop("chunk")
 
 
-@R.add("markdown_sections")
+@R.add("markdown_sections", f"""WITH p AS (SELECT page_id, string_split(regexp_replace(html, '(?i)<p>', chr(10) || '### ', 'g'), chr(10) || '### ') AS l FROM pages),
+  b AS (SELECT page_id, list_filter(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN i > 1 THEN '### ' ELSE '' END || l[i] || CASE WHEN i < len(l) THEN chr(10) ELSE '' END), lambda x: regexp_matches(x, '[^{_W}]')) AS b FROM p),
+  u AS (SELECT page_id, unnest(b) AS body, unnest(range(0, len(b))) AS section FROM b)
+  SELECT page_id, section::INTEGER AS section, trim(regexp_extract(body, '^###[ \\t]+([^\\n]*)', 1)) AS header, length(body)::INTEGER AS n_chars FROM u""")
 def markdown_sections(spark, d):
     pages = read(spark, d, "pages").select("page_id", F.regexp_replace("html", r"(?i)<p>", "\n### ").alias("text"))
     return chunks.markdown_sections(pages).select("page_id", "section", "header", F.length("body").alias("n_chars"))
 
 
-@R.add("packed_sections")
+@R.add("packed_sections", f"""WITH RECURSIVE a AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL),
+  u AS (SELECT doc_id, unnest(l) AS t, unnest(range(0, len(l))) AS line FROM a), n AS (SELECT doc_id, line, {_tokens('t')} AS tokens FROM u),
+  f AS (SELECT doc_id, line, 1 AS section, tokens AS used FROM n WHERE line = 0 UNION ALL
+    SELECT n.doc_id, n.line, CASE WHEN used > 0 AND used + tokens > 6500 THEN section + 1 ELSE section END, CASE WHEN used > 0 AND used + tokens > 6500 THEN tokens ELSE used + tokens END
+    FROM f JOIN n ON n.doc_id = f.doc_id AND n.line = f.line + 1)
+  SELECT doc_id, line::INTEGER AS line, section::INTEGER AS section FROM f""")
 def packed_sections(spark, d):
     lines = read(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
     rows = lines.select("doc_id", "line", T.estimate_tokens("text").alias("tokens"))

@@ -2,27 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+#: Buckets of the state, by a hash of the key; a batch rewrites those that it touches.
+BUCKETS = 64
 
-def follow_changes(changes: DataFrame, path: str, checkpoint: str, key: str = "doc_id", order: str = "seq") -> StreamingQuery:
-    """Keeps the state of each document in versions of a parquet table below path: a changed one replaces, a deleted one goes.
 
-    changes has key, order, deleted and payload columns.  Batch n reads version n - 1 and writes version n, so a batch that
-    is tried again gives the same table.
+def _children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below path; none if there is no such folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [f.getPath().getName() for f in fs.listStatus(place) if f.isDirectory()] if fs.exists(place) else []
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """The versions of each bucket, in order; a listing of one folder per bucket and version."""
+    found: dict[int, list[int]] = {}
+    for v in _children(spark, path):
+        if v.startswith("v="):
+            for b in _children(spark, f"{path}/{v}"):
+                found.setdefault(int(b[2:]), []).append(int(v[2:]))
+    return {b: sorted(v) for b, v in found.items()}
+
+
+def _buckets(spark: SparkSession, path: str, schema, newest: dict[int, int]) -> DataFrame:
+    places = [f"{path}/v={v}/b={b}" for b, v in sorted(newest.items())]
+    if not places:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(*places).where("NOT deleted")
+
+
+def current_state(spark: SparkSession, path: str, schema) -> DataFrame:
+    """The documents as of the last batch that follow_changes wrote below path."""
+    return _buckets(spark, path, schema, {b: v[-1] for b, v in _versions(spark, path).items()})
+
+
+def follow_changes(changes: DataFrame, path: str, checkpoint: str, key: str = "doc_id", order: str = "seq", buckets: int = BUCKETS) -> StreamingQuery:
+    """Keeps the state of each document in a bucketed parquet table below path: a changed one replaces, a deleted one goes.
+
+    changes has key, order, deleted and payload columns.  Batch n writes version n of the buckets whose keys it holds, from
+    the newest earlier version of these; so other buckets are neither read nor written, and a batch that is tried again
+    gives the same table.  Each bucket keeps its last two versions.  Of a batch's changes to a key the one of greatest
+    order counts; a bucket without documents holds one deleted row.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
+        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
         rest = [c for c in batch.columns if c != key]
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*")
-        out = last.where(~F.col("deleted"))
-        if n > 0:
-            old = spark.read.schema(batch.schema).parquet(f"{path}/v={n - 1}")
-            out = old.join(last.select(key), key, "left_anti").unionByName(out)
-        out.write.mode("overwrite").parquet(f"{path}/v={n}")
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*").withColumn("b", bucket).persist()
+        try:
+            touched = [r["b"] for r in last.select("b").distinct().collect()]  # at most `buckets`
+            known = {b: [v for v in _versions(spark, path).get(b, []) if v < n] for b in touched}
+            old = _buckets(spark, path, batch.schema, {b: v[-1] for b, v in known.items() if v})
+            out = old.withColumn("b", bucket).join(last.select(key), key, "left_anti").unionByName(last.where(~F.col("deleted")))
+            empty = spark.createDataFrame([(b,) for b in touched], "b int").withColumn("deleted", F.lit(True))
+            out = out.unionByName(empty, allowMissingColumns=True)
+            out.repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{path}/v={n}")
+        finally:
+            last.unpersist()
+        for b, versions in known.items():
+            for v in versions[:-1]:
+                place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}/b={b}")
+                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -182,7 +182,117 @@ def test_follow_changes(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
         incremental.follow_changes(source, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted((r.doc_id, r.body) for r in spark.read.parquet(str(tmp_path / "out/v=1")).collect()) == [(1, "a2"), (3, "c")]
+    assert sorted((r.doc_id, r.body) for r in incremental.current_state(spark, str(tmp_path / "out"), schema).collect()) == [(1, "a2"), (3, "c")]
+
+
+def test_follow_changes_touches_few_buckets(spark, tmp_path):
+    schema, out = "doc_id long, seq long, deleted boolean, body string", str(tmp_path / "out")
+    state, seq = {}, 0
+    for n in range(4):
+        rows = []
+        for i in (range(200) if n == 0 else (n, n + 50, 7)):
+            seq += 1
+            gone = n > 0 and i == 7
+            rows.append((i, seq, gone, None if gone else f"{i}.{n}"))
+            state[i] = None if gone else f"{i}.{n}"
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        incremental.follow_changes(source, out, str(tmp_path / "cp"), buckets=16).awaitTermination()
+        got = {r.doc_id: r.body for r in incremental.current_state(spark, out, schema).collect()}
+        assert got == {k: v for k, v in state.items() if v is not None}
+        versions = incremental._versions(spark, out)
+        assert n == 0 or len([b for b, v in versions.items() if v[-1] == n]) <= 3
+        assert all(len(v) <= 2 + (v[-1] == n) for v in versions.values())
+
+
+def test_places_and_lags_in_large_groups(spark):
+    from pyspark.sql import Window
+
+    from skein.operators import ranks
+
+    rows = [("hot" if i % 3 else None, (i * 7919) % 1000 // 2, i) for i in range(900)] + [("one", 5, -1)]
+    df = spark.createDataFrame(rows, "g string, k int, `row` int").withColumn("p", F.lit(1))
+    w = Window.partitionBy("g").orderBy("k", "row")
+    want = df.select("*", F.row_number().over(w).cast("long").alias("place"), F.count("*").over(Window.partitionBy("g")).alias("n"), F.lag("k").over(w).alias("before"))
+    got = ranks.with_previous(ranks.with_place(df, ["g"], ["k", "row"], total="n"), ["g"], ["k", "row"], "k", "before")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert ranks.with_place(df.where("1 = 0"), ["g"], ["k"]).count() == 0
+    down = {r.row: r.place for r in ranks.with_place(df, [], ["-k", "-row"]).collect()}
+    order = sorted(rows, key=lambda r: (-r[1], -r[2]))
+    assert all(down[r[2]] == n for n, r in enumerate(order, 1))
+
+
+def test_split_needs_no_limit_of_the_share(spark):
+    df = spark.range(1000).withColumn("k", F.col("id") % 10)
+    plan = sessions.split_ordinal(df, ["k", "id"])._jdf.queryExecution().toString()
+    assert "offset=799" not in plan and "limit=800" not in plan
+    assert sessions.split_ordinal(df, ["k", "id"]).where("part = 'train'").count() == 800
+    assert sessions.split_ordinal(df.where("id < 0"), ["k", "id"]).count() == 0
+
+
+def test_slugs_are_unique(spark):
+    names = ["a", "a", "a 2", "a", "A", "a-2-2", "", " ", "item", "b"] * 3
+    items = spark.createDataFrame([(i, n, i % 2) for i, n in enumerate(names)], "i int, name string, list int")
+    for scope in (None, "list"):
+        taken, want = {}, {}
+        for i, n in enumerate(names):
+            own = taken.setdefault(i % 2 if scope else 0, set())
+            base = n.strip().lower().replace(" ", "-") or "item"
+            slug, k = base, 2
+            while slug in own:
+                slug, k = f"{base}-{k}", k + 1
+            own.add(slug)
+            want[i] = slug
+        assert {r.i: r.slug for r in sessions.unique_slugs(items, "name", "i", scope).collect()} == want
+
+
+def test_chunks_keep_rows_without_a_key(spark):
+    rows = [(1, "a\nb"), (None, "c"), (None, None), (3, ""), ((1 << 62) + 1, "d")]
+    got = chunks.greedy_chunks(spark.createDataFrame(rows, "k long, text string"), "k").collect()
+    assert sorted((r.k is not None, r.k or 0, r.chunk) for r in got) == [(False, 0, "c"), (True, 1, "a\nb"), (True, (1 << 62) + 1, "d")]
+
+
+def test_symbols_of_source(spark):
+    from skein.operators import symbols
+
+    code_text = """// license
+using System;
+using A.B;
+
+namespace X.Y;
+
+/* class Fake */
+[Attr("class No")]
+public abstract class Outer<T> : Base where T : new()
+{
+    public const string S = "enum Nope { }";
+    public event Action Changed;
+    public int P => 3;
+    public string Q { get; set; } = "x";
+    public Outer(int a) : base(a) { if (a > 0) { Run(); } }
+    public static T Make<T>(Func<int, (int, int)> f) where T : class => default;
+    public interface IInner { void Go(); }
+    private enum Kind { A, B }
+    record Pair(int L, int R);
+}
+struct Last { }
+"""
+    found = [(d.kind, d.name) for d in symbols.declarations(code_text)]
+    assert found == [
+        ("namespace", "X.Y"), ("class", "Outer"), ("field", "S"), ("event", "Changed"), ("property", "P"), ("property", "Q"), ("method", "Outer"), ("method", "Make"),
+        ("interface", "IInner"), ("method", "Go"), ("enum", "Kind"), ("record", "Pair"), ("struct", "Last"),
+    ]
+    split = {s[1]: s for s in symbols.split_symbols(code_text)}
+    assert split["IInner"][2:5] == ("X.Y", "Outer", "X.Y.Outer.IInner") and "enum Kind" not in split["Outer"][5] and "public int P" in split["Outer"][5]
+    assert split["Outer"][5].startswith("using System;\nusing A.B;\n\nnamespace X.Y\n{\n")
+    parts = list(symbols.symbol_chunks(code_text, 4096, 0))
+    assert parts[0][0] == "file" and "license" in parts[0][4] and [p[1] for p in parts if p[0] == "method"] == ["Outer", "Make", "Go"]
+    lines = code_text.split("\n")
+    assert all("\n".join(lines[a - 1 : b]).startswith(t) for k, _, a, b, t in parts[1:])
+    long = "class C {\n" + "\n".join(f"  int f{i}() {{ return {i}; }}" for i in range(300)) + "\n}"
+    got = symbols.with_symbol_chunks(spark.createDataFrame([("p", long), (None, " "), ("q", None), ("r", "no code")], "path string, text string"), 200).collect()
+    assert {r.path for r in got} == {"p"} and all(r.tokens <= 210 for r in got) and len([r for r in got if r.symbol_kind == "method"]) == 300
+    assert list(symbols.declarations("class A { void B() {")) and not list(symbols.declarations("}}}{{"))
 
 
 def test_top_k_of_each_query(spark, monkeypatch):
@@ -205,7 +315,7 @@ def test_top_k_of_each_query(spark, monkeypatch):
 def test_lookups_meet_whole_tables(spark, tmp_path):
     from skein.plans.relational_queries import R
 
-    assert "% 97" not in R.sql["authoritative_lookup_whole"] and "% 97" in R.sql["authoritative_lookup"]
+    assert all("% 97" not in R.sql[q] and "% 10" not in R.sql[q] for q in ("authoritative_lookup", "authoritative_lookup_whole", "missing_ids"))
     spark.createDataFrame([(i, "src1", "en") for i in range(50)], "doc_id long, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1,)], "item_id long").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame([(i,) for i in range(20)], "l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
