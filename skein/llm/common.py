@@ -1,55 +1,25 @@
-"""What the corpus operators share: the shared scratch folder, word rules and small column helpers."""
+"""What the corpus operators share: word rules and small column helpers, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import materialize, partitions, scratch_path, shared_folder
+
+__all__ = ["SPACE", "WORD", "materialize", "n_words", "partitions", "scratch_path", "shared_folder", "table"]
+
 #: A word: a run of characters other than ASCII white space (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 #: The white space between words, for one str.translate before str.split(" ") or a byte table.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, read from the session.
-
-    Where it is unset, a local session gets a folder of its own; a cluster gets an error, as a machine-local folder would
-    not be seen by other executors.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file:///tmp/checkpoints/skein"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder.rstrip('/')}/{spark.sparkContext.applicationId}"
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table below sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
-def partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions, which the cluster sizes to its data."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def n_words(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

@@ -23,13 +23,24 @@ def counts(t):
 
 
 def test_base_statistics(spark, docs):
-    odd = ["a b c a b c", "a a a a", "x\ny\n\nx\n \n", "a b", "#|<>&", "a\vb\fc", "é" * 5 + " x", "a b c d a b c e b c d", "\r\nq\r\nq"]
+    odd = ["", "   ", None, "\x0b a", "A1!#é Ü?9 $x", "x x x", "a b c " * 400, "q " * 5, "a b c d e f a b c", "a b c a b d a b c",
+           "a b c a b c", "a a a a", "x\ny\n\nx\n \n", "a b", "#|<>&", "a\vb\fc", "é" * 5 + " x", "a b c d a b c e b c d", "\r\nq\r\nq"]
     extra = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(odd)], "doc_id long, text string")
     both = docs.select("doc_id", "text").unionByName(extra)
     for r in Q.with_statistics(both).collect():
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == counts(r.text), r.text[:40]
 
 
+def test_clashing_statistics(docs, labelled):
+    clash = docs.selectExpr("doc_id", "text", "size AS n_words", "block AS kept", "score AS rule", "lang AS `row`", "source AS words")
+    out = Q.judge(clash, labelled[1])
+    assert len(set(out.columns)) == len(out.columns) and {"row", "words"} <= set(out.columns)
+    for r in out.collect():
+        assert r.n_words == counts(r.text)[0] and isinstance(r.kept, bool)
+    kept = Q.filter_documents(clash, labelled[1])
+    assert kept.columns == clash.columns and kept.count() == out.where("kept").count()
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     """300 clean texts, 100 with symbols, 60 in capitals; a toxic word in every sixth."""
