@@ -174,8 +174,21 @@ def diverse(best: DataFrame, key: Column, k: int = KEEP, tie: str = "vec_id") ->
     return ranked.withColumn("rank", F.row_number().over(Window.orderBy(*order))).drop("__key", "__n")
 
 
+#: Hits that are looked up by their ids at most.
+MOST_HITS = 1000
+
+
 def with_content(hits: DataFrame, contents: DataFrame, hit_key: str, content_key: str, text: str = "text") -> DataFrame:
-    """hits with their text; hits whose text is missing or blank are dropped.  hits is small by its limit."""
+    """hits with their text; hits whose text is missing or blank are dropped.
+
+    Hits are few by their limit: up to MOST_HITS become a filter on ids that reaches the files of the contents, so that no
+    other text is read; more of them are joined.
+    """
+    few = hits.limit(MOST_HITS + 1).collect()
+    if len(few) > MOST_HITS:
+        return contents.where(~is_blank(text)).join(hits, F.col(content_key) == F.col(hit_key))
+    hits = hits.sparkSession.createDataFrame(few, hits.schema)
+    contents = contents.where(F.col(content_key).isin([r[hit_key] for r in few]))
     return contents.where(~is_blank(text)).join(F.broadcast(hits), F.col(content_key) == F.col(hit_key))
 
 

@@ -37,12 +37,14 @@ def score_sections(
         "__lines": F.size(F.split("__t", "\n", -1)),
         "__sent": F.greatest(F.regexp_count("__t", F.lit("[.!?]")), F.lit(1)),
         "__code": F.regexp_count("__t", F.lit(r"[{};()\[\]<>]")),
-        "__tokens": F.filter(F.split("__t", f"[{WHITE}]+"), lambda x: x != ""),
+        "__tokens": F.when(F.col("__t") == "", 0).otherwise(F.size(F.split("__t", f"[{WHITE}]+"))),  # it is trimmed
     })
+    # one expression over the text for each count, none for each token
+    letters = F.regexp_replace(F.lower("__t"), f"[^a-z{WHITE}]++", "")
+    noisy = rf"(?<![^{WHITE}])[^{WHITE}]*?(?://|/\*|\*/|\p{{Nd}}|;|=>|namespace|class)[^{WHITE}]*+"
     base = base.withColumns({
-        "__words": F.filter(F.transform("__tokens", lambda x: F.regexp_replace(F.lower(x), "[^a-z]", "")), lambda x: F.length(x) >= 4),
-        "__lower": F.array_distinct(F.transform("__tokens", lambda x: F.lower(x))),
-        "__noisy": F.size(F.filter("__tokens", lambda x: x.rlike(r"//|/\*|\*/|\p{Nd}|;|=>|namespace|class"))),
+        "__words": F.filter(F.split(letters, f"[{WHITE}]+"), lambda x: F.length(x) >= 4),
+        "__noisy": F.regexp_count("__t", F.lit(noisy)),
         "matched_models": F.array_compact(F.array(*[F.when(model_in_text(F.col("__t"), m), F.lit(m)) for m in models])) if models else F.array().cast("array<string>"),
     })
     n, sent = F.col("__n"), F.col("__sent")
@@ -50,8 +52,12 @@ def score_sections(
     block, code = (F.col("__lines") == 1) & (n > 120), F.try_divide(F.col("__code").cast("double"), n) > 0.15
     ratio = F.try_divide(F.size(F.array_distinct("__words")).cast("double"), F.size("__words"))
     n_models = F.size("matched_models")
-    noise = F.try_divide(F.col("__noisy").cast("double"), F.size("__tokens"))
-    any_of = lambda xs: F.arrays_overlap("__lower", F.array(*[F.lit(x.strip().lower()) for x in xs if x.strip()]))
+    noise = F.try_divide(F.col("__noisy").cast("double"), F.col("__tokens"))
+
+    def any_of(words: Sequence[str]) -> Column:
+        known = "|".join(re.escape(x.strip().lower()) for x in words if x.strip())
+        return F.lower("__t").rlike(rf"(?<![^{WHITE}])(?:{known})(?![^{WHITE}])") if known else F.lit(False)
+
     verb, role = any_of(verbs), any_of(roles)
     points = lambda test, k: F.when(test, F.lit(float(k))).otherwise(0.0)
     empty = n == 0
