@@ -33,52 +33,60 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 FEATURES = ["symbol_share", "upper_share", "stress_share", "digit_share", "repeat_share", "dup_line_share", "distinct_share", "mean_word"]
 
 
-def _repeat_words(words: Column) -> Column:
-    """Number of words inside 3-word windows that occur twice or more.
-
-    Windows are sorted with their places; equal neighbours are the repeated ones; each covers three places.
-    """
-    n = F.size(words)
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), n), lambda a, b: F.concat(a, F.lit(" "), b))
-    windows = F.slice(F.zip_with(pairs, F.slice(words, F.lit(3), n), lambda p, c: F.concat(p, F.lit(" "), c)), F.lit(1), F.greatest(n - 2, F.lit(0)))
-    placed = F.array_sort(F.transform(windows, lambda g, i: F.struct(g.alias("g"), i.alias("i"))))
-    return placed
-
-
-def _covered(placed: Column) -> Column:
-    twice = F.filter(
-        F.zip_with(placed, F.slice(placed, F.lit(2), F.size(placed)), lambda a, b: F.when(a["g"] == b["g"], F.array(a["i"], b["i"]))),
-        lambda x: x.isNotNull(),
-    )
+#: White space, as characters to trim and as the contracts' class.
+_WHITE = " \t\n\x0b\f\r"
+#: Marks and letters that the statistics count; all else is dropped once, so each count reads few characters.
+_COUNTED = {"n_symbols": r"#*$%&|<>", "__upper": r"\p{Lu}", "__stress": "!?", "__digits": "0-9"}
+
+
+def _windows(words: Column) -> Column:
+    """64-bit hashes of the 3-word windows, by place."""
+    first = F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0)))
+    return F.transform(first, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)))
+
+
+def _covered(placed: Column, words: Column) -> Column:
+    """Number of words inside windows that occur twice or more, from sorted (hash, place); equal hashes are confirmed on the words."""
+
+    def same(a: Column, b: Column) -> Column:
+        out = a["h"] == b["h"]
+        for k in range(3):
+            out = out & (F.get(words, a["i"] + k) == F.get(words, b["i"] + k))
+        return out
+
+    following = F.slice(placed, F.lit(2), F.size(placed))
+    twice = F.filter(F.zip_with(placed, following, lambda a, b: F.when(same(a, b), F.array(a["i"], b["i"]))), lambda x: x.isNotNull())
     places = F.array_distinct(F.flatten(F.transform(F.array_distinct(F.flatten(twice)), lambda i: F.array(i, i + 1, i + 2))))
     return F.size(places).cast("long")
 
 
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the five base counts and FEATURES."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    keep = [F.col(f"`{c}`") for c in docs.columns]
+    """docs with the five base counts and FEATURES; columns of these names are replaced."""
+    made = {*BASE, *FEATURES}
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in made]
+    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    inner = F.btrim(t, F.lit(_WHITE))
+    few = F.regexp_replace(t, "[^" + "".join(_COUNTED.values()) + "]++", "")
     first = docs.select(
-        *keep,
-        F.filter(F.split(t, SPACE, -1), lambda w: w != "").alias("__words"),
-        F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("__lines"),
-        F.length(F.regexp_replace(t, SPACE, "")).cast("long").alias("word_chars"),
-        F.regexp_count(t, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        F.regexp_count(t, F.lit(r"\p{Lu}")).alias("__upper"),
-        F.regexp_count(t, F.lit(r"[!?]")).alias("__stress"),
-        F.regexp_count(t, F.lit(r"[0-9]")).alias("__digits"),
-    )
-    names = [c for c in first.columns if c not in ("__words", "__lines")]
+        row, F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE, -1)).alias("words"),
+        F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"), few.alias("few"),
+    )
     second = first.select(
-        *[F.col(f"`{c}`") for c in names],
-        F.size("__words").cast("long").alias("n_words"),
-        F.size(F.array_distinct("__words")).alias("__distinct"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.size("__lines").alias("__n_lines"),
-        _repeat_words(F.col("__words")).alias("__placed"),
-    )
-    names = [c for c in second.columns if c != "__placed"]
-    third = second.select(*[F.col(f"`{c}`") for c in names], _covered(F.col("__placed")).alias("n_repeat_words"))
+        "row", "words", _windows(F.col("words")).alias("windows"),
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.size(F.array_distinct("words")).alias("__distinct"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.size("lines").alias("__n_lines"),
+        *[F.length(F.regexp_replace("few", f"[^{marks}]++", "")).cast("long").alias(name) for name, marks in _COUNTED.items()],
+    )
+    names = [c for c in second.columns if c != "windows"]
+    # most texts repeat no window, which a hash set tells; only the others are sorted
+    placed = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    repeats = F.size(F.array_distinct("windows")) < F.size("windows")
+    third = second.select(*names, F.when(repeats, placed).alias("placed"))
+    names = [c for c in names if c != "words"]
+    fourth = third.select(*names, F.when(F.col("placed").isNull(), F.lit(0).cast("long")).otherwise(_covered(F.col("placed"), F.col("words"))).alias("n_repeat_words"))
     share = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a).cast("double"), F.col(b)), F.lit(0.0)), 6)
     shares = [
         share("n_symbols", "word_chars").alias("symbol_share"),
@@ -91,7 +99,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         share("word_chars", "n_words").alias("mean_word"),
     ]
     # one generated row: filters on the statistics stay above it, else they would repeat the whole computation below
-    return third.select(*keep, F.inline(F.array(F.struct(*BASE, *shares))))
+    return fourth.select("row", F.inline(F.array(F.struct(*BASE, *shares)))).select(*kept, *BASE, *FEATURES)
 
 
 def base_failed() -> Column:
@@ -221,16 +229,19 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """docs with statistics, base_failed, rule (the first that names the document) and kept."""
+    """docs with statistics, base_failed, rule (the first that names the document) and kept; columns of these names are replaced."""
     rules = learn(docs, labels, train_rows)
-    out = with_statistics(docs).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    kept = [c for c in docs.columns if c not in ("base_failed", "rule", "kept")]
+    out = with_statistics(docs.select(*[F.col(f"`{c}`") for c in {*kept, "text"}])).withColumn("base_failed", base_failed()).withColumn("rule", verdict(rules))
+    out = out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
+    made = [*BASE, *FEATURES, "base_failed", "rule", "kept"]
+    return out.select(*[F.col(f"`{c}`") for c in kept if c not in made], *made)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The documents that are kept, with their own columns."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col("doc_id"), F.col("text"))
-    return judge(own, labels, train_rows).where("kept").select("__row.*")
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col("doc_id"), F.col("text"))
+    return judge(own, labels, train_rows).where("kept").select("whole.*")
 
 
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
