@@ -58,13 +58,13 @@ def read_prices(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resx_entries(files: DataFrame, path: str = "relative", content: str = "content") -> DataFrame:
-    """path, key, value, comment, culture of each entry; the last of a repeated key in a file wins."""
+    """path, key, value, comment, culture of each entry, with entities and CDATA read; the last of a repeated key in a file wins."""
     text = F.decode(F.col(content), "UTF-8")
     items = F.regexp_extract_all(text, F.lit(r"(?s)(<data\s[^>]*>.*?</data>)"), F.lit(1))
     each = files.select(path, F.posexplode(items).alias("n", "x"))
-    inner = lambda tag: F.nullif(F.trim(F.regexp_extract("x", rf"(?s)<{tag}>(.*?)</{tag}>", 1)), F.lit(""))
-    plain = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&quot;"), F.lit('"')), F.lit("&amp;"), F.lit("&"))
-    rows = each.select(path, "n", F.regexp_extract("x", r'name="([^"]*)"', 1).alias("key"), plain(inner("value")).alias("value"), plain(inner("comment")).alias("comment"))
+    entry = F.from_xml("x", "_name string, value string, comment string")
+    some = lambda c: F.nullif(F.trim(F.col(f"e.{c}")), F.lit(""))
+    rows = each.select(path, "n", entry.alias("e")).select(path, "n", F.col("e._name").alias("key"), some("value").alias("value"), some("comment").alias("comment"))
     last = rows.groupBy(path, "key").agg(F.max_by(F.struct("value", "comment"), "n").alias("r")).select(path, "key", "r.*")
     return last.withColumn("culture", F.nullif(F.regexp_extract(path, r"\.([a-z]{2}(?:-[A-Z]{2})?)\.resx$", 1), F.lit("")))
 

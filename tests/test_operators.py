@@ -117,14 +117,15 @@ def test_code(spark):
 
 
 def test_files(spark, tmp_path):
-    for name, body in {"a/one.cs": "x", "a/bin/two.dll": "y", "b.resx": '<root><data name="K"><value>1</value></data><data name="K"><value>2 &amp; 3</value></data></root>'}.items():
+    for name, body in {"a/one.cs": "x", "a/bin/two.dll": "y", "b.resx": '<root><data name="K"><value>1</value></data><data name="K"><value>2 &amp; 3</value></data><data name="C" xml:space="preserve"><value><![CDATA[<b>]]></value><comment>it&apos;s &#65;</comment></data></root>'}.items():
         (tmp_path / "r" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "r" / name).write_text(body)
     (tmp_path / "r/big.txt").write_text("z" * 60_000)
     root = str(tmp_path / "r")
     assert sorted(r.relative for r in files.discover(spark, root).collect()) == ["a/one.cs", "b.resx"]
     assert [r.relative for r in files.discover(spark, root, ["**/*.CS"], ["b*"]).collect()] == ["a/one.cs"]
-    assert [(r.key, r.value) for r in files.resx_entries(files.discover(spark, root, ["**/*.resx"])).collect()] == [("K", "2 & 3")]
+    entries = files.resx_entries(files.discover(spark, root, ["**/*.resx"])).collect()
+    assert sorted((r.key, r.value, r.comment) for r in entries) == [("C", "<b>", "it's A"), ("K", "2 & 3", None)]
     rows = spark.createDataFrame([(1, 'a,"b"'), (2, None)], "id int, t string")
     files.write_csv(rows, str(tmp_path / "csv"))
     assert sorted(files.read_csv(spark, str(tmp_path / "csv"), "id int, t string").collect()) == sorted(rows.collect())
