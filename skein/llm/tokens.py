@@ -16,6 +16,7 @@ import os
 import re
 import sys
 from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -68,6 +69,31 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     return os.path.join(folder, name)
 
 
+def parts_of(text: bytes, most: int) -> Iterator[bytes]:
+    """The text in parts of at most `most` bytes, cut before a space between two ASCII letters or digits, or at the next such space."""
+    at = 0
+    while len(text) - at > most:
+        cut = near = at + most
+        while not _safe(text, cut) and cut > at:
+            cut = text.rfind(b" ", at + 1, cut)
+        if cut <= at:
+            found = _SAFE.search(text, near)
+            if not found:
+                break
+            cut = found.start() + 1
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
+
+
+#: Places where all supported tokenizers cut, at or after the space.
+_SAFE = re.compile(rb"[0-9A-Za-z] [0-9A-Za-z]")
+
+
+def _safe(text: bytes, space: int) -> bool:
+    return space > 0 and _SAFE.match(text, space - 1) is not None
+
+
 class Encoder:
     """Encodes whole texts into little-endian unsigned 32-bit ids, as the library does with add_special_tokens=False."""
 
@@ -117,8 +143,44 @@ class Encoder:
             flush()
         return out
 
+    #: A text may be counted in the parts that parts_of gives; the space at a cut stays with the part behind it.
+    splits, keeps_space = True, True
+
+    def count_batch(self, texts: list[bytes]) -> np.ndarray:
+        """The number of ids of each text, given as UTF-8."""
+        counts = np.zeros(len(texts), np.int64)
+        group: list[int] = []
+        added = [a.encode("utf-8") for a in self._added]
+        for i, t in enumerate(texts):
+            if not t:
+                continue
+            if any(a in t for a in added):
+                counts[i] = len(self._plain.encode(t.decode("utf-8", "surrogatepass"), add_special_tokens=False).ids)
+            elif not self._folds and not t.isascii() and _WIDE.search(text := t.decode("utf-8", "surrogatepass")):
+                counts[i] = sum(map(len, self._looked_up([u.encode("utf-8", "surrogatepass") for u in self._cut(text)]))) // 4
+            else:
+                group.append(i)
+        if group:
+            parts, back, until_text = self._units([texts[i] for i in group])
+            until = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts))[back] // 4)])
+            counts[group] = np.diff(until[until_text], prepend=0)
+        return counts
+
     def _encode_group(self, texts: list[bytes]) -> list[bytes]:
-        """Words are told apart by 64-bit hashes inside a group; the memo is by their bytes."""
+        parts, back, until_text = self._units(texts)
+        length = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        flat, begin = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(length) - length
+        each = length[back]
+        until = np.cumsum(each)
+        ids = flat[np.repeat(begin[back] - (until - each), each) + np.arange(int(until[-1]) if len(until) else 0)]
+        cuts = np.concatenate([[0], until])[until_text].tolist()
+        return [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+
+    def _units(self, texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The ids of the distinct units of texts, which unit stands at each place, and how many places there are up to the end of each text.
+
+        Words are told apart by 64-bit hashes inside a group; the memo is by their bytes.
+        """
         data = b"\n".join(texts) + b"\n"
         view, found, at = np.frombuffer(data, np.uint8), [], 0
         while at < len(data):
@@ -145,14 +207,7 @@ class Encoder:
             words += list(place)
             back = np.insert(back, [j for j, _, _ in gaps], [place[g] for _, _, g in gaps])
             until_text = until_text + np.searchsorted([k for _, k, _ in gaps], np.arange(len(texts)), "right")
-        parts = self._looked_up(words)
-        length = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        flat, begin = np.frombuffer(b"".join(parts), "<u4"), np.cumsum(length) - length
-        each = length[back]
-        until = np.cumsum(each)
-        ids = flat[np.repeat(begin[back] - (until - each), each) + np.arange(int(until[-1]) if len(until) else 0)]
-        cuts = np.concatenate([[0], until])[until_text].tolist()
-        return [ids[a:b].tobytes() for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+        return self._looked_up(words), back, until_text
 
     @staticmethod
     def _gaps(data: bytes, view: np.ndarray, starts: np.ndarray, ends: np.ndarray, after: np.ndarray, until_text: np.ndarray) -> tuple[np.ndarray, list]:
@@ -221,11 +276,27 @@ class Encoder:
         return found
 
 
-_encoders: dict[str, Encoder] = {}
+class Pieces:
+    """Counts the pieces of texts by a sentencepiece model, without begin and end."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        self._model = sentencepiece.SentencePieceProcessor(model_file=path)
+        own = map(self._model.id_to_piece, range(self._model.get_piece_size()))
+        #: No piece reaches across a space, so a text may be counted in parts; the model puts the space at a cut back itself.
+        self.splits, self.keeps_space = not any("\u2581" in p.lstrip("\u2581") for p in own), False
+
+    def count_batch(self, texts: list[bytes]) -> np.ndarray:
+        """The number of pieces of each text, given as UTF-8."""
+        return np.array(list(map(len, self._model.encode([t.decode("utf-8", "surrogatepass") for t in texts], num_threads=1))), np.int64)
+
+
+_encoders: dict[str, Encoder | Pieces] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str) -> Encoder | Pieces:
     """The encoder of this process for a file; Python workers are reused, so its memo serves later tasks too."""
     if path not in _encoders:
-        _encoders[sys.intern(path)] = Encoder(path)
+        _encoders[sys.intern(path)] = Pieces(path) if path.endswith(".model") else Encoder(path)
     return _encoders[path]
