@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("dedup", "mixing", "sharding", "quality", "toxicity", "fingerprints", "sstable", "packing", "html_layout", "ngram_lm", "token_counts", "audit")
+MODULES = ("dedup", "mixing", "sharding", "quality", "toxicity", "fingerprints", "sstable", "packing", "html_layout", "ngram_lm", "token_counts", "audit", "lexical")
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
