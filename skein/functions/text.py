@@ -132,8 +132,12 @@ def applies_to(c: Column | str, most: int = 50) -> Column:
 def html_to_text(c: Column | str) -> Column:
     """Drops script, style and tags and collapses white space; entities stay (see functions.python.unescape_html)."""
     s = _col(c)
-    for pattern in (r"(?is)<script.*?</script>", r"(?is)<style.*?</style>", r"<[^>]+>"):
-        s = F.regexp_replace(s, pattern, " ")
+    for name in ("script", "style"):  # up to the last closing tag, so no opening one is sought to the end in vain
+        head = F.regexp_extract(s, rf"(?is)^(.*</{name}>)", 1)
+        s = F.concat(F.regexp_replace(head, rf"(?is)<{name}.*?</{name}>", " "), F.substring(s, F.length(head) + 1, F.length(s)))
+    tail = F.substring_index(s, ">", -1)
+    head = F.substring(s, F.lit(1), F.length(s) - F.length(tail))
+    s = F.concat(F.regexp_replace(head, "<[^>]+>", " "), tail)
     collapsed = F.regexp_replace(F.regexp_replace(s, "[\r\n\t]+", " "), f"[{WHITE}]{{2,}}", " ")
     return F.coalesce(trim_white(collapsed), F.lit(""))
 

@@ -25,7 +25,10 @@ KINDS = (
     ("Interface", r"\binterface\s+I[A-Z]\w*", r"^I[A-Z]\w*$"),
     ("Startup", r"class\s+Startup\b", r"^Startup$"),
 )
-_NOISE = r"""(?s)//[^\n]*|/\*.*?\*/|@"(?:[^"]|"")*"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])'"""
+#: Comments, strings and characters.  Possessive and without alternatives in a loop: the stack of the JVM's engine grows with those.
+_COMMENT = r"//[^\n]*+|/\*[^*]*+(?:\*(?!/)[^*]*+)*+(?:\*/)?+"
+_STRING = r"""@"[^"]*+(?:""[^"]*+)*+"|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"|'(?:\\.|[^'\\\n])'"""
+_NOISE = rf"(?s){_COMMENT}|{_STRING}"
 _TYPE = r"\b(class|interface|struct|enum|record)\s+([A-Za-z_]\w*)"
 _METHOD = r"(?m)^[ \t]*((?:(?:public|protected|internal|private|static|virtual|override|async|abstract|sealed)\s+)+)([\w<>\[\],.? ]+?)\s+([A-Za-z_]\w*)\s*\(([^()]*)\)"
 
@@ -37,8 +40,7 @@ def blanked(c: Column | str) -> Column:
 
 def without_comments(c: Column | str) -> Column:
     """Code with each comment as one space; strings stay."""
-    kept = r"""(?s)(@"(?:[^"]|"")*"|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])')|//[^\n]*|/\*.*?\*/"""
-    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, kept, "$1 ")
+    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, rf"(?s)({_STRING})|{_COMMENT}", "$1 ")
 
 
 def with_kind(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:

@@ -19,12 +19,13 @@ from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .chunks import BUDGET, OVERLAP, estimate, pack_lines
 
-_NOISE = re.compile(r"""//[^\n]*|/\*.*?(?:\*/|\Z)|@"(?:[^"]|"")*"?|"(?:\\.|[^"\\\n])*"?|'(?:\\.|[^'\\\n])'""", re.S)
+_NOISE = re.compile(r"""//[^\n]*+|/\*.*?(?:\*/|\Z)|@"[^"]*+(?:""[^"]*+)*+"?|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+"?|'(?:\\.|[^'\\\n])'""", re.S)
 _TYPE = re.compile(r"\b(class|struct|interface|enum|record)\s+(?:class\s+|struct\s+)?([A-Za-z_]\w*)")
 _SPACE = re.compile(r"\bnamespace\s+([\w.]+)\s*$")
 _USING = re.compile(r"^[ \t]*(?:global\s+)?using\s+(?!\()[^;(]*;", re.M)
-_CALLABLE = re.compile(r"([A-Za-z_]\w*)\s*(?:<[^<>()]*>)?\s*\((?:[^()]|\([^()]*\))*\)\s*(?::\s*(?:base|this)\s*\(.*\)|where\b.*)?$", re.S)
-_MEMBER = re.compile(r"[\w>\]?]\s+([A-Za-z_]\w*)$")
+#: These meet heads whose white space is squeezed, and take a name from its first letter alone: else they were quadratic.
+_CALLABLE = re.compile(r"(?<!\w)([A-Za-z_]\w*+) ?(?:<[^<>()]*>)? ?\((?:[^()]|\([^()]*\))*+\) ?(?:: ?(?:base|this) ?\(.*\)|where\b.*)?$", re.S)
+_MEMBER = re.compile(r"[\w>\]?] (?<!\w)([A-Za-z_]\w*+)$")
 #: Words that are followed by brackets and are no methods (fixed values).
 CONTROL = frozenset("if for foreach while switch using lock catch return fixed nameof typeof when new await yield throw".split())
 
@@ -35,11 +36,18 @@ class Declaration(NamedTuple):
     parent: int  # its place in the list, -1 for none
     start: int
     end: int
+    begin: int  # where the text before it ends, so that its comments lie between
+    mark: int  # its brace or semicolon
+
+
+def blanked(code: str) -> str:
+    """Code with comments, strings and characters as blanks of equal length."""
+    return _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
 
 
 def declarations(code: str) -> list[Declaration]:
     """The declarations of a file in the order in which they begin."""
-    flat = _NOISE.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), code)
+    flat = blanked(code)
     found: list[Declaration] = []
     stack: list[int] = []  # an index into found, or -1 for a brace of another kind
     begin = 0
@@ -53,7 +61,7 @@ def declarations(code: str) -> list[Declaration]:
             continue
         head = flat[begin : m.start()]
         start = begin + len(head) - len(head.lstrip())
-        begin = m.end()
+        before, begin = begin, m.end()
         parent = next((k for k in stack[-1:]), -1) if stack else -1
         if stack and parent < 0:  # inside a body
             stack += [-1] if m[0] == "{" else []
@@ -62,7 +70,7 @@ def declarations(code: str) -> list[Declaration]:
         if own is None:
             stack += [-1] if m[0] == "{" else []
             continue
-        found.append(Declaration(*own, parent, start, m.end()))
+        found.append(Declaration(*own, parent, start, m.end(), before, m.start()))
         if m[0] == "{":
             stack.append(len(found) - 1)
             # to the end of the file, until its brace is met
@@ -73,11 +81,15 @@ def declarations(code: str) -> list[Declaration]:
     return found
 
 
+_ATTRIBUTES = re.compile(r"^(?: ?\[(?:[^\[\]]|\[[^\[\]]*\])*+\])++")
+
+
 def _declared(head: str, mark: str, inside: str) -> tuple[str, str] | None:
-    text = re.sub(r"^(?:\s*\[[^\[\]]*\])+", "", head).strip()
+    text = _ATTRIBUTES.sub("", " ".join(head.split())).strip()
     if m := _SPACE.search(text):
         return "namespace", m[1]
-    body = re.split(r"=>|(?<![=!<>])=(?!=)", text, maxsplit=1)[0].strip()
+    body, *rest = re.split(r"(=>|(?<![=!<>])=(?!=))", text, maxsplit=1)
+    body, given = body.strip(), rest[:1]
     if m := _TYPE.search(body):
         return (m[1], m[2]) if mark == "{" or m[1] == "record" else None
     if inside not in ("class", "struct", "interface", "record"):
@@ -87,7 +99,7 @@ def _declared(head: str, mark: str, inside: str) -> tuple[str, str] | None:
     if m := _MEMBER.search(body):
         if re.search(r"\bevent\b", body):
             return "event", m[1]
-        return ("property" if mark == "{" or "=>" in text else "field", m[1])
+        return ("property" if given == ["=>"] or mark == "{" and not given else "field", m[1])
     return None
 
 

@@ -85,8 +85,9 @@ def with_changes(df: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return out.select(*[F.coalesce(F.col(f"__new.{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in df.columns])
 
 
-#: Quoted and bare parts of an argument, with escaped quotes and backslashes.
-_ARGUMENT = r'((?:"(?:\\[\\"]|[^"])*"|\\[\\"]|[^\s"])+)'
+#: Quoted and bare parts of an argument, with escaped quotes and backslashes; possessive, so long arguments need no stack.
+_QUOTED = r'"[^"\\]*+(?:\\[\\"]?+[^"\\]*+)*+"'
+_ARGUMENT = rf'((?=\S)[^\s"\\]*+(?:(?:\\[\\"]?+|{_QUOTED})[^\s"\\]*+)*+)'
 
 
 def arguments(text: Column) -> Column:
