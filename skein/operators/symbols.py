@@ -84,12 +84,30 @@ def declarations(code: str) -> list[Declaration]:
 _ATTRIBUTES = re.compile(r"^(?: ?\[(?:[^\[\]]|\[[^\[\]]*\])*+\])++")
 
 
+def _before_value(text: str) -> tuple[str, str]:
+    """The text before its first value or second declarator outside brackets, and the mark of the value: = or => or nothing."""
+    depth = angles = 0
+    end, given = len(text), ""
+    for m in re.finditer(r"=>|[<>!=]=|[()\[\]<>=,]", text):
+        if m[0] in "([":
+            depth += 1
+        elif m[0] in ")]":
+            depth -= 1
+        elif m[0] in "<>":
+            angles += 1 if m[0] == "<" else -1
+        elif m[0] in ("=", "=>") and depth <= 0:
+            end, given = min(end, m.start()), m[0]
+            break
+        elif m[0] == "," and depth <= 0 and angles <= 0:
+            end = min(end, m.start())
+    return text[:end].strip(), given
+
+
 def _declared(head: str, mark: str, inside: str) -> tuple[str, str] | None:
     text = _ATTRIBUTES.sub("", " ".join(head.split())).strip()
     if m := _SPACE.search(text):
         return "namespace", m[1]
-    body, *rest = re.split(r"(=>|(?<![=!<>])=(?!=))", text, maxsplit=1)
-    body, given = body.strip(), rest[:1]
+    body, given = _before_value(text)
     if m := _TYPE.search(body):
         return (m[1], m[2]) if mark == "{" or m[1] == "record" else None
     if inside not in ("class", "struct", "interface", "record"):
@@ -99,7 +117,7 @@ def _declared(head: str, mark: str, inside: str) -> tuple[str, str] | None:
     if m := _MEMBER.search(body):
         if re.search(r"\bevent\b", body):
             return "event", m[1]
-        return ("property" if given == ["=>"] or mark == "{" and not given else "field", m[1])
+        return ("property" if given == "=>" or mark == "{" and not given else "field", m[1])
     return None
 
 
