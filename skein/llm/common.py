@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..storage import materialize, partitions, scratch_path, shared_folder
 
-__all__ = ["SPACE", "WORD", "materialize", "n_words", "partitions", "scratch_path", "shared_folder", "table"]
+__all__ = ["SPACE", "WORD", "identity", "materialize", "n_words", "partitions", "scratch_path", "shared_folder", "table"]
 
 #: A word: a run of characters other than ASCII white space (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -23,3 +24,21 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def n_words(text: Column) -> Column:
     """Number of words; a null text has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def identity(df: DataFrame) -> Column:
+    """A 64-bit hash of all columns of a row that parts any two rows: nulls count, inside arrays, structures and maps too, and so does
+    the column in which a value stands; maps are told apart by their entries, whatever their order."""
+    return F.xxhash64(*[p for f in df.schema for p in _parts(F.col(f"`{f.name}`"), f.dataType)])
+
+
+def _parts(c: Column, kind: DataType) -> list[Column]:
+    """What xxhash64, which skips nulls, has to take for a column; the first says whether it is null."""
+    if isinstance(kind, StructType):
+        return [c.isNull(), *[p for f in kind for p in _parts(c.getField(f.name), f.dataType)]]
+    if isinstance(kind, ArrayType):
+        return [c.isNull(), F.size(c), F.transform(c, lambda x: F.xxhash64(*_parts(x, kind.elementType)))]
+    if isinstance(kind, MapType):
+        entry = lambda e: F.xxhash64(*_parts(e["key"], kind.keyType), *_parts(e["value"], kind.valueType))
+        return [c.isNull(), F.size(c), F.array_sort(F.transform(F.map_entries(c), entry))]
+    return [c.isNull(), c]

@@ -21,7 +21,7 @@ shingles in common and still are of several components: there it travels once mo
 With 40 bands of 4 registers a pair of similarity 0.75 shares no bucket with probability 2.5e-7.
 
 Defined cases: a null or empty text, or one of white space, has no shingles and is linked with nothing; fewer than five
-words are one shingle; a null doc_id counts as the largest; repeated rows are copies; an empty table gives an empty result;
+words are one shingle; a null doc_id counts as the largest, 2 ** 63 - 1, which comes back as null; repeated rows are copies; an empty table gives an empty result;
 other columns pass through `keep_one` and are ignored elsewhere.
 """
 
@@ -108,23 +108,23 @@ def _digest(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """id, n_shingles, set_id (a digest; null for an empty set) and registers of each row of docs (doc_id, text)."""
+    """id, body (a hash of the text), n_shingles, set_id (a digest; null for an empty set) and registers of each row of docs (doc_id, text)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = Words()
         for pdf in batches(frames):
             sets = [shingles(w, WORDS) for w in cut.of(pdf["text"].tolist())]
             yield pd.DataFrame({
-                "id": pdf["id"].to_numpy(), "n_shingles": [len(s) for s in sets], "set_id": [_digest(s) if len(s) else None for s in sets],
+                "id": pdf["id"].to_numpy(), "body": pdf["body"].to_numpy(), "n_shingles": [len(s) for s in sets], "set_id": [_digest(s) if len(s) else None for s in sets],
                 "registers": [registers(s).tobytes() if len(s) else None for s in sets],
             })
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), "text")
-    return rows.mapInPandas(run, "id long, n_shingles long, set_id binary, registers binary")
+    rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("body"), "text")
+    return rows.mapInPandas(run, "id long, body long, n_shingles long, set_id binary, registers binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and elements, the shingles of each class in wanted (node, rep, set_id)."""
+    """node and elements, the shingles of each class in wanted (node, rep, body, set_id): a text is found by its id and its hash."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cut = Words()
@@ -133,8 +133,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             same = [len(s) > 0 and _digest(s.view(np.uint64)) == bytes(d) for s, d in zip(sets, pdf["set_id"], strict=True)]
             yield pd.DataFrame({"node": pdf["node"].to_numpy()[same], "elements": [s for s, ok in zip(sets, same, strict=True) if ok]})
 
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep"), "text")
-    texts = rows.join(wanted.hint("shuffle_hash"), "rep").select("node", "set_id", "text")
+    rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("rep"), F.xxhash64("text").alias("body"), "text")
+    texts = rows.join(wanted.hint("shuffle_hash"), ["rep", "body"]).select("node", "set_id", "text")
     return texts.mapInPandas(run, "node long, elements array<bigint>").dropDuplicates(["node"])
 
 
@@ -309,7 +309,7 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
     many = rows.where(F.col("n") > SMALL).select("key", "node", "comp")
     nodes = many.select("node", "comp").distinct().join(classes.select("node", "n_shingles"), "node")
     wanted = materialize(_ends(pairs).unionByName(nodes.select("node")).distinct(), "cross_nodes")
-    sets = materialize(_sets(docs, classes.join(wanted, "node").select("node", "rep", "set_id")), "cross_sets")
+    sets = materialize(_sets(docs, classes.join(wanted, "node").select("node", "rep", "body", "set_id")), "cross_sets")
     nodes = _within_reach(sets, nodes)
 
     many = materialize(many.join(nodes.select("node"), "node", "left_semi"), "cross_many")
@@ -325,12 +325,13 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, docs: Dat
     return _linked_pairs(pairs, sets).unionByName(joined)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+def _classified(docs: DataFrame) -> DataFrame:
+    """id, body, n_shingles, comp (null without shingles) and component, the least id there, for each row of docs (doc_id, text)."""
     docs = docs.select("doc_id", "text")
     rows = materialize(sketches(docs), "sketches")
     full = rows.where("n_shingles > 0")
-    classes = full.groupBy("set_id").agg(F.min("id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    classes = full.groupBy("set_id").agg(F.min(F.struct("id", "body")).alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+    classes = classes.select("set_id", F.col("least.id").alias("rep"), F.col("least.body").alias("body"), "n_shingles", "registers")
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
     key = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("registers"), i * (2 * ROWS) + 1, F.lit(2 * ROWS))))
@@ -340,7 +341,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     stars = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     pairs = materialize(_alike(stars, classes), "star_pairs")
-    sets = materialize(_sets(docs, classes.join(_ends(pairs), "node").select("node", "rep", "set_id")), "star_sets")
+    sets = materialize(_sets(docs, classes.join(_ends(pairs), "node").select("node", "rep", "body", "set_id")), "star_sets")
     links = materialize(_linked_pairs(pairs, sets), "star_links")
     labels = components(links)
     more = materialize(_across(members, labels, classes, docs), "cross_links")
@@ -350,22 +351,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = classes.select("node", "rep", "set_id").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     named = materialize(named.select("set_id", "rep", "comp"), "named")
     first = named.groupBy("comp").agg(F.min("rep").alias("component"))
-    of_set = named.join(first, "comp").select("set_id", "component")
-    joined = full.select("id", "n_shingles", "set_id").join(of_set, "set_id").select("id", "n_shingles", "component")
-    alone = rows.where("n_shingles = 0").select("id", "n_shingles", F.col("id").alias("component"))
-    out = joined.unionByName(alone)
-    return out.select(
+    of_set = named.join(first, "comp").select("set_id", "comp", "component")
+    joined = full.select("id", "body", "n_shingles", "set_id").join(of_set, "set_id").drop("set_id")
+    alone = rows.where("n_shingles = 0").select("id", "body", "n_shingles", F.lit(None).cast("long").alias("comp"), F.col("id").alias("component"))
+    return joined.unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text)."""
+    return _classified(docs).select(
         F.nullif("id", F.lit(_NO_ID)).alias("doc_id"), "n_shingles", F.nullif("component", F.lit(_NO_ID)).alias("component_id"),
         (F.col("id") == F.col("component")).alias("kept"),
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component, the one of least doc_id, and its own columns, whatever their names; repeated rows
-    count as one.  Columns that cannot be ordered, such as maps, pass through."""
-    kept = near_duplicates(docs).where("kept").select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id")).distinct()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.col("text").alias("body"))
-    return rows.join(kept.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id", "body"]).select("row.*")
+    """docs with one row of each component, one of least doc_id and of these the one of least hash of its text, with its own
+    columns, whatever their names; rows of one id and text count as one.  Columns that cannot be ordered, such as maps, pass through."""
+    found = _classified(docs).where("id = component")
+    first = found.where("comp IS NOT NULL").groupBy("comp").agg(F.min(F.struct("id", "body")).alias("x")).select("x.*")
+    kept = first.unionByName(found.where("comp IS NULL").select("id", "body")).distinct()
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("body"))
+    return rows.join(kept.hint("shuffle_hash"), ["id", "body"], "left_semi").dropDuplicates(["id", "body"]).select("row.*")
 
 
 def op1_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

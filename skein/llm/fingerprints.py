@@ -8,8 +8,9 @@ of no greater length that has its first half.  Shorter ones share one only with
 Documents meet their successor in descending order of doc_id by a range shuffle with one halo row per range.
 
 Defined cases: a null text is empty; an empty text has no fingerprint (an empty string), is like another empty one (1) and
-unlike any other (0); a text of fewer than K code points is one run; a null doc_id comes last; rows with equal doc_id follow each other in the order of their texts; the successor of the last row is the
-first; in a table of one row it is the row itself; other columns are ignored.
+unlike any other (0); a text of fewer than K code points is one run; a null doc_id, for which -2 ** 63
+stands, comes last; rows with equal doc_id follow each other in the order of a hash of their texts; the successor of the last row
+is the first; in a table of one row it is the row itself; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import materialize, partitions, table
 from .hashing import mix
 
 #: Code points in a run (a power of 2) and most runs in a window.
@@ -99,31 +101,48 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def with_successor(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, text, range, halo: ranges of descending ids, each followed by the first row of the next range.
+    """id, h (a hash of the text), text, range, halo: ranges of descending id and ascending h, each followed by the first row of the next.
 
-    Range limits are quantiles of the ids, so they depend on the ids alone; the halo rows are one id per range.
+    The ranges part the keys alone, id and h, into about equal numbers of rows, so an id of very many rows lies in many ranges; where
+    a range begins is one row on the driver.  Rows that are alike in id and text lie in one range.
     """
-    ids = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"))
-    cuts = ids.agg(F.percentile_approx("id", [i / n for i in range(1, n)], min(100 * n, 1_000_000)).alias("c")).first()["c"] if n > 1 else []
-    cuts = sorted(set(cuts or []))
-    rank = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col("id"))) if cuts else F.lit(0)
-    rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("range", rank)
-    heads = {r["range"]: r["id"] for r in rows.groupBy("range").agg(F.max("id").alias("id")).collect()}  # one row per range
-    order = sorted(heads, reverse=True)
-    if not order:
-        return rows.withColumn("halo", F.lit(False))
-    follows = [(heads[b], a) for a, b in zip(order, order[1:] + order[:1], strict=True)]
-    halos = docs.sparkSession.createDataFrame(follows, "id long, ahead int")  # one row per range
-    own = F.struct(F.col("range").alias("range"), F.lit(False).alias("halo"))
+    rows = docs.select(F.coalesce("doc_id", F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("h"), F.coalesce("text", F.lit("")).alias("text"))
+    keys = rows.select("id", "h").repartitionByRange(n, F.desc("id"), "h").withColumn("range", F.spark_partition_id())
+    first = materialize(keys, "winnow_keys").groupBy("range").agg(F.max(F.struct("id", F.bitwise_not("h").alias("h"))).alias("k"))
+    starts = sorted(((-r["k"]["id"], ~r["k"]["h"]) for r in first.collect()))  # one row per range
+    if not starts:
+        return rows.withColumns({"range": F.lit(0), "halo": F.lit(False)})
+    limits = np.array([i for i, _ in starts], object), [h for _, h in starts]
+
+    def places(ids: pa.Array, hashes: pa.Array) -> pa.Array:
+        return pa.array(_ranges(ids.to_numpy(), hashes.to_numpy(), *limits), pa.int32())
+
+    range_ = F.arrow_udf(places, "int")
+    heads = [(-i, h, (k - 1) % len(starts)) for k, (i, h) in enumerate(starts)]
+    halos = docs.sparkSession.createDataFrame(heads, "id long, h long, ahead int")  # one row per range
+    own = F.struct(range_("id", "h").alias("range"), F.lit(False).alias("halo"))
     more = F.when(F.col("ahead").isNotNull(), F.struct(F.col("ahead").alias("range"), F.lit(True).alias("halo")))
-    return rows.join(F.broadcast(halos), "id", "left").select("id", "text", F.inline(F.array_compact(F.array(own, more))))
+    marked = rows.withColumn("own", own).join(F.broadcast(halos), ["id", "h"], "left").withColumn("more", more)
+    return marked.select("id", "h", "text", F.inline(F.array_compact(F.array("own", "more"))))
+
+
+def _ranges(ids: np.ndarray, hashes: np.ndarray, from_ids: np.ndarray, from_hashes: list[int]) -> np.ndarray:
+    """The last of the limits (minus id, hash), in order, that is not behind each row."""
+    down = np.array([-int(i) for i in from_ids], np.int64)  # ids of the limits, descending
+    first, last = (len(down) - np.searchsorted(down[::-1], ids, side) for side in ("right", "left"))
+    out = first - 1  # limits of greater ids
+    for i in np.unique(ids[last > first]).tolist():  # ids in which ranges begin
+        own = np.flatnonzero(ids == i)
+        a, b = int(first[own[0]]), int(last[own[0]])
+        out[own] = a - 1 + np.searchsorted(np.array(from_hashes[a:b], np.int64), hashes[own], "right")
+    return np.maximum(out, 0)
 
 
 def compare_successive(docs: DataFrame, k: int = K, w: int | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): its fingerprint, that of its edited text, and how like they are."""
     n = partitions(docs.sparkSession)
     rows = with_successor(docs, n).repartitionById(n, "range")  # each range is a partition of its own
-    rows = rows.sortWithinPartitions("range", "halo", F.desc("id"), "text")
+    rows = rows.sortWithinPartitions("range", "halo", F.desc("id"), "h", "text")
 
     def print_of(text: str):
         hashes, places = winnow(text, k, w)

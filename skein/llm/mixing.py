@@ -10,7 +10,7 @@ source's taken words miss its target by part of a single row.
 Rows that are alike are counted before they are dealt and travel in chunks, so a repeated or absent identifier is no
 burden to one block.  Choices are hashes of seed and key, so runs agree whatever the partitions.
 
-Defined cases: a null source is a source of its own, with the last place; a null or empty text has size 0 and takes
+Defined cases: the doc_id -2 ** 63 counts as null; a null source is a source of its own, with the last place; a null or empty text has size 0 and takes
 0 words; an empty table gives an empty mix; rows that repeat are rounded one by one; other columns are ignored by `mix`
 and pass through `mix_documents`, whatever their names.
 """
@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, n_words, table
+from .common import identity, materialize, n_words, table
 
 #: Rows that one task rounds together, residuals that meet in one node of the tree, and equal rows that travel as one.
 BLOCK, FANOUT, CHUNK = 8192, 512, 1024
@@ -39,7 +39,8 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float
 
     Sources stand in code-point order, null last, and weigh `weights`, repeating.  The shares that are not above their
     limit follow one common rate per weight, which the running sums over the sources in order of limit / weight give.
-    The table of sources, not of rows, is ordered in one place.
+    The table of sources, not of rows, is ordered in one task: some tens of bytes for each source, so up to some tens of millions of
+    sources.
     """
     per = sizes.groupBy("source").agg(F.count("*").alias("n_rows"), F.sum("size").cast("long").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -170,12 +171,11 @@ def sizes_of(docs: DataFrame) -> DataFrame:
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """Rows of docs, each as often as the mix takes it, with all their columns.
 
-    Rows are told apart by a hash of all their columns; those that are wholly alike are one row with the copies of all, so
-    no order among them is needed.  Columns of maps have no hash: rows that differ in them alone count as alike.
+    Rows are told apart by a hash of all their columns, nulls and maps included; those that are wholly alike are one row with
+    the copies of all, so no order among them is needed.
     """
     names = [f"`{n}`" for n in docs.columns]
-    hashed = [f"`{f.name}`" for f in docs.schema if "map<" not in f.dataType.simpleString()]
-    rows = docs.select(F.struct(*names).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"), F.xxhash64(*hashed).alias("tag"))
+    rows = docs.select(F.struct(*names).alias("row"), "doc_id", "source", n_words(F.col("text")).alias("size"), identity(docs).alias("tag"))
     key = {"id": F.coalesce("doc_id", F.lit(_NO_ID)), "src": F.coalesce("source", F.lit(""))}  # one shuffle serves both below
     by = [*key, "size", "tag"]
     chosen = mix(materialize(rows.drop("row"), "mix_sizes"), **options).withColumns(key)

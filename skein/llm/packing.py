@@ -2,8 +2,8 @@
 
 A document's hashed tokens, projected to a few dimensions by random signs, give a direction, whatever the document's
 length; rare tokens weigh more than those that all texts share.  The direction's place on a Hilbert curve is the key of a
-range sort, so neighbours in the order are alike.  Documents travel in runs of at most RUN tokens, so that ranges of equal
-rows hold about equal tokens and neither a very long text nor many copies of one land in one task.  Each range is cut along
+range sort, so neighbours in the order are alike.  Documents travel in runs of at most RUN tokens and rows have numbers, so
+that ranges hold about equal tokens and neither a very long text nor many copies of one row land in one task.  Each range is cut along
 the curve into sequences of SEQUENCE tokens; documents are cut where a sequence is full.  What is left at the end of a range
 becomes sequences of powers of two, which need no padding.
 
@@ -35,7 +35,7 @@ RUN = 2048
 _PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, ids binary"
 )
-_RUNS = "doc_id long, absent boolean, curve long, start long, doc_tokens long, width int, ids binary"
+_RUNS = "doc_id long, absent boolean, curve long, row long, start long, doc_tokens long, width int, ids binary"
 
 
 def _signs(n: int) -> np.ndarray:
@@ -86,20 +86,22 @@ def hilbert(points: np.ndarray) -> np.ndarray:
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
-    """Runs of documents: doc_id (0 where it is absent), curve (the Hilbert key), start, doc_tokens and ids of `width` bytes each, little-endian."""
+    """Runs of documents: doc_id (0 where it is absent), curve (the Hilbert key), row (a number of the row), start, doc_tokens and ids of `width` bytes each, little-endian."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, end = encoder(path).encode_batch, np.array([end_id], "<u4").tobytes()
+        row = TaskContext.get().partitionId() << 33
         for pdf in batches(frames, 1024):
             ids = [np.frombuffer(b + end, "<u4") for b in encode(pdf["text"].tolist())]
             # the end id says nothing of a document
             curve = hilbert(project([x[:-1] for x in ids])).tolist()
             out = []
             for doc_id, absent, key, x in zip(pdf["doc_id"], pdf["absent"], curve, ids, strict=True):
+                row += 1  # so that equal rows need not lie in one range
                 for at in range(0, len(x), RUN):
                     part = x[at : at + RUN]
                     width = 2 if int(part.max()) < 1 << 16 else 4
-                    out.append((doc_id, absent, key, at, len(x), width, part.astype(f"<u{width}").tobytes()))
+                    out.append((doc_id, absent, key, row, at, len(x), width, part.astype(f"<u{width}").tobytes()))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in _RUNS.split(", ")])
 
     rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.isnull("doc_id").alias("absent"), F.coalesce("text", F.lit("")).alias("text"))
@@ -110,7 +112,8 @@ def pack(docs: DataFrame, path: str, end_id: int = END_ID, sequence: int = SEQUE
     """The pieces of all sequences: which ids of which document stand where; ids are 4 bytes each, little-endian."""
     n = partitions(docs.sparkSession)
     rows = materialize(tokenized(docs, path, end_id), "tokenized")  # else the range limits would encode everything twice
-    rows = rows.repartitionByRange(n, "curve", "absent", "doc_id", "start").sortWithinPartitions("curve", "absent", "doc_id", "start", "ids")
+    order = ("curve", "absent", "doc_id", "row", "start")
+    rows = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         number = TaskContext.get().partitionId() << 32  # sequences of a range are numbered from here

@@ -125,9 +125,11 @@ Rule = tuple[Condition, ...]
 
 def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> list[Rule]:
     """The rules for low quality, in the order in which they apply; docs has doc_id and text, labels doc_id and quality."""
-    known = labels.select("doc_id", "quality").where("doc_id IS NOT NULL AND quality IS NOT NULL").dropDuplicates(["doc_id"])
+    # of labels that differ the lower one counts, and of rows with one id the least text
+    known = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)  # bounded by train_rows
-    train = with_statistics(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    train = with_statistics(texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")))
     train = train.where(~base_failed()).select("doc_id", "quality", *FEATURES).persist()
     try:
         steps = [i / BINS for i in range(1, BINS)]

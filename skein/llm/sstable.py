@@ -159,9 +159,9 @@ class Reader:
         """The ids of each row with this identifier: binary search over the blocks' last keys."""
         key, found = key_of(doc_id), []
         if self.may_have(doc_id):
-            for block, last in list(zip(self._blocks, self._last, strict=True))[bisect_left(self._last, key) :]:
-                found += [ids for k, ids in self._entries(block) if k == key]
-                if last > key:
+            for i in range(bisect_left(self._last, key), len(self._last)):
+                found += [ids for k, ids in self._entries(self._blocks[i]) if k == key]
+                if self._last[i] > key:
                     break
         return found
 
@@ -256,9 +256,9 @@ def lookup(manifest: DataFrame, wanted: DataFrame) -> DataFrame:
     files = manifest.select(F.col("first_id").alias("id"), "last_id", "file")
     both = files.withColumn("asked", F.lit(False)).unionByName(ids.withColumn("asked", F.lit(True)), allowMissingColumns=True)
     both = materialize(both.repartitionByRange(n, "id").withColumn("range", F.spark_partition_id()), "sst_asked")
-    ends = both.where("NOT asked").groupBy("range").agg(F.max(F.struct("id", "last_id", "file")).alias("f"))
-    carried = ends.select(F.explode(F.sequence(F.col("range") + 1, F.lit(n))).alias("range"), "f").groupBy("range").agg(F.max("f").alias("f"))
-    carried = carried.select(F.lit(_NO_ID).alias("id"), "f.last_id", "f.file", F.lit(False).alias("asked"), "range")
+    ends = both.groupBy("range").agg(F.max(F.when(~F.col("asked"), F.struct("id", "last_id", "file"))).alias("f"))
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    carried = ends.withColumn("f", F.max("f").over(earlier)).where("f IS NOT NULL").select(F.lit(_NO_ID).alias("id"), "f.last_id", "f.file", F.lit(False).alias("asked"), "range")
     by = Window.partitionBy("range").orderBy("id", F.desc("asked"), "last_id")
     before = F.last(F.when(~F.col("asked"), F.struct("last_id", "file")), ignorenulls=True).over(by)
     near = both.unionByName(carried).withColumn("f", before).where("asked AND id <= f.last_id").select("f.file", "id")

@@ -6,7 +6,7 @@ below zero and the bias is the log-odds of the labels: no number of harmless wor
 and languages with few toxic texts are judged as others are.
 
 The model is fitted on a bounded sample of labelled rows, in one task: at most TRAIN_ROWS by the hash of their id, one row of
-each id, and of these as many as have TRAIN_FEATURES features in all.  Texts reach it as feature hashes; L1 alone selects
+each id, and of these all that still fit into TRAIN_FEATURES features, in that order.  Texts reach it as feature hashes; L1 alone selects
 among them, whatever the number of texts that have a feature.  Scoring reads whole texts where they lie.
 
 Defined cases: a null or empty text has the score that the bias alone gives; labels that are null or absent are not used;
@@ -111,13 +111,11 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, trai
         y, rows, held = [], [], 0
         for pdf in frames:
             for toxic, own in zip(pdf["toxic"], pdf["features"], strict=True):
+                if held + len(own) // 4 > TRAIN_FEATURES:
+                    continue  # texts that still have room are learned
                 held += len(own) // 4
-                if rows and held > TRAIN_FEATURES:
-                    break
                 y.append(float(toxic == 1))
                 rows.append(np.frombuffer(own, np.uint32))
-            if held > TRAIN_FEATURES:
-                break
         classes = np.array(y)
         if np.isfinite(log_odds(classes)):
             bias, keys, weights = fit(rows, classes)

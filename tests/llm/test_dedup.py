@@ -138,3 +138,21 @@ def test_likely_pairs_are_never_dropped(share, seed):
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 60)] + [(100, 101)], "a long, b long")
     assert {(r.node, r.comp) for r in components(links).collect()} == {(i, 0) for i in range(61)} | {(100, 100), (101, 100)}
+
+
+def test_rows_of_one_id_meet_by_their_texts(spark):
+    """Many texts of one id and of none: each is joined with itself alone, and keep_one keeps one row of each component."""
+    near = lambda i, k: f"{prose(900 + i, 60)} tail{k}"
+    rows = [(None, near(i, k)) for i in range(150) for k in range(2)] + [(7, near(i, 2)) for i in range(150, 300)] + [(3, near(0, 5)), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketched = D.sketches(docs).where("n_shingles > 0")
+    classes = sketched.groupBy("set_id").agg(F.min(F.struct("id", "body")).alias("x")).select(F.monotonically_increasing_id().alias("node"), F.col("x.id").alias("rep"), F.col("x.body").alias("body"), "set_id")
+    texts = docs.select(F.coalesce("doc_id", F.lit(D._NO_ID)).alias("rep"), F.xxhash64("text").alias("body")).join(classes, ["rep", "body"])
+    assert texts.count() == 451
+    kept = D.keep_one(docs).collect()
+    want = [(3, near(0, 5))]
+    found = {(r.doc_id, r.text) for r in kept}
+    assert want[0] in found and not {(None, near(0, 0)), (None, near(0, 1))} & found
+    for i in range(1, 150):
+        assert len({(None, near(i, 0)), (None, near(i, 1))} & found) == 1
+    assert sum(r.doc_id == 7 for r in kept) == 150 and len(kept) == 1 + 149 + 150 + 2

@@ -264,3 +264,17 @@ def test_tables_with_spans(rows):
             c += cs
     page = "<table>" + "".join("<tr>" + "".join(f"<td colspan={cs} rowspan={rs}>{t}" for t, cs, rs in row) for row in rows) + "</table>"
     assert H.extract(page) == plain_table(rows)
+
+
+def test_an_id_of_very_many_rows_lies_in_many_ranges(spark):
+    rows = [(5, prose(i, 8)) for i in range(4000)] + [(None, prose(i, 6)) for i in range(2000)] + [(i, prose(i, 5)) for i in range(1000)] + [(-(1 << 62), "x"), ((1 << 63) - 1, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = P.with_successor(docs, 16).groupBy("range").agg(P.F.count_if(~P.F.col("halo")).alias("n"), P.F.count_if("halo").alias("halos")).collect()
+    assert len(found) == 16 and max(r.n for r in found) <= 2 * len(rows) / 16 and {r.halos for r in found} == {1}
+    got = P.compare_successive(docs)
+    order = sorted(docs.select("doc_id", "text", P.F.xxhash64("text").alias("h")).collect(), key=lambda r: (-(r.doc_id if r.doc_id is not None else -(1 << 63)), r.h))
+    want = []
+    for a, b in zip(order, order[1:] + order[:1]):
+        e = a.text[: len(a.text) - len(a.text) // 2] + b.text[: len(a.text) // 2]
+        want.append((str(a.doc_id), hashlib.sha256(e.encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in got.collect()) == sorted(want)

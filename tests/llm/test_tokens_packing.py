@@ -165,3 +165,12 @@ def test_ranges_hold_about_equal_tokens(spark):
     for r in out:
         tokens[r.sequence_id >> 32] = tokens.get(r.sequence_id >> 32, 0) + r.length
     assert len(tokens) == 4 and max(tokens.values()) <= 2 * sum(tokens.values()) / 4
+
+
+def test_equal_rows_lie_in_many_ranges(spark):
+    """Of 20,000 equal rows without id no range has more than twice the mean of the tokens."""
+    docs = spark.createDataFrame([(None, prose(1, 20))] * 20_000, "doc_id long, text string").repartition(8)
+    pieces = P.pack(docs, tokenizer_path(FILES[1]))
+    parts = [r.n for r in pieces.groupBy(P.F.shiftright("sequence_id", 32).alias("part")).agg(P.F.sum("length").alias("n")).collect()]
+    assert len(parts) == 4 and max(parts) <= 2 * sum(parts) / 4
+    assert pieces.where("start = 0").count() == 20_000
