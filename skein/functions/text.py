@@ -233,7 +233,8 @@ def combine_routes(a: Column | str, b: Column | str) -> Column:
 
 
 def endpoint_key(controller: Column | str, action: Column | str) -> Column:
-    return F.concat_ws(".", F.regexp_replace(_col(controller), "Controller$", ""), F.regexp_replace(_col(action), "Async$", ""))
+    """Controller and action, the latter without Async at its end."""
+    return F.concat_ws(".", _col(controller), F.regexp_replace(_col(action), "Async$", ""))
 
 
 def ddr_identifier(c: Column | str) -> Column:

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import is_blank, normalize_route
+from ..functions.text import endpoint_key, is_blank, normalize_route
 from . import points
 
 #: Keywords of built-in types and their names (fixed values).
@@ -160,9 +160,9 @@ def endpoints(types: DataFrame, path: str = "path") -> DataFrame:
     body = F.try_element_at("taken", F.col("body_at") + 1)
     created, nothing = F.array_contains("http_methods", "POST"), F.lit(None).cast("string")
     return own.select(
-        path, "position", "place", "controller", F.col("m.name").alias("action"), F.concat_ws(".", "controller", F.regexp_replace("m.name", "Async$", "")).alias("endpoint_key"),
+        path, "position", "place", "controller", F.col("m.name").alias("action"), endpoint_key("controller", F.col("m.name")).alias("endpoint_key"),
         "route", "http_methods", first_text(F.col("of_class"), "ApiVersion").alias("api_version"), first_text(F.col("of_class"), "Area").alias("area"), "primary_entity",
-        F.coalesce("m.doc.summary", F.concat(F.element_at("http_methods", 1), F.lit(" "), F.when(is_blank("primary_entity"), F.col("m.name")).otherwise(F.col("primary_entity")))).alias("summary"),
+        F.coalesce("m.doc.summary", F.concat(F.get("http_methods", F.lit(0)), F.lit(" "), F.when(is_blank("primary_entity"), F.col("m.name")).otherwise(F.col("primary_entity")))).alias("summary"),
         F.col("m.doc.remarks").alias("description"),
         F.when(manager.isNotNull(), F.struct(manager["type"].alias("interface"), one(F.filter("m.calls", lambda c: c["target"] == manager["name"]))["name"].alias("method"), F.lit("Manager").alias("kind"))).alias("handler"),
         F.transform(F.filter(F.transform("taken", lambda p, i: F.when(F.col("body_at").isNull() | (i != F.col("body_at")), p)), lambda p: p.isNotNull()), lambda p: p.dropFields("is_primitive")).alias("parameters"),

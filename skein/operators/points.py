@@ -73,11 +73,16 @@ def cardinality(type_name: Column) -> Column:
     return F.when(type_name.rlike(r"^(?:\w+\.)*(?:I?(?:List|Enumerable|Collection|ReadOnlyList)|ObservableCollection|HashSet)<|\[\]$"), "OneToMany").otherwise("OneToOne")
 
 
-def method_summary(name: Column, kind: Column, returns: Column, parameters: Column, owner: Column) -> Column:
-    """A sentence for each method: kind, owner, what it takes and what it gives."""
-    takes = F.when(is_blank(parameters), F.lit("takes no parameters")).otherwise(F.concat(F.lit("takes "), trim_white(parameters)))
-    gives = F.when(is_blank(returns) | returns.isin("void", "Task"), F.lit("returns nothing")).otherwise(F.concat(F.lit("returns "), returns))
-    return F.concat(F.lower(kind), F.lit(" method "), owner, F.lit("."), name, F.lit(" "), takes, F.lit(" and "), gives, F.lit("."))
+def method_summary(
+    name: Column, sub_kind: Column | None = None, model: Column | None = None, domain: Column | None = None, signature: Column | None = None,
+    domain_tagline: Column | None = None, model_tagline: Column | None = None,
+) -> Column:
+    """A sentence on a method: what it is called and is, on which model and in which domain it works, then taglines and signature."""
+    has = lambda before, c, after="": F.when(~is_blank(c), F.concat(F.lit(before), c, F.lit(after))) if c is not None else F.lit(None).cast("string")
+    core = F.concat_ws(" ", has("Method ", name), has("(", sub_kind, ")"), has("operates on the ", model, " model"), has("in the ", domain, " domain"))
+    extras = F.concat_ws(". ", has("Domain focus: ", domain_tagline), has("Model focus: ", model_tagline), has("Signature: ", signature))
+    text = trim_white(F.concat_ws(". ", F.nullif(core, F.lit("")), F.nullif(extras, F.lit(""))))
+    return F.when(text == "", "Method summary placeholder.").when(text.endswith("."), text).otherwise(F.concat(text, F.lit(".")))
 
 
 def finder_snippet(kind: Column, name: Column, domain: Column, summary: Column) -> Column:

@@ -149,8 +149,31 @@ def split_symbols(code: str) -> Iterator[tuple[str, str, str | None, str | None,
         yield d.kind, d.name, space, ".".join(chain) or None, ".".join([*spaces, *chain, d.name]), (usings + "\n" if usings else "") + body + "\n"
 
 
+def signature(flat: str, code: str, d: Declaration) -> str:
+    """A callable as it is written from its type to its closing bracket; of a constructor from its name on."""
+    open_ = re.compile(r"(?<!\w)" + re.escape(d.name) + r"\s*+(?:<[^<>()]*+>\s*+)?\(").search(flat, d.start, d.mark)
+    if not open_:
+        return d.name
+    depth, end = 0, d.mark
+    for m in re.compile(r"[()]").finditer(flat, open_.end() - 1, d.mark):
+        depth += 1 if m[0] == "(" else -1
+        if not depth:
+            end = m.end()
+            break
+    before = _ATTRIBUTES.sub("", " ".join(flat[d.start : open_.start()].split())).split()
+    type_ = " ".join(w for w in before if w not in _MODIFIERS)
+    return f"{type_} {d.name}{code[open_.end() - 1 : end]}".strip()
+
+
+#: Words before the type of a method (fixed values).
+_MODIFIERS = frozenset("public protected internal private static virtual override async abstract sealed new partial extern unsafe".split())
+
+
 def symbol_chunks(code: str, budget: int = BUDGET, overlap: int = OVERLAP) -> Iterator[tuple[str, str | None, int, int, str]]:
-    """kind, name, first line, last line, text: the header (comments and usings), then each symbol, cut under the budget."""
+    """kind, name, first line, last line, text: the header (comments and usings), then each symbol, cut under the budget.
+
+    Each chunk of a method begins with a comment line that says which method it is of; the line is not part of the budget.
+    """
     first = re.match(r"(?:\s|//[^\n]*|/\*.*?\*/)*", code, re.S)[0].strip()
     header = "\n".join(x for x in (first, "\n".join(m[0].strip() for m in _USING.finditer(code))) if x)
     while header and estimate(header) > budget:
@@ -166,11 +189,14 @@ def symbol_chunks(code: str, budget: int = BUDGET, overlap: int = OVERLAP) -> It
             lo, hi = (mid, hi) if lines[mid] <= at else (lo, mid)
         return lo + 1
 
+    flat = blanked(code)
     for d in declarations(code):
         if d.kind == "namespace":
             continue
         base = line_of(d.start)
+        title = f"// Method {d.name}. Signature: {signature(flat, code, d)}.\n" if d.kind == "method" else ""
         for a, b, text in pack_lines(code[lines[base - 1] : d.end], budget, overlap):
+            text = title + text
             yield "type" if d.kind in _TYPES else d.kind, d.name, base + a - 1, base + b - 1, text
 
 

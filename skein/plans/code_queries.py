@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators import catalog, describe, members, models
+from ..operators import catalog, describe, members, models, sections
 from .registry import Registry, read
 
 R = Registry()
@@ -211,6 +211,45 @@ def interface_descriptions(spark, d):
                         takes.alias("takes"), F.md5(default.cast("binary")).alias("default_hash"), F.col("m.first_line").alias("first_line"))
 
 
+# -- sections
+
+_NL = "chr(10)"
+
+
+@R.add("manager_sections", f"""WITH {_LINES}, h AS (SELECT *, 'Domain: A.' || l || {_NL} || 'Model: W' || i || ' — of it' || {_NL} || {_NL} AS head, {_WORDS}[n % 8 + 1] || k AS name,
+    row_number() OVER (PARTITION BY i ORDER BY encode({_WORDS}[n % 8 + 1] || k)) AS part, count(*) OVER (PARTITION BY i) AS total FROM m)
+  SELECT 'W' || i || 'Manager' AS symbol, 'manager-methods' AS section_key, part::INTEGER AS part, total::INTEGER AS total, md5(head || 'Methods for manager W' || i || 'Manager:' || {_NL} || {_NL} || '- Method ' || name || ' (ManagerMethod) operates on the W' || i || ' model in the A.' || l || ' domain.' || {_NL}
+    || '  Kind: ' || {_KINDS}[n % 8 + 1] || ', ' || ['public', 'private', 'protected/internal', 'unknown'][n % 4 + 1] || ', ' || CASE WHEN n % 4 IN (0, 2) THEN 'significant' ELSE 'non-significant' END || {_NL}
+    || '  Returns: Task<W' || i || '>' || {_NL} || '  Params: W' || i || ' x, Nullable n' || {_NL} || '  Lines: ' || (9 + 2 * k) || '-' || (9 + 2 * k)) AS hash FROM h
+  UNION ALL SELECT 'W' || i || 'Manager', 'manager-overview', 1, 1, md5(head || 'Manager: W' || i || 'Manager' || {_NL} || 'Namespace: A.' || l || {_NL} || 'Base Type: ManagerBase' || {_NL} || 'Manager Type: ManagerOverview' || {_NL} || 'Primary Entity: W' || i || {_NL}
+    || 'Implements: IW' || i || 'Manager, IMore' || {_NL} || 'Depends On: IStore, ISafe' || {_NL} || {_NL} || 'Summary:' || {_NL} || 'What ' || s || {_NL} || 'does') FROM h WHERE k = 1
+  UNION ALL SELECT 'W' || i || 'Manager', 'manager-constructors', 1, 1, md5(head || 'Constructors for manager W' || i || 'Manager:' || {_NL} || '- (constructor)' || {_NL} || '  Dependencies: IStore store, Clock clock, ISafe safe' || {_NL} || '  Lines: 9-9') FROM h WHERE k = 1""")
+def manager_sections(spark, d):
+    """With a budget of one token, so that each method has a section of its own."""
+    rows = describe.managers(members.with_types(_files(spark, d, _MANAGER, _method, "    }\n}\n", "src/{i}Manager.cs")))
+    nothing = F.lit(None).cast("string")
+    header = F.struct(F.col("namespace").alias("domain_name"), nothing.alias("domain_tagline"), nothing.alias("model_name"), F.col("primary_entity").alias("model_class"), F.lit("of it").alias("model_tagline"))
+    return sections.manager_sections(rows, header, 1).select("symbol", "section_key", "part", "total", F.md5(F.col("text").cast("binary")).alias("hash"))
+
+
+@R.add("endpoint_sections", f"""{_A}, c AS (SELECT *, 'W' || i || 'Controller.M' || k AS symbol, CASE n % 5 WHEN 2 THEN 'InvokeResult' WHEN 3 THEN 'List' WHEN 4 THEN 'String' ELSE 'W' || i END AS model, n % 5 < 2 AS wrapped,
+    CASE n % 5 WHEN 0 THEN CASE WHEN n % 3 = 0 THEN 'This endpoint loads an existing model instance for editing using an id route parameter.' ELSE 'This endpoint returns a detailed model instance suitable for display or editing.' END
+      WHEN 1 THEN 'This endpoint returns a list of models suitable for list or grid rendering, typically using paging.' WHEN 3 THEN 'This endpoint returns a list of models suitable for list or grid rendering, typically using paging.' END AS purpose FROM b)
+  SELECT symbol, 'endpoint-overview' AS section_key, md5('Endpoint: ' || symbol || {_NL} || 'Controller: W' || i || 'Controller' || {_NL} || 'Action: M' || k || 'Async' || {_NL} || 'Route: api/' || s || CASE n % 3 WHEN 0 THEN '/x/{{id}}' WHEN 1 THEN '/abs/' || k ELSE '/x' || k END || {_NL} || 'HTTP Methods: ' || verb || {_NL}
+    || 'Primary Entity: ' || model || {_NL} || {_NL} || 'Handler:' || {_NL} || '  Interface: IW' || i || 'Manager' || {_NL} || '  Method: Load' || k || {_NL} || '  Kind: Manager' || {_NL} || {_NL} || 'Authorization:' || {_NL} || '  Requires Authentication: True' || {_NL} || '  Allow Anonymous: False' || {_NL} || '  Tenancy: OrgScoped' || {_NL}
+    || coalesce({_NL} || 'UI Pattern:' || {_NL} || '  ' || purpose || {_NL}, '') || {_NL} || 'Lines: ' || (last_line - 5)::INTEGER || '-' || last_line::INTEGER || {_NL} || {_NL} || 'Summary:' || {_NL} || CASE WHEN n % 2 = 0 THEN 'About ' || k ELSE verb || ' ' || model END) AS hash FROM c
+  UNION ALL SELECT symbol, 'endpoint-request-response', md5('Request and response shape for endpoint ' || symbol || ':' || {_NL} || {_NL} || 'Non-body parameters:' || {_NL}
+    || CASE WHEN n % 4 = 3 OR is_body THEN '' ELSE '- id: Source=' || source || ', Type=' || CASE n % 4 WHEN 0 THEN 'String, Required=True' WHEN 1 THEN 'Nullable, Required=False' ELSE 'W' || i || ', Required=True' END || ', Collection=False, Default=(none)' || {_NL} END
+    || '- q: Source=' || q_source || ', Type=String, Required=False, Collection=False, Default="' || replace(replace(t, '\', '\\'), '"', '\"') || '"' || {_NL} || {_NL} || 'Request body:' || {_NL}
+    || CASE WHEN is_body THEN '  Model: ' || CASE n % 4 WHEN 1 THEN 'Nullable' ELSE 'W' || i END || {_NL} || '  IsCollection: False' || {_NL} || '  IsPrimitive: False' || {_NL} || '  ContentTypes: application/json' || {_NL} ELSE '  None.' || {_NL} END
+    || {_NL} || 'Responses:' || {_NL} || {_NL} || '- ' || CASE WHEN verb = 'POST' THEN 201 ELSE 200 END || ': ' || {_NL} || '  Model: ' || model || {_NL} || '  IsCollection: ' || CASE WHEN n % 5 IN (1, 3) THEN 'True' ELSE 'False' END || {_NL} || '  IsWrapped: ' || CASE WHEN wrapped THEN 'True' ELSE 'False' END || {_NL}
+    || CASE n % 5 WHEN 0 THEN '  Wrapper: DetailResponse<W' || i || '>' || {_NL} WHEN 1 THEN '  Wrapper: ListResponse<W' || i || '>' || {_NL} ELSE '' END || '  ContentTypes: application/json' || {_NL} || '  IsError: False' || {_NL} || {_NL}
+    || '- 400: Validation or input error.' || {_NL} || '  IsCollection: False' || {_NL} || '  IsWrapped: True' || {_NL} || '  Wrapper: InvokeResult' || {_NL} || '  ContentTypes: application/json' || {_NL} || '  IsError: True' || {_NL} || '  ErrorShape: InvokeResult') FROM c""")
+def endpoint_sections(spark, d):
+    rows = sections.endpoint_sections(describe.endpoints(_controllers(spark, d)))
+    return rows.select("symbol", "section_key", F.md5(F.col("text").cast("binary")).alias("hash"))
+
+
 # -- models and domains
 
 _TYPES = ["string", "EntityHeader<Mode>", "List<EntityHeader<My.Thing>>", "EntityHeader", "Mode", "int[]", "List<Child>"]

@@ -152,13 +152,17 @@ def endpoint_facts(spark, d):
 
 
 @R.add("source_texts", """SELECT doc_id, md5('RESX Resource Entry' || chr(10) || chr(10) || 'Key: k' || doc_id || chr(10) || 'Value: ' || coalesce(text, '') || chr(10) || 'Comment: ' || chr(10) || 'Culture: ' || coalesce(lang, '') || chr(10) || 'Source: ' || coalesce(source, '')) AS resource,
-    'query method D.Get' || doc_id || CASE WHEN doc_id % 2 = 0 THEN ' takes string id' ELSE ' takes no parameters' END || CASE WHEN doc_id % 3 = 0 THEN ' and returns nothing.' ELSE ' and returns Thing.' END AS method,
+    'Method Get' || doc_id || ' (Query)' || CASE WHEN trim(source) <> '' THEN ' operates on the ' || source || ' model' ELSE '' END || CASE WHEN trim(lang) <> '' THEN ' in the ' || lang || ' domain' ELSE '' END || '. '
+      || CASE WHEN doc_id % 3 = 0 THEN 'Model focus: ' || n_chars || ' characters. ' ELSE '' END || 'Signature: void Get' || doc_id || '(string id).' AS method,
     concat_ws(chr(10), 'Kind: Doc', 'Artifact: D' || doc_id, CASE WHEN trim(lang) <> '' THEN 'Domain: ' || lang END) AS finder FROM documents""")
 def source_texts(spark, d):
     i = F.col("doc_id")
     return read(spark, d, "documents").select(
         "doc_id", F.md5(points.resource_text(F.concat(F.lit("k"), i), "text", F.lit(None).cast("string"), "lang", "source").cast("binary")).alias("resource"),
-        points.method_summary(F.concat(F.lit("Get"), i), F.lit("Query"), F.when(i % 3 == 0, "void").otherwise("Thing"), F.when(i % 2 == 0, " string id ").otherwise(""), F.lit("D")).alias("method"),
+        points.method_summary(
+            F.concat(F.lit("Get"), i), F.lit("Query"), F.col("source"), F.col("lang"), F.concat(F.lit("void Get"), i, F.lit("(string id)")),
+            model_tagline=F.when(i % 3 == 0, F.concat("n_chars", F.lit(" characters"))),
+        ).alias("method"),
         points.finder_snippet(F.lit("Doc"), F.concat(F.lit("D"), i), F.col("lang"), F.lit(" ")).alias("finder"),
     )
 
@@ -232,7 +236,7 @@ def changed_fields(spark, d):
 
 @R.add("small_forms", """SELECT doc_id, [true, true, false, false, NULL][doc_id % 5 + 1] AS boolish, contains(coalesce(text, ''), '<') AND contains(coalesce(text, ''), '>') AS html,
     CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-02-29 12:00:00' ELSE TIMESTAMP '0001-01-01' END::VARCHAR AS at, CASE WHEN doc_id % 3 = 0 THEN 'ABC-' || lpad((doc_id % 1000)::VARCHAR, 6, '0') END AS ddr,
-    doc_id % 4 <> 3 AS is_test, '/api/v' || doc_id || '/things' AS route, 'Thing' || doc_id || '.Get' AS endpoint FROM documents WHERE doc_id >= 0""")
+    doc_id % 4 <> 3 AS is_test, '/api/v' || doc_id || '/things' AS route, 'Thing' || doc_id || 'Controller.Get' AS endpoint FROM documents WHERE doc_id >= 0""")
 def small_forms(spark, d):
     i = F.col("doc_id")
     pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (i % n + 1).cast("int"))

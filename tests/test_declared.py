@@ -270,3 +270,62 @@ def test_long_files_take_linear_time(filler):
     began = time.perf_counter()
     M.types_of("class A { int a; " + filler * (200_000 // len(filler)) + " }")
     assert time.perf_counter() - began < 6
+
+
+def test_sections_fold_under_a_budget(spark, read):
+    from pyspark.sql import functions as F
+
+    from skein.functions.text import estimate_tokens
+    from skein.operators import sections as S
+
+    names = [f"{w}{i}" for i in range(30) for w in ("Get", "Add")]
+    source = "class BoxManager : Base { " + " ".join(f"public Task {n}(Box b{i}) {{ }}" for i, n in enumerate(names)) + " }"
+    described = D.managers(read(source, "class EmptyManager { }"))
+    estimate = lambda t: spark.createDataFrame([(t,)], "t string").select(estimate_tokens("t")).first()[0]
+    for budget in (1, 100, 300, 100_000):
+        rows = S.manager_sections(described, budget=budget).where("section_key = 'manager-methods' AND symbol = 'BoxManager'").orderBy("part").collect()
+        assert [r.part for r in rows] == list(range(1, len(rows) + 1)) and {r.total for r in rows} == {len(rows)}
+        assert all(r.text.startswith("Methods for manager BoxManager:\n\n- Method ") for r in rows)
+        found = [line.split()[2] for r in rows for line in r.text.split("\n") if line.startswith("- Method")]
+        assert found == sorted(names)
+        # by the rule: blocks join as long as header, blocks so far and the next one fit
+        head, blocks = "Methods for manager BoxManager:\n", ["\n" + b + "\n" for r in rows for b in ("\n" + r.text).split("\n\n")[1:]]
+        want, now = [], head
+        for b in blocks:
+            if estimate(now) + estimate(b) > budget and now != head:
+                want.append(now)
+                now = head
+            now += b
+        assert [r.text for r in rows] == [w.strip() for w in [*want, now]]
+        if budget > 100_000 - 1:
+            break
+    empty = S.manager_sections(described).where("symbol = 'EmptyManager'").collect()
+    assert {r.section_key: r.text.split("\n")[-1] for r in empty} == {"manager-overview": "Primary Entity: Empty", "manager-constructors": "No constructors discovered.", "manager-methods": "No methods discovered."}
+    other = read("interface IBoxManager { Task<Box> Get(Box b); int Count(); }", "class BoxRepo : SqlThing, IBoxRepo { protected void SaveIt(Box b) { } }")
+    assert [r.section_key for r in S.interface_sections(D.interfaces(other)).collect()] == ["interface-overview", "interface-methods"]
+    texts = {r.section_key: r.text for r in S.repository_sections(D.repositories(other)).union(S.interface_sections(D.interfaces(other))).collect()}
+    assert "Kind: Sql" in texts["repository-overview"] and "Kind: Insert, protected/internal, significant" in texts["repository-methods"]
+    assert "- Method Get (InterfaceMethod) operates on the Box model. (async)\n  Returns: Task<Box>\n  Params: Box b" in texts["interface-methods"] and "IsGeneric: False, GenericArity: 0" in texts["interface-overview"]
+    titled = F.struct(*[F.lit(x).cast("string").alias(n) for n, x in (("domain_name", None), ("domain_tagline", "Only this"), ("model_name", "Box"), ("model_class", "BoxModel"), ("model_tagline", "holds"))])
+    first = S.repository_sections(D.repositories(other), titled).first().text
+    assert first.startswith("Only this\nModel: Box — holds\n\nRepository: BoxRepo\n")
+
+
+def test_method_sentences(spark):
+    from pyspark.sql import functions as F
+
+    from skein.operators.points import method_summary
+
+    rows = [("Run", "Kind", "Box", "Shop", "void Run()", "focus", "model"), ("Run", None, " ", None, None, None, None), (None, None, None, None, None, None, None), ("Run", None, None, "Shop", "int Run().", None, "m")]
+    got = spark.createDataFrame(rows, "a string, b string, c string, d string, e string, f string, g string").select(method_summary(*[F.col(c) for c in "abcdefg"])).collect()
+    assert [r[0] for r in got] == [
+        "Method Run (Kind) operates on the Box model in the Shop domain. Domain focus: focus. Model focus: model. Signature: void Run().", "Method Run.", "Method summary placeholder.", "Method Run in the Shop domain. Model focus: m. Signature: int Run().",
+    ]
+
+
+def test_chunks_of_methods_say_which():
+    from skein.operators.symbols import symbol_chunks
+
+    chunks = {(k, n): t for k, n, _, _, t in symbol_chunks("class A<T>\n{\n  [X(1)] public static async Task<T> Get<U>(int a,\n    string b = \"(\")\n  { }\n  public A(int x) : base(x) { }\n  int F;\n}")}
+    assert chunks["method", "Get"].startswith('// Method Get. Signature: Task<T> Get(int a,\n    string b = "(").\n  [X(1)]') and chunks["method", "A"].startswith("// Method A. Signature: A(int x).\n")
+    assert chunks["field", "F"] == "  int F;"

@@ -73,7 +73,7 @@ def test_small_functions(spark):
     assert [one(spark, T.batch_size, d, "int") for d in (3072, 1, 10**6)] == [28, 128, 8]
     assert [one(spark, T.method_kind, n) for n in ("AddX", "upsertY", "RemoveZ", "ValidateQ", "getAll", "Foo")] == ["Create", "Update", "Delete", "Validation", "Query", "Other"]
     assert one(spark, lambda c: T.combine_routes(c, F.lit("/b/")), "/a/") == "/a/b" and one(spark, lambda c: T.combine_routes(c, F.lit("")), "") == "/"
-    assert one(spark, lambda c: T.endpoint_key(c, F.lit("GetAsync")), "DeviceController") == "Device.Get"
+    assert one(spark, lambda c: T.endpoint_key(c, F.lit("GetAsync")), "DeviceController") == "DeviceController.Get"
     assert one(spark, lambda c: F.year(T.parse_iso_or_min(c)), "bad") == 1
     assert one(spark, lambda c: T.typed_check(c, "Number"), "1e3") is None and one(spark, lambda c: T.typed_check(c, "Date", True), " ") == "required"
     with pytest.raises(Exception, match="division"):
