@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import normalize_index_path, trim_white
+from ..functions.text import is_blank, normalize_index_path, trim_white
 
 
 def hash_changed(stored: Column, active: Column) -> Column:
@@ -73,3 +73,29 @@ def first_wins(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
 def duplicates(df: DataFrame, key: Column, identity: str) -> DataFrame:
     """Keys that occur twice or more: key, n, first_id."""
     return df.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.min(identity).alias("first_id")).where("n > 1")
+
+
+def read_through(asked: DataFrame, cached: DataFrame, stored: DataFrame, key: str = "id", value: str = "value") -> DataFrame:
+    """key, outcome (cached, stored or missing) and value for each asked key, by one shuffle of each side.
+
+    Keys compare ignoring case, blank ones are not asked, repeated ones are one, in their least spelling.  A cached value that
+    is blank is no answer; a stored row is one even if its value is null.  `stored` rows fill the cache, `missing` ones are failures.
+    """
+    of = lambda df, what, v: df.select(F.lower(trim_white(F.col(key).cast("string"))).alias("__k"), F.lit(what).alias("__of"), F.col(key).cast("string").alias("__key"), v.alias("__value"))
+    nothing = F.lit(None).cast("string")
+    rows = of(asked, "asked", nothing).unionByName(of(cached, "cached", F.when(~is_blank(value), F.col(value)))).unionByName(of(stored, "stored", F.col(value).cast("string")))
+    side = lambda what, c: F.min(F.when(F.col("__of") == what, c))
+    met = rows.where(~is_blank("__k")).groupBy("__k").agg(
+        side("asked", F.col("__key")).alias(key), side("cached", F.col("__value")).alias("c"), side("stored", F.col("__value")).alias("s"), F.max(F.col("__of") == "stored").alias("kept"))
+    outcome = F.when(F.col("c").isNotNull(), "cached").when(F.col("kept"), "stored").otherwise("missing")
+    return met.where(F.col(key).isNotNull()).select(key, outcome.alias("outcome"), F.coalesce("c", "s").alias(value))
+
+
+def cache_fills(answers: DataFrame, value: str = "value") -> DataFrame:
+    """The answers that the store gave and the cache lacks: only those with a value."""
+    return answers.where((F.col("outcome") == "stored") & ~is_blank(value)).drop("outcome")
+
+
+def failures(answers: DataFrame, key: str = "id") -> DataFrame:
+    """The keys that neither side has."""
+    return answers.where("outcome = 'missing'").select(key)

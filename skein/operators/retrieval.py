@@ -64,6 +64,56 @@ def filter_tree(must: Sequence[Column] = (), should: Sequence[Column] = (), must
     return reduce(lambda a, b: a & b, parts, F.lit(True))
 
 
+def compiled_filter(spec: dict, schema: dict[str, str]) -> Column:
+    """A filter as a column: {"must": [..], "should": [..], "must_not": [..]} of conditions or of filters again, to any depth.
+
+    A condition names a `key` and has a `match` (value, any, except or text, which is a part of the value) or a `range` (gte, gt,
+    lte, lt); an array column matches if one of its values does.  schema (dict(df.dtypes)) has the columns.  A filter without
+    conditions holds for every row; a row whose key is null meets no condition, and so passes must_not.  An unknown key, or a
+    condition that says nothing, is an error.  Leaves are plain comparisons, so those under must reach the scan.
+    """
+    known = {"must", "should", "must_not"}
+    if set(spec) & known or not spec:
+        if set(spec) - known:
+            raise ValueError(f"unknown parts of a filter: {sorted(set(spec) - known)}")
+        parts = {k: [compiled_filter(c, schema) for c in spec.get(k) or []] for k in known}
+        tests = [*parts["must"], *[~F.coalesce(c, F.lit(False)) for c in parts["must_not"]]]
+        if parts["should"]:
+            tests.append(reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in parts["should"]]))
+        return reduce(lambda a, b: a & b, tests) if tests else F.lit(True)
+    key = spec.get("key")
+    if key not in schema:
+        raise ValueError(f"no column {key}")
+    c, many = F.col(f"`{key}`"), schema[key].startswith("array")
+    each = lambda test: F.exists(c, test) if many else test(c)
+    among = lambda values: lambda x: x.isin(list(values))
+    holding = lambda part: lambda x: F.contains(x, F.lit(part))
+    match, limits = spec.get("match") or {}, spec.get("range") or {}
+    tests = []
+    for how, value in match.items():
+        if value is None:
+            continue
+        if how == "value":
+            tests.append(F.array_contains(c, value) if many else c == value)
+        elif how == "any":
+            tests.append(each(among(value)))
+        elif how == "except":
+            tests.append(~each(among(value)))
+        elif how == "text":
+            tests.append(each(holding(value)))
+        else:
+            raise ValueError(f"unknown match {how}")
+    compare = {"gte": lambda x, v: x >= v, "gt": lambda x, v: x > v, "lte": lambda x, v: x <= v, "lt": lambda x, v: x < v}
+    if set(limits) - set(compare):
+        raise ValueError(f"unknown limits {sorted(set(limits) - set(compare))}")
+    found = [(how, v) for how, v in limits.items() if v is not None]
+    if found:
+        tests.append(each(lambda x: reduce(lambda a, b: a & b, [compare[how](x, v) for how, v in found])))
+    if not tests:
+        raise ValueError(f"the condition on {key} says nothing")
+    return reduce(lambda a, b: a & b, tests)
+
+
 def with_embedding(df: DataFrame, embed: Callable[[Sequence[str]], Sequence[Sequence[float]]], dim: int, text: str = "text") -> DataFrame:
     """df with `embedding` from a plug-in that maps a batch of texts to vectors of dim numbers; another length is an error."""
 

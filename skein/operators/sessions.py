@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from ..functions.python import canonical_json
 from ..functions.text import has_all_tags, has_any_tag, slugify, trim_white
 from ..storage import partitions
 from .ranks import with_previous
@@ -26,11 +27,28 @@ def turns_up_to(turns: DataFrame, anchors: DataFrame, session: str = "conv_id",
     return turns.join(anchors, session).where(F.col(turn) <= F.col("anchor")).drop("anchor")
 
 
-def loop_guard(calls: DataFrame, session: str, order: Sequence[str], signature: Column, warn: int = 2, suppress: int = 3) -> DataFrame:
-    """calls with nth (how often the session has made this call) and action: none, warn, suppress."""
+def call_signature(tool: Column | str, arguments: Column | str) -> Column:
+    """The tool and its arguments as canonical JSON: the order of names and white space make no other call."""
+    return F.concat_ws(":", F.col(tool) if isinstance(tool, str) else tool, F.coalesce(canonical_json(arguments), F.lit("")))
+
+
+def loop_guard(calls: DataFrame, session: str, order: Sequence[str], signature: Column, warn: int = 2, suppress: int = 3, result: Column | None = None) -> DataFrame:
+    """calls with nth (how often the session has made this call) and action: none, warn, suppress.
+
+    With `result`, which tells the rows that bring a tool's result, there is no action before a session's first result; calls
+    before it count, and rows with a result are calls too if they have a signature.
+    """
+    out = calls.withColumn("signature", signature)
     nth = F.row_number().over(Window.partitionBy(session, "signature").orderBy(*order))
-    out = calls.withColumn("signature", signature).withColumn("nth", nth)
-    return out.withColumn("action", F.when(F.col("nth") >= suppress, "suppress").when(F.col("nth") >= warn, "warn").otherwise("none"))
+    out = out.withColumn("nth", nth)
+    active = F.lit(True)
+    if result is not None:  # the first result of a session as a maximum of one row, partly taken before the shuffle
+        at = F.struct(*order)
+        first = out.where(result).groupBy(F.col(session).alias("__session")).agg(F.min(at).alias("__first"))
+        out = out.join(first, F.col(session).eqNullSafe(F.col("__session")), "left")
+        active = F.coalesce(at > F.col("__first"), F.lit(False))
+    action = F.when(~active, "none").when(F.col("nth") >= suppress, "suppress").when(F.col("nth") >= warn, "warn").otherwise("none")
+    return out.withColumn("action", action).drop("__session", "__first")
 
 
 def active_facts(facts: DataFrame, session: str, kind: str, order: Sequence[str], exclusive: Sequence[str]) -> DataFrame:

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import catalog as C
 from ..operators import ingest as I
+from ..operators import retrieval as V
+from ..sources import content, points
+from ..storage import scratch_path
 from .registry import Registry, read
 
 R = Registry()
@@ -266,3 +272,100 @@ def list_newest(spark, d):
 @R.add("entity_summaries", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_nationkey = 5 AND c_acctbal >= 0")
 def entity_summaries(spark, d):
     return read(spark, d, "customer").where("c_nationkey = 5 AND c_acctbal >= 0").select("c_custkey", "c_name", "c_mktsegment")
+
+
+_STORE = "SELECT doc_id::VARCHAR AS key, sha256(coalesce(text, '')) AS hash, length(text) AS n FROM documents WHERE doc_id IS NOT NULL"
+
+
+@R.add("content_store", f"""WITH s AS ({_STORE}), a AS (SELECT key FROM s UNION ALL SELECT 'none' || page_id FROM pages)
+  SELECT a.key, s.key IS NOT NULL AS found, CASE WHEN try_cast(a.key AS BIGINT) % 3 = 0 THEN sha256('again ' || a.key) ELSE hash END AS hash, CASE WHEN try_cast(a.key AS BIGINT) % 3 = 0 THEN 6 + length(a.key) ELSE n END AS n FROM a LEFT JOIN s ON a.key = s.key""")
+def content_store(spark, d):
+    """Every document is put twice, every third one then with another content; all keys and as many absent ones are asked."""
+    root = scratch_path(spark, "contents")
+    docs = read(spark, d, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("key"), F.coalesce("text", F.lit("")).alias("content"))
+    content.put(docs, root)
+    content.put(docs, root)
+    content.put(docs.where("CAST(key AS LONG) % 3 = 0").withColumn("content", F.concat(F.lit("again "), "key")), root)
+    asked = docs.select("key").unionByName(read(spark, d, "pages").select(F.concat(F.lit("none"), "page_id").alias("key")))
+    return content.get(asked, root).select("key", "found", "hash", F.length("content").cast("long").alias("n"))
+
+
+_READ = """WITH a AS (SELECT min(k) AS id FROM (SELECT CASE WHEN l_orderkey % 2 = 0 THEN 'P' ELSE ' p' END || l_partkey AS k FROM lineitem) GROUP BY lower(trim(k))),
+  c AS (SELECT 'p' || p_partkey AS k, p_name AS v FROM part WHERE p_size < 10), s AS (SELECT 'P' || p_partkey AS k, p_brand AS v FROM part WHERE p_size BETWEEN 5 AND 30)
+  SELECT id, CASE WHEN c.k IS NOT NULL THEN 'cached' WHEN s.k IS NOT NULL THEN 'stored' ELSE 'missing' END AS outcome, coalesce(c.v, s.v) AS value FROM a LEFT JOIN c ON lower(trim(id)) = c.k LEFT JOIN s ON lower(trim(id)) = lower(s.k)"""
+
+
+@R.add("read_through", _READ)
+def read_through(spark, d):
+    return _through(spark, d)
+
+
+@R.add("read_through_fills", f"SELECT id, value FROM ({_READ}) WHERE outcome = 'stored'")
+def read_through_fills(spark, d):
+    return I.cache_fills(_through(spark, d))
+
+
+@R.add("read_through_failures", f"SELECT id FROM ({_READ}) WHERE outcome = 'missing'")
+def read_through_failures(spark, d):
+    return I.failures(_through(spark, d))
+
+
+def _through(spark, d):
+    asked = read(spark, d, "lineitem").select(F.concat(F.when(F.col("l_orderkey") % 2 == 0, "P").otherwise(" p"), "l_partkey").alias("id"))
+    part = read(spark, d, "part")
+    cached = part.where("p_size < 12").select(F.concat(F.lit("p"), "p_partkey").alias("id"), F.when(F.col("p_size") < 10, F.col("p_name")).otherwise(" ").alias("value"))
+    stored = part.where("p_size BETWEEN 5 AND 30").select(F.concat(F.lit("P"), "p_partkey").alias("id"), F.col("p_brand").alias("value"))
+    return I.read_through(asked, cached, stored)
+
+
+#: Filters of three levels, and what they mean.
+_FILTERS = {
+    "filter_nested": (
+        {"must": [{"key": "p_size", "range": {"gte": 5, "lt": 40}}, {"should": [{"key": "p_brand", "match": {"any": ["Brand#11", "Brand#23", "Brand#5"]}}, {"must": [{"key": "p_name", "match": {"text": "widget"}}], "must_not": [{"key": "p_size", "match": {"value": 7}}]}]}],
+         "must_not": [{"key": "p_type", "match": {"value": "ECONOMY"}}]},
+        "p_size >= 5 AND p_size < 40 AND (p_brand IN ('Brand#11', 'Brand#23', 'Brand#5') OR (contains(p_name, 'widget') AND p_size <> 7)) AND coalesce(p_type <> 'ECONOMY', true)",
+    ),
+    "filter_tags": (
+        {"must_not": [{"should": [{"key": "tags", "match": {"any": ["ring", "bolt"]}}, {"key": "tags", "match": {"text": "nu"}}]}], "must": [{"key": "p_size", "range": {"gt": 2}}]},
+        "NOT (list_has_any(string_split(p_name, ' '), ['ring', 'bolt']) OR len(list_filter(string_split(p_name, ' '), lambda x: contains(x, 'nu'))) > 0) AND p_size > 2",
+    ),
+    "filter_except": ({"should": [{"key": "p_brand", "match": {"except": ["Brand#11", "Brand#22"]}}, {"must": [{"key": "p_size", "range": {"lte": 3}}, {}]}]}, "p_brand NOT IN ('Brand#11', 'Brand#22') OR p_size <= 3"),
+}
+
+
+def _filtered(name):
+    def query(spark, d):
+        part = read(spark, d, "part").withColumn("tags", F.split("p_name", " "))
+        return part.where(V.compiled_filter(_FILTERS[name][0], dict(part.dtypes))).select("p_partkey")
+
+    return query
+
+
+for _name, (_, _where) in _FILTERS.items():
+    R.add(_name, f"SELECT p_partkey FROM part WHERE {_where}")(_filtered(_name))
+
+
+class _Folder:
+    """A point store of the simplest kind: a file per request; it refuses requests of more than 50 points."""
+
+    def __init__(self, folder: str):
+        import pyarrow.fs
+
+        self._fs, self._base = pyarrow.fs.FileSystem.from_uri(folder)
+        self._fs.create_dir(self._base, recursive=True)
+
+    def upsert(self, rows: list) -> None:
+        if len(rows) > 50:
+            raise points.TooLarge
+        with self._fs.open_output_stream(f"{self._base}/{uuid.uuid4().hex}.json") as out:
+            out.write("".join(json.dumps(r) + "\n" for r in rows).encode())
+
+
+@R.add("point_sink", "SELECT vec_id AS id, label, len(embedding) AS dim FROM embeddings")
+def point_sink(spark, d):
+    """All vectors are sent to a store that refuses large requests, twice; the store holds each once."""
+    folder = scratch_path(spark, "points")
+    rows = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.size("embedding").alias("dim"))
+    for _ in range(2):
+        points.upsert(rows, lambda: _Folder(folder), 64)
+    return spark.read.schema("id long, label int, dim long").json(folder).dropDuplicates(["id"])

@@ -35,6 +35,19 @@ def loop_guard(spark, d):
     return out.select("event_id", "signature", "nth", "action")
 
 
+@R.add("loop_guard_results", """WITH f AS (SELECT user_id, min({'t': ts, 'i': event_id}) AS first_at FROM events WHERE event_type = 'purchase' GROUP BY user_id),
+  n AS (SELECT event_id, events.user_id, ts, event_type || ':{"a":' || (event_id % 3) || ',"Props":' || to_json(props) || '}' AS signature, row_number() OVER (PARTITION BY events.user_id, event_type, event_id % 3, props ORDER BY ts, event_id)::INTEGER AS nth FROM events)
+  SELECT event_id, md5(signature) AS signature, nth, CASE WHEN first_at IS NULL OR {'t': ts, 'i': event_id} <= first_at THEN 'none' WHEN nth >= 3 THEN 'suppress' WHEN nth >= 2 THEN 'warn' ELSE 'none' END AS action FROM n LEFT JOIN f USING (user_id)""")
+def loop_guard_results(spark, d):
+    """Arguments come in two orders of their names, which make one call; nothing happens before a session's first result."""
+    events = read(spark, d, "events")
+    a, props = F.concat(F.lit('"a": '), F.col("event_id") % 3), F.concat(F.lit('"Props": '), F.to_json(F.struct("props")).substr(F.lit(10), F.length(F.to_json(F.struct("props"))) - 10))
+    arguments = F.concat(F.lit("{"), F.when(F.col("event_id") % 2 == 0, F.concat(a, F.lit(" , "), props)).otherwise(F.concat(props, F.lit(","), a)), F.lit(" }"))
+    calls = events.withColumn("arguments", arguments)
+    out = S.loop_guard(calls, "user_id", ["ts", "event_id"], S.call_signature("event_type", "arguments"), result=F.col("event_type") == "purchase")
+    return out.select("event_id", F.md5(F.col("signature").cast("binary")).alias("signature"), "nth", "action")
+
+
 @R.add("repeat_counts", "SELECT event_type || ':' || props AS signature, count(*)::BIGINT AS n FROM events GROUP BY 1 HAVING count(*) > 1")
 def repeat_counts(spark, d):
     return read(spark, d, "events").groupBy(F.concat_ws(":", "event_type", "props").alias("signature")).agg(F.count("*").alias("n")).where("n > 1")
