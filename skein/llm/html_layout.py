@@ -5,15 +5,17 @@ nothing; each element writes into the layout as it opens and closes, so depth co
 places of open elements are kept by name, so a tag costs the same whatever is open, and a page costs time by its length.
 
 Visible is what a browser that can run scripts shows before any has run: nothing inside head, script, style, template,
-noscript, iframe, object, svg, canvas, audio, video, a data list or a formula's annotations and phantoms, nor under the
-attribute `hidden` or a style of display:none or visibility:hidden, nor closed dialogs, nor closed details but for their
-summary.  A paragraph-like block stands between empty lines, another block on its own lines; list items have a mark and
+noscript, iframe, object, svg, canvas, audio, video, a data list or a formula's annotations and phantoms, nor under a style of
+display:none or the attribute `hidden` without another display, nor closed dialogs, nor closed details but for their summary.
+Text under visibility:hidden or collapse does not show, but that of a descendant with visibility:visible does; of a style's
+declarations of one property the last counts, those marked important before others.  A paragraph-like block stands between empty lines, another block on its own lines; list items have a mark and
 indent, up to INDENT characters; table rows are lines (or several, if cells have several) whose cells start in common
 columns, up to COLUMN characters wide, and stay clear of cells that span from rows above; `pre` and `xmp` keep their white
 space; formulae are inline text; inputs show their value, unless their type has none to read.
 
-Beyond COLUMNS columns or LINE characters of a row, cells follow each other without alignment, and the cells of tables
-inside more than NESTED others are blocks; text is never left out for that.
+Tables of any width are aligned.  The white space that alignment takes in a page is bounded by PADDING characters for each of its
+own, which only tables made of little but spans exceed; the cells of a table beyond it follow each other without alignment, and the
+cells of tables inside more than NESTED others are blocks; text is never left out for that.
 
 Defined cases: a null or empty page has an empty text; text without markup is one block; broken markup never fails: numbers
 that are none count as absent, a tag that the page's end cuts off is dropped; repeated rows render alike; other columns pass
@@ -35,8 +37,8 @@ from .common import table
 
 #: Widest padding of a table column.
 COLUMN = 60
-#: Columns that are aligned, width of the lines on which they are, deepest indent, and tables around one that has a grid.
-COLUMNS, LINE, INDENT, NESTED = 64, 400, 60, 12
+#: White space of alignment for each character of a page, deepest indent, and tables around one that has a grid.
+PADDING, INDENT, NESTED = 32, 60, 32
 #: Most rows that a cell spans (a fixed value of HTML).
 ROWS = 65_534
 #: Element names by role (fixed values of HTML).
@@ -80,7 +82,7 @@ _BETWEEN = re.compile(r"[ \t\n\f/]*")
 _ATTRIBUTE = re.compile(r"=?[^ \t\n\f/>=]*")
 _EQUALS = re.compile(r"[ \t\n\f]*=[ \t\n\f]*")
 _BARE = re.compile(r"[^ \t\n\f>]*")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DECLARED = re.compile(r"(?:^|;)\s*+(display|visibility)\s*+:\s*+([a-z-]++)([^;]*+)", re.I)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _INTEGER = re.compile(r"[ \t\n\f\r]*([+-]?)0*([0-9]*)")
 _REFERENCE = re.compile(r"&#0*+[0-9]{8,};?")
@@ -100,6 +102,16 @@ def unescape(s: str) -> str:
     return html.unescape(_REFERENCE.sub("\ufffd", s) if "&#" in s else s)
 
 
+def _styled(style: str) -> dict[str, str]:
+    """display and visibility as a style has them in the end."""
+    found: dict[str, tuple[bool, str]] = {}
+    for m in _DECLARED.finditer(style):
+        name, important = m[1].lower(), "!important" in m[3].lower().replace(" ", "")
+        if important or not found.get(name, (False,))[0]:
+            found[name] = (important, m[2].lower())
+    return {name: value for name, (_, value) in found.items()}
+
+
 class Sheet:
     """Lines of text that grow; a table cell has one of its own."""
 
@@ -162,36 +174,57 @@ class Grid:
         self.rows: list[list[tuple[int, int, list[str]]]] = []  # columns, rows, lines
         self.groups: set[int] = set()  # the first row of each group, which no cell from above spans into
 
-    def placed(self) -> Iterator[list[tuple[int, int, list[str]]]]:
-        """Column, columns and lines of the cells of each row, beside the columns that cells from above span."""
-        until: dict[int, int] = {}  # the last row that a cell spans, by column that is aligned
+    def placed(self, steps: int) -> list[list[tuple[int, int, list[str]]]] | None:
+        """Column, columns and lines of the cells of each row, beside the columns that cells from above span; None where more
+        than so many columns are stepped over."""
+        until: dict[int, int] = {}  # the last row that a cell spans, by column
+        found = []
         for k, row in enumerate(self.rows):
             if k in self.groups:
                 until = {}
             out, at = [], 0
             for span, rows, cell in row:
                 while until.get(at, -1) >= k:
-                    at += 1
+                    at, steps = at + 1, steps - 1
                 if rows > 1:
-                    until |= dict.fromkeys(range(at, min(at + span, COLUMNS)), k + rows - 1)
+                    until |= dict.fromkeys(range(at, at + span), k + rows - 1)
+                    steps -= span
+                if steps < 0:
+                    return None
                 if cell:
                     out.append((at, span, cell))
                 at += span
-            yield out
+            found.append(out)
+        return found
 
-    def lines(self) -> list[str]:
-        rows = [r for r in self.placed() if r]
-        width = [0] * COLUMNS
+    def begins(self, rows: list[list[tuple[int, int, list[str]]]]) -> dict[int, int]:
+        """Where each column begins in which a cell does."""
+        width: dict[int, int] = {}
         for row in rows:
             for at, span, cell in row:
-                if span == 1 and at < COLUMNS:
-                    width[at] = max(width[at], min(COLUMN, max(map(len, cell))))
-        begins = [0]  # of each column, as wide as a line goes
-        for w in width:
-            begins.append(min(begins[-1] + w + 2, LINE))
+                width[at] = max(width.get(at, 0), min(COLUMN, max(map(len, cell))) if span == 1 else 0)
+        out, used = {}, 0
+        for at in sorted(width):
+            out[at] = used + 2 * at  # columns without text are two wide
+            used += width[at]
+        return out
+
+    def lines(self, room: int) -> tuple[list[str], int]:
+        """The lines of the table, and how much white space alignment took: at most `room`, else there is none."""
+        rows, need = self.placed(room // 2), 0
+        begins = {} if rows is None else self.begins(rows)
+        if rows is None:
+            rows = [[(0, span, cell) for span, _, cell in row if cell] for row in self.rows]
+        for row in rows if begins else []:
+            height = 0
+            for at, _, cell in reversed(row):  # each line is as wide as its last cell begins
+                need += begins[at] * max(len(cell) - height, 0)
+                height = max(height, len(cell))
+        if need > room:
+            begins, need = {}, 0
         out = []
         for row in rows:
-            cells, k = [(begins[min(at, COLUMNS)], cell) for at, _, cell in row], 0
+            cells, k = [(begins.get(at, 0), cell) for at, _, cell in row], 0
             while cells:
                 line = ""
                 for begin, cell in cells:
@@ -200,7 +233,7 @@ class Grid:
                 out.append(line)
                 k += 1
                 cells = [c for c in cells if len(c[1]) > k]
-        return out
+        return out, need
 
 
 class Layout:
@@ -208,9 +241,10 @@ class Layout:
 
     def __init__(self):
         self.sheet = Sheet()
-        self.stack: list[tuple] = []  # name, change of unseen, state to restore, whether it was opened in the layout
+        self.stack: list[tuple] = []  # name, change of unseen, state to restore, whether it was opened in the layout, visibility around it
         self.places: dict[str, list[int]] = {}  # where in the stack each name is open
-        self.unseen = self.pre = 0
+        self.unseen = self.pre = self.room = 0
+        self.visible = True
 
     def _last(self, names) -> int:
         """The innermost place of any of the names, -1 if none is open."""
@@ -238,12 +272,15 @@ class Layout:
 
     def start(self, name: str, attributes: dict[str, str]) -> None:
         self._imply(name)
-        hidden = name in HIDDEN or "hidden" in attributes or bool(_UNSEEN.search(attributes.get("style", "")))
-        hidden |= name == "dialog" and "open" not in attributes
+        style = _styled(attributes["style"]) if attributes.get("style") else {}
+        hidden = style["display"] == "none" if "display" in style else "hidden" in attributes
+        hidden |= name in HIDDEN or name == "dialog" and "open" not in attributes
+        visible = {"visible": True, "hidden": False, "collapse": False}.get(style.get("visibility"), self.visible)
         if name in VOID:
             if not self.unseen and not hidden:
-                self._void(name, attributes)
+                self._void(name, attributes, visible)
             return
+        around, self.visible = self.visible, visible
         change = int(hidden)
         if name == "summary" and not hidden and self.stack and self.stack[-1][0] == "details" and self.stack[-1][2] == ["closed"]:
             self.stack[-1][2][0] = "summed up"  # the first summary of closed details shows
@@ -255,16 +292,16 @@ class Layout:
             change, state = change + 1, ["closed"]
             self.unseen += 1
         self.places.setdefault(name, []).append(len(self.stack))
-        self.stack.append((name, change, state, opened))
+        self.stack.append((name, change, state, opened, around))
 
-    def _void(self, name: str, attributes: dict[str, str]) -> None:
+    def _void(self, name: str, attributes: dict[str, str], visible: bool) -> None:
         if name == "br":
             self.sheet.line(force=True)
         elif name == "hr":
             self.sheet.space()
         elif name == "wbr":
             pass
-        elif name == "input" and attributes.get("type", "text").strip().lower() not in UNREAD:
+        elif name == "input" and visible and attributes.get("type", "text").strip().lower() not in UNREAD:
             self.sheet.text(attributes.get("value", ""), False)
 
     def _open(self, name: str, attributes: dict[str, str]):
@@ -307,7 +344,7 @@ class Layout:
             state = ("item", sheet.indent)
             sheet.indent = (sheet.indent + "  ")[:INDENT]
             return state
-        if name == "q":
+        if name == "q" and self.visible:
             sheet.text('"', False)
         return None
 
@@ -325,11 +362,12 @@ class Layout:
 
     def _pop_to(self, k: int) -> None:
         while len(self.stack) > k:
-            name, change, state, opened = self.stack.pop()
+            name, change, state, opened, around = self.stack.pop()
             self.places[name].pop()
             self.unseen -= change
             if opened:
                 self._shut(name, state)
+            self.visible = around
 
     def _shut(self, name: str, state) -> None:
         kind = state[0] if state else None
@@ -344,7 +382,9 @@ class Layout:
         sheet = self.sheet
         if kind == "table":
             sheet.space()
-            for row in state[1].lines():
+            lines, spent = state[1].lines(self.room)
+            self.room -= spent
+            for row in lines:
                 sheet._put(row)
                 sheet.line()
         if name in ("pre", "xmp"):
@@ -358,13 +398,13 @@ class Layout:
         if kind == "item":
             sheet.line()
             sheet.indent, sheet.mark = state[1], ""
-        if name == "q":
+        if name == "q" and self.visible:
             sheet.text('"', False)
         if name in BLOCK:
             sheet.space() if name in SPACED else sheet.line()
 
     def text(self, s: str) -> None:
-        if s and not self.unseen:
+        if s and not self.unseen and self.visible:
             if self.stack and self.stack[-1][0] in ("table", "tbody", "thead", "tfoot", "tr") and not s.strip():
                 return
             self.sheet.text(unescape(s) if "&" in s else s, self.pre > 0)
@@ -399,6 +439,7 @@ class Layout:
 
     def render(self, page: str) -> str:
         page = page.replace("\r\n", "\n").replace("\r", "\n")
+        self.room = PADDING * len(page)
         at = begun = 0  # text not yet written begins there
         while (at := page.find("<", at)) >= 0:
             closing = page.startswith("/", at + 1)
@@ -435,7 +476,7 @@ class Layout:
         stop = close.start() if close else len(page)
         if tag == "textarea":
             self.text(page[at:stop])
-        elif tag == "xmp" and not self.unseen:  # its text has no entities
+        elif tag == "xmp" and not self.unseen and self.visible:  # its text has no entities
             self.sheet.text(page[at:stop], True)
         self.end(tag)
         end = self._tag(page, close.end())[0] if close else -1

@@ -205,6 +205,69 @@ def test_hostile_pages_take_linear_time(kind):
     assert time.process_time() - began < 6 and len(text) < 60 * len(page)
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<div style='visibility:hidden'>a<span style='visibility: visible'>b</span>c<p style='visibility:collapse'>d</p></div>e", "b\n\ne"),
+        ("<div style='display:none'>a<span style='visibility:visible;display:block'>b</span></div>c", "c"),
+        ("<b style='visibility:hidden;visibility:visible'>a</b><b style='display:none;display:inline'>b</b><b style='display:inline;display:none'>c</b>", "ab"),
+        ("<b style='display:none ! important; display:block'>a</b><b style='visibility:visible !important;visibility:hidden'>b</b>", "b"),
+        ("<div hidden>a</div><div hidden style='display: flex'>b</div>", "b"), ("<b style='my-display:none'>a</b><b style='color:red; DISPLAY:NONE'>b</b><b style='display:none-such'>c</b>", "ac"),
+        ("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>", "- b"), ("<q style='visibility:hidden'>a</q><input value=x style='visibility:hidden'><input value=y>", "y"),
+        ("<table style='visibility:hidden'><tr><td>a<td style='visibility:visible'>b</table>", "  b"), ("<p style='visibility:hidden'>a<p>b", "b"),
+    ],
+)
+def test_visibility_as_in_browsers(page, text):
+    assert H.extract(page) == text
+
+
+def test_tables_of_any_width_are_aligned():
+    wide = [[f"c{r}x{c}" * (1 + (r * c) % 3) for c in range(200)] for r in range(5)]
+    page = "<table>" + "".join("<tr>" + "".join(f"<td>{t}</td>" for t in row) for row in wide) + "</table>"
+    assert H.extract(page) == plain_table([[(t, 1, 1) for t in row] for row in wide])
+    long = [["x" * 50 + str(r) for _ in range(40)] + ["y" * 900] for r in range(3)]
+    page = "<table>" + "".join("<tr>" + "".join(f"<td>{t}</td>" for t in row) for row in long) + "</table>"
+    lines = H.extract(page).split("\n")
+    assert len(lines) == 3 and all(len(x) > 2000 and x.index("y") == 40 * 53 for x in lines)
+    deep = "".join(f"<table><tr><td>n{i}<td>" for i in range(20)) + "<table><tr><td>aaa<td>b<tr><td>c<td>d</table>" + "</table>" * 20
+    text = H.extract(deep).split("\n")
+    assert text[0].split() == [f"n{i}" for i in range(20)] + ["aaa", "b"] and text[1].split() == ["c", "d"] and text[0].index("aaa") == text[1].index("c") and text[0].index("b") == text[1].index("d")
+
+
+def plain_layout(blocks):
+    """The text of a page of blocks, by the rules of spacing: (kind, words) one after the other."""
+    lines, gap = [], False
+    number = 0
+    for kind, words in blocks:
+        text = " ".join(words)
+        if kind == "ol" and not (lines and gap == "ol"):
+            number = 0
+        if kind in ("p", "h2", "pre") or (kind in ("ul", "ol") and gap != kind) or (kind not in ("ul", "ol") and gap in ("p", "ul", "ol")):
+            if lines and text and lines[-1] != "":
+                lines.append("")
+        if not text:
+            continue
+        number += kind == "ol"
+        lines.append({"ul": "- ", "ol": f"{number}. "}.get(kind, "") + text)
+        gap = "p" if kind in ("p", "h2", "pre") else kind
+    return "\n".join(lines)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from(["p", "h2", "div", "ul", "ol"]), st.lists(st.sampled_from(["a", "bb", "ccc"]), min_size=1, max_size=4)), max_size=12))
+def test_blocks_and_lists_by_rule(blocks):
+    page, kind_before = "", None
+    for kind, words in [*blocks, (None, [])]:
+        if kind_before in ("ul", "ol") and kind != kind_before:
+            page += f"</{kind_before}>"
+        if kind in ("ul", "ol"):
+            page += f"<{kind}>" * (kind != kind_before) + "<li>" + "\n ".join(words)
+        elif kind:
+            page += f"<{kind}>" + " \t".join(words) + f"</{kind}>"
+        kind_before = kind
+    assert H.extract(page) == plain_layout(blocks)
+
+
 TAGS = "div p b i ul ol li table tr td th tbody thead pre xmp details summary dialog dl dt dd head body script style textarea select option h1 h2 br input q a".split()
 MARKUP = st.one_of(
     st.sampled_from(TAGS).map(lambda t: f"<{t}>"), st.sampled_from(TAGS).map(lambda t: f"</{t}>"), st.sampled_from(["<", ">", '"', "'", "=", "/", "&", "&#", "<!--", "-->", "\n", " ", "x", "</"]),
