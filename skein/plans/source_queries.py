@@ -1,11 +1,13 @@
 """Queries over source files, points, commands and plain tools.
 
-Files are made from all documents: the whole text stands in a comment or a chapter, the rest follows from the id, so that SQL
-can say what must come out.
+All documents are made into files of one or several shapes: the whole text stands in a comment or a chapter, the rest follows from
+the id, so that SQL can say what must come out.  Files whose members vary with the texts are those of code_queries.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -47,13 +49,11 @@ def _filled(template: str) -> Column:
     return out
 
 
-def _files(spark, d, kinds=(0, 1, 2, 3)):
+def _files(spark, d, *kinds):
+    """Each document as a file of each of the kinds."""
     docs = read(spark, d, "documents").where(F.col("doc_id").isNotNull())
-    which = F.pmod(F.col("doc_id"), F.lit(4))
-    path, text = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for k in kinds:
-        path, text = F.when(which == k, _filled(_FILES[k][0])).otherwise(path), F.when(which == k, _filled(_FILES[k][1])).otherwise(text)
-    return docs.where(which.isin(list(kinds))).select("doc_id", path.alias("path"), text.alias("text"))
+    made = [docs.select("doc_id", _filled(_FILES[k][0]).alias("path"), _filled(_FILES[k][1]).alias("text")) for k in kinds]
+    return reduce(lambda a, b: a.unionByName(b), made)
 
 
 def _sql(template: str) -> str:
@@ -65,15 +65,15 @@ def _sql(template: str) -> str:
 
 
 _DOCS = "FROM documents WHERE doc_id IS NOT NULL"
-_KIND = "doc_id % 4"
 
 
-@R.add("code_kinds", f"""SELECT CASE {_KIND} {" ".join(f"WHEN {k} THEN {_sql(p)}" for k, (p, _) in enumerate(_FILES))} END AS path,
-    CASE {_KIND} WHEN 0 THEN 'Manager' WHEN 1 THEN 'Model' WHEN 2 THEN 'Test' ELSE 'MarkDown' END AS kind,
-    CASE {_KIND} WHEN 0 THEN 'W' || doc_id || 'Manager' WHEN 1 THEN 'W' || doc_id WHEN 2 THEN 'W' || doc_id || 'Tests' END AS primary_type,
-    CASE {_KIND} WHEN 0 THEN 'rule:Manager,name:Manager' WHEN 1 THEN 'rule:Model' WHEN 2 THEN 'rule:Test,rule:Test,name:Test' ELSE 'rule:MarkDown' END AS evidence {_DOCS}""")
+@R.add("code_kinds", f"""SELECT CASE k {" ".join(f"WHEN {k} THEN {_sql(p)}" for k, (p, _) in enumerate(_FILES))} END AS path,
+    CASE k WHEN 0 THEN 'Manager' WHEN 1 THEN 'Model' WHEN 2 THEN 'Test' ELSE 'MarkDown' END AS kind,
+    CASE k WHEN 0 THEN 'W' || doc_id || 'Manager' WHEN 1 THEN 'W' || doc_id WHEN 2 THEN 'W' || doc_id || 'Tests' END AS primary_type,
+    CASE k WHEN 0 THEN 'rule:Manager,name:Manager' WHEN 1 THEN 'rule:Model' WHEN 2 THEN 'rule:Test,rule:Test,name:Test' ELSE 'rule:MarkDown' END AS evidence FROM documents, range(4) AS r(k) WHERE doc_id IS NOT NULL""")
 def code_kinds(spark, d):
-    out = code.with_kind(_files(spark, d))
+    # of a document in a file of its own nothing is a type, whatever words stand there
+    out = code.with_kind(_files(spark, d, 0, 1, 2, 3).withColumn("text", F.when(F.col("path").startswith("docs/"), F.concat(F.lit("/* "), F.replace("text", F.lit("*/"), F.lit("")))).otherwise(F.col("text"))))
     return out.select("path", "kind", "primary_type", F.array_join("evidence", ",").alias("evidence"))
 
 
@@ -81,44 +81,44 @@ _INDENTED = r"regexp_replace({}, '(^|\n)([^\n])', '\1    \2', 'g')"
 _PLAIN = _sql(_CLASS.replace("<ENUM>", "")).replace("'\n", "'\n")
 
 
-@R.add("code_symbols", f"""WITH s AS (SELECT doc_id, 'src/' || doc_id || 'Manager.cs' AS path, 'A.' || coalesce(lang, 'x') AS ns, {_PLAIN} AS body {_DOCS} AND {_KIND} = 0),
+@R.add("code_symbols", f"""WITH s AS (SELECT doc_id, 'src/' || doc_id || 'Manager.cs' AS path, 'A.' || coalesce(lang, 'x') AS ns, {_PLAIN} AS body {_DOCS}),
   a AS (SELECT path, 'class' AS symbol_kind, 'W' || doc_id || 'Manager' AS symbol, ns AS namespace, NULL AS declaring, body FROM s
     UNION ALL SELECT path, 'enum', 'Mode', ns, 'W' || doc_id || 'Manager', '{_ENUM}' FROM s)
   SELECT path, symbol_kind, symbol, namespace, declaring, concat_ws('.', namespace, declaring, symbol) AS full_name,
     md5('using System;' || chr(10) || chr(10) || 'namespace ' || namespace || chr(10) || '{{' || chr(10) || {_INDENTED.format("body")} || chr(10) || '}}' || chr(10)) AS hash FROM a
-  UNION ALL SELECT 'src/' || doc_id || '.cs', 'class', 'W' || doc_id, NULL, NULL, 'W' || doc_id, md5('[EntityDescription("IoT")]' || chr(10) || 'public class W' || doc_id || ' {{ /* ' || {_NAMES["{t}"]} || ' */ }}' || chr(10)) {_DOCS} AND {_KIND} = 1""")
+  UNION ALL SELECT 'src/' || doc_id || '.cs', 'class', 'W' || doc_id, NULL, NULL, 'W' || doc_id, md5('[EntityDescription("IoT")]' || chr(10) || 'public class W' || doc_id || ' {{ /* ' || {_NAMES["{t}"]} || ' */ }}' || chr(10)) {_DOCS}""")
 def code_symbols(spark, d):
     # text is compared with line feeds alone
-    out = symbols.with_symbols(_files(spark, d, (0, 1)).withColumn("text", F.replace("text", F.lit("\r\n"), F.lit("\n"))))
+    out = symbols.with_symbols(_files(spark, d, 0, 1).withColumn("text", F.replace("text", F.lit("\r\n"), F.lit("\n"))))
     return out.withColumn("hash", F.md5(F.col("text").cast("binary"))).drop("text")
 
 
-@R.add("code_symbol_chunks", f"""WITH s AS (SELECT doc_id, 'src/' || doc_id || 'Manager.cs' AS path, length({_NAMES["{t}"]}) - length(replace({_NAMES["{t}"]}, chr(10), '')) AS n {_DOCS} AND {_KIND} = 0),
+@R.add("code_symbol_chunks", f"""WITH s AS (SELECT doc_id, 'src/' || doc_id || 'Manager.cs' AS path, length({_NAMES["{t}"]}) - length(replace({_NAMES["{t}"]}, chr(10), '')) AS n {_DOCS}),
   p(part, symbol_kind, symbol, first, last) AS (VALUES (1, 'file', NULL, 1, NULL), (2, 'type', 'Manager', 6, 17), (3, 'field', '_n', 8, 9), (4, 'property', 'Name', 10, 10), (5, 'method', 'GetAsync', 11, 15), (6, 'type', 'Mode', 16, 16))
   SELECT path, part::INTEGER AS part, 6::INTEGER AS total, symbol_kind, CASE WHEN symbol = 'Manager' THEN 'W' || doc_id || symbol ELSE symbol END AS symbol,
     CASE WHEN part = 1 THEN 1 ELSE first + n END::INTEGER AS first_line, CASE WHEN part = 1 THEN least(n + 19, 200) ELSE last + n END::INTEGER AS last_line FROM s, p""")
 def code_symbol_chunks(spark, d):
-    out = symbols.with_symbol_chunks(_files(spark, d, (0,)).withColumn("text", F.replace("text", F.lit("\r\n"), F.lit("\n"))), overlap=0)
+    out = symbols.with_symbol_chunks(_files(spark, d, 0).withColumn("text", F.replace("text", F.lit("\r\n"), F.lit("\n"))), overlap=0)
     return out.select("path", "part", "total", "symbol_kind", "symbol", "first_line", "last_line")
 
 
-@R.add("code_methods", f"""SELECT 'src/' || doc_id || 'Manager.cs' AS path, 0 AS position, 'public async' AS modifiers, 'Task<W' || doc_id || '>' AS returns, 'GetAsync' AS method, 'string id' AS parameters, 'Query' AS kind {_DOCS} AND {_KIND} = 0
-  UNION ALL SELECT 'tests/' || doc_id || 'Tests.cs', 0, 'public', 'void', 'Works', '', 'Other' {_DOCS} AND {_KIND} = 2""")
+@R.add("code_methods", f"""SELECT 'src/' || doc_id || 'Manager.cs' AS path, 0 AS position, 'public async' AS modifiers, 'Task<W' || doc_id || '>' AS returns, 'GetAsync' AS method, 'string id' AS parameters, 'Query' AS kind {_DOCS}
+  UNION ALL SELECT 'tests/' || doc_id || 'Tests.cs', 0, 'public', 'void', 'Works', '', 'Other' {_DOCS}""")
 def code_methods(spark, d):
-    return code.methods(_files(spark, d, (0, 2))).withColumn("kind", T.method_kind("method"))
+    return code.methods(_files(spark, d, 0, 2)).withColumn("kind", T.method_kind("method"))
 
 
-@R.add("resource_usages", f"""WITH u AS (SELECT doc_id, 'src/' || doc_id || 'Manager.cs' AS path, 'K' || (doc_id % 7) AS key, 'attribute' AS usage, false AS is_test {_DOCS} AND {_KIND} = 0
-    UNION ALL SELECT doc_id, 'src/' || doc_id || 'Manager.cs', 'Missing', 'member', false {_DOCS} AND {_KIND} = 0 UNION ALL SELECT doc_id, 'tests/' || doc_id || 'Tests.cs', 'Device', 'member', true {_DOCS} AND {_KIND} = 2)
+@R.add("resource_usages", f"""WITH u AS (SELECT doc_id, 'src/' || doc_id || 'Manager.cs' AS path, 'K' || (doc_id % 7) AS key, 'attribute' AS usage, false AS is_test {_DOCS}
+    UNION ALL SELECT doc_id, 'src/' || doc_id || 'Manager.cs', 'Missing', 'member', false {_DOCS} UNION ALL SELECT doc_id, 'tests/' || doc_id || 'Tests.cs', 'Device', 'member', true {_DOCS})
   SELECT path, 'X' AS container, key, usage, is_test FROM u""")
 def resource_usages(spark, d):
-    return code.resource_usages(_files(spark, d, (0, 2)).withColumn("text", code.without_comments("text")), ["X"])
+    return code.resource_usages(_files(spark, d, 0, 2).withColumn("text", code.without_comments("text")), ["X"])
 
 
-@R.add("ddr_chapters", f"""SELECT 'docs/' || doc_id || '.md' AS path, 1 AS chapter, 'First' AS title, md5(trim({_NAMES["{t}"]} || chr(10))) AS hash {_DOCS} AND {_KIND} = 3
-  UNION ALL SELECT 'docs/' || doc_id || '.md', 2, 'Second', md5('more ' || doc_id) {_DOCS} AND {_KIND} = 3""")
+@R.add("ddr_chapters", f"""SELECT 'docs/' || doc_id || '.md' AS path, 1 AS chapter, 'First' AS title, md5(trim({_NAMES["{t}"]} || chr(10))) AS hash {_DOCS}
+  UNION ALL SELECT 'docs/' || doc_id || '.md', 2, 'Second', md5('more ' || doc_id) {_DOCS}""")
 def ddr_chapters(spark, d):
-    return code.ddr_chapters(_files(spark, d, (3,)), "path").select("path", "chapter", "title", F.md5(F.col("body").cast("binary")).alias("hash"))
+    return code.ddr_chapters(_files(spark, d, 3), "path").select("path", "chapter", "title", F.md5(F.col("body").cast("binary")).alias("hash"))
 
 
 def _sections(spark, d):
@@ -167,20 +167,26 @@ def source_texts(spark, d):
     )
 
 
-_LINES = ["run \"a b\" c", "RUN: x", "runner x", "run \"never closed", "go say \\\"hi\\\" \\\\ there", "go", "stop 12", "stop x", " stop  12 ", "walk"]
+#: Command lines made of whole texts: quoted and escaped, bare, with a quote that is not closed, and without a command.
+_COMMANDS = r"""WITH t AS (SELECT doc_id, doc_id % 4 AS how, coalesce(text, '') AS t, replace(replace(coalesce(text, ''), '"', ''), chr(92), '') AS bare FROM documents WHERE doc_id >= 0),
+  w AS (SELECT *, list_filter(regexp_split_to_array(bare, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS words FROM t)
+  SELECT doc_id, CASE WHEN how = 0 OR (how = 1 AND len(words) <= 40) THEN 'SingleMatch' ELSE 'NoMatch' END AS outcome, CASE WHEN how = 0 THEN 'run' WHEN how = 1 AND len(words) <= 40 THEN 'go' END AS command_id,
+    md5(CASE WHEN how = 0 THEN CASE WHEN t = '' THEN 'tail' ELSE t || '|tail' END WHEN how = 1 AND len(words) <= 40 THEN array_to_string(words, '|') END) AS args, CASE WHEN how = 0 THEN 'run' WHEN how = 1 AND len(words) <= 40 THEN 'go' ELSE '' END AS candidates FROM w"""
 
 
-@R.add("command_routes", """WITH e(k, outcome, command_id, args, candidates) AS (VALUES (0, 'SingleMatch', 'run', 'a b|c', 'run'), (1, 'SingleMatch', 'run', ':|x', 'run'), (2, 'NoMatch', NULL, NULL, ''), (3, 'NoMatch', NULL, NULL, ''),
-    (4, 'SingleMatch', 'go', 'say|"hi"|\\|there', 'go'), (5, 'MultipleMatch', NULL, NULL, 'urgent,go'), (6, 'SingleMatch', 'stop', '12', 'stop'), (7, 'NoMatch', NULL, NULL, ''), (8, 'SingleMatch', 'stop', '12', 'stop'), (9, 'NoMatch', NULL, NULL, ''))
-  SELECT doc_id, outcome, command_id, args, candidates FROM documents JOIN e ON k = doc_id % 10""")
+@R.add("command_routes", _COMMANDS)
 def command_routes(spark, d):
-    rows = [
-        ("run", ["Run"], True, 0, 1, 3, None), ("go", ["go", "walk on"], False, 0, 0, 4, None), ("urgent", ["go"], False, 5, 0, 0, None), ("stop", ["halt", "stop"], False, 0, 1, 1, "^[0-9]+$"),
-    ]
+    rows = [("run", ["Run"], True, 0, 1, 3, None), ("go", ["go", "walk on"], False, 0, 0, 40, None), ("stop", ["halt", "stop"], False, 0, 1, 1, "^[0-9]+$")]
     registry = spark.createDataFrame(rows, "command_id string, triggers array<string>, ignore_case boolean, priority int, min_args int, max_args int, arg_pattern string")
-    text = F.element_at(F.array(*[F.lit(x) for x in _LINES]), (F.col("doc_id") % 10 + 1).cast("int"))
-    out = tools.route_commands(read(spark, d, "documents").withColumn("text", text), registry, "text", "doc_id")
-    return out.select("doc_id", "outcome", "command_id", F.array_join("args", "|").alias("args"), F.array_join("candidates", ",").alias("candidates"))
+    text = F.coalesce("text", F.lit(""))
+    quoted = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    bare, how = F.translate(text, '"\\', ""), F.col("doc_id") % 4
+    line = (
+        F.when(how == 0, F.concat(F.lit('  rUN "'), quoted, F.lit('" tail'))).when(how == 1, F.concat(F.lit("go "), bare))
+        .when(how == 2, F.concat(F.lit('go "'), bare)).otherwise(F.concat(F.lit("x"), text))
+    )
+    out = tools.route_commands(read(spark, d, "documents").where("doc_id >= 0").withColumn("text", line), registry, "text", "doc_id")
+    return out.select("doc_id", "outcome", "command_id", F.md5(F.array_join("args", "|").cast("binary")).alias("args"), F.array_join("candidates", ",").alias("candidates"))
 
 
 @R.add("scoped_rows", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_custkey % 2 = 0 AND coalesce(o_orderkey % 3 <> 0, true) AND o_orderstatus IN ('O', 'F')")
