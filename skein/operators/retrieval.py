@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from ..functions.text import cosine, estimate_tokens, is_blank
+from ..storage import materialize
 
 KEEP = 8
 #: Points and queries that are scored at once, and queries whose scores are summed together.
@@ -156,51 +157,76 @@ def _scores(points: np.ndarray, queries: np.ndarray) -> np.ndarray:
     return out
 
 
+def _query_blocks(queries: DataFrame) -> Iterator[tuple[list, list]]:
+    """Ids and vectors of queries in turns of at most QUERY_BLOCK; the driver holds one turn."""
+    ids, vectors = [], []
+    for r in queries.select("query_id", F.col("q").cast("array<double>").alias("q")).toLocalIterator():
+        ids.append(r["query_id"])
+        vectors.append(r["q"])
+        if len(ids) == QUERY_BLOCK:
+            yield ids, vectors
+            ids, vectors = [], []
+    if ids:
+        yield ids, vectors
+
+
+def _nearest(part: pd.DataFrame, ids: list, vectors: list, k: int) -> pd.DataFrame:
+    """The k best rows of a part of the points (key, label, v) for each query, ties by key."""
+    places, scores, asked = [], [], []
+    part = part.sort_values("key", kind="stable").reset_index(drop=True)
+    sizes = part["v"].map(lambda v: -1 if v is None else len(v)).to_numpy()
+    wanted = np.array([-1 if v is None else len(v) for v in vectors])
+    for size in np.unique(wanted):
+        rows, like = np.flatnonzero(wanted == size), np.flatnonzero(sizes == size)
+        score = np.full((len(rows), len(part)), np.nan)
+        if size > 0 and len(like):
+            score[:, like] = _scores(np.stack(part["v"].to_numpy()[like]), np.array([vectors[i] for i in rows], float))
+        for row, values in zip(rows, score, strict=True):
+            down = np.where(np.isnan(values), np.inf, -values)
+            near = np.arange(len(down))
+            if len(down) > k:  # all as good as the k-th, then by key
+                near = np.flatnonzero(down <= np.partition(down, k - 1)[k - 1])
+            chosen = near[np.argsort(down[near], kind="stable")[:k]]
+            asked += [row] * len(chosen)
+            places += chosen.tolist()
+            scores += values[chosen].tolist()
+    found = part.iloc[places]
+    return pd.DataFrame({"asked": asked, "key": found["key"].array, "label": found["label"].array, "score": scores})
+
+
 def top_k_each(points: DataFrame, queries: DataFrame, k: int, label: str = "label", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, key, label, score: for each of queries (query_id, q) the k best of points by cosine, ties by key.
 
-    Blocks of queries meet blocks of points; each pair of blocks yields k rows a query, and these alone are merged.  A null
-    vector, one that is all zero or of another length than the query has a null score and comes last; query_id and key are
-    ids without repeats and not null.
+    Points stay where they lie: blocks of at most QUERY_BLOCK queries are broadcast in turns, each task keeps the k best of its
+    own points for each query of a block, and only these move to be merged.  A null vector, one that is all zero or of another
+    length than the query has a null score and comes last; query_id and key are ids without repeats and not null.
     """
-    n_points, n_queries = points.count(), queries.count()
-    p_blocks, q_blocks = -(-n_points // POINT_BLOCK) or 1, -(-n_queries // QUERY_BLOCK) or 1
-
-    def block(column: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-    own = points.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"), block(key, p_blocks).alias("pb"))
-    own = own.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))))
-    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("v"), block("query_id", q_blocks).alias("qb"))
-    asked = asked.withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(p_blocks - 1))))
-    types = {f.name: f.dataType.simpleString() for f in own.schema} | {"query_id": asked.schema["query_id"].dataType.simpleString()}
-
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, places, scores = [], [], []
-        left = left.sort_values("key", kind="stable").reset_index(drop=True)
-        sizes = left["v"].map(lambda v: -1 if v is None else len(v)).to_numpy()
-        wanted = right["v"].map(lambda v: -1 if v is None else len(v)).to_numpy()
-        for size in np.unique(wanted):
-            rows, like = np.flatnonzero(wanted == size), np.flatnonzero(sizes == size)
-            score = np.full((len(rows), len(left)), np.nan)
-            if size > 0 and len(like):
-                score[:, like] = _scores(np.stack(left["v"].to_numpy()[like]), np.stack(right["v"].to_numpy()[rows]))
-            for row, values in zip(rows, score, strict=True):
-                down = np.where(np.isnan(values), np.inf, -values)
-                near = np.arange(len(down))
-                if len(down) > k:  # all as good as the k-th, then by key
-                    near = np.flatnonzero(down <= np.partition(down, k - 1)[k - 1])
-                chosen = near[np.argsort(down[near], kind="stable")[:k]]
-                ids += [right["query_id"].iloc[row]] * len(chosen)
-                places += chosen.tolist()
-                scores += [None if np.isnan(x) else float(x) for x in values[chosen]]
-        found = left.iloc[places]
-        return pd.DataFrame({"query_id": ids, key: found["key"].array, label: found["label"].array, "score": pd.array(scores, dtype="Float64")})
-
+    own = points.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).cast("array<double>").alias("v"))
+    types = {f.name: f.dataType.simpleString() for f in own.schema} | {"query_id": queries.schema["query_id"].dataType.simpleString()}
     schema = f"query_id {types['query_id']}, `{key}` {types['key']}, `{label}` {types['label']}, score double"
-    partial = own.groupBy("pb", "qb").cogroup(asked.groupBy("pb", "qb")).applyInPandas(best, schema)
+    context, found = points.sparkSession.sparkContext, None
+    for n, block in enumerate(_query_blocks(queries)):
+        sent = context.broadcast(block)
+
+        def best(frames: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
+            (ids, vectors), held = sent.value, None
+            for pdf in frames:
+                for at in range(0, len(pdf), POINT_BLOCK):
+                    near = _nearest(pdf.iloc[at : at + POINT_BLOCK], ids, vectors, k)
+                    held = near if held is None else pd.concat([held, near], ignore_index=True)
+                    held = held.sort_values(["asked", "score", "key"], ascending=[True, False, True], na_position="last", kind="stable").groupby("asked").head(k)
+            if held is not None and len(held):
+                score = pd.array([None if np.isnan(x) else x for x in held["score"]], dtype="Float64")
+                yield pd.DataFrame({"query_id": [ids[i] for i in held["asked"]], key: held["key"].array, label: held["label"].array, "score": score})
+
+        some = own.mapInPandas(best, schema)
+        if n:
+            some = materialize(some, "nearest")  # the plan does not grow with the number of blocks' scans
+        found = some if found is None else found.unionByName(some)
+    if found is None:
+        return points.sparkSession.createDataFrame([], schema)
     order = Window.partitionBy("query_id").orderBy(F.desc_nulls_last("score"), F.asc(key))
-    return partial.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n")
+    return found.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n")
 
 
 def diverse_each(best: DataFrame, key: Column, k: int = KEEP, tie: str = "vec_id") -> DataFrame:
