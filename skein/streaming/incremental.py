@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-#: Buckets of the state, by a hash of the key; a batch rewrites those that it touches.
-BUCKETS = 64
+#: Documents of a bucket at most; a fuller one is split.
+MOST_ROWS = 200_000
+#: Bits by which an overfull bucket may grow in one batch, and all bits of a key's hash.
+STEP, BITS = 12, 64
 
 
 def _children(spark: SparkSession, path: str) -> list[str]:
@@ -17,18 +19,28 @@ def _children(spark: SparkSession, path: str) -> list[str]:
     return [f.getPath().getName() for f in fs.listStatus(place) if f.isDirectory()] if fs.exists(place) else []
 
 
-def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+def _versions(spark: SparkSession, path: str) -> dict[str, list[int]]:
     """The versions of each bucket, in order; a listing of one folder per bucket and version."""
-    found: dict[int, list[int]] = {}
+    found: dict[str, list[int]] = {}
     for v in _children(spark, path):
         if v.startswith("v="):
             for b in _children(spark, f"{path}/{v}"):
-                found.setdefault(int(b[2:]), []).append(int(v[2:]))
+                found.setdefault(b[3:], []).append(int(v[2:]))  # b=x and the bits
     return {b: sorted(v) for b, v in found.items()}
 
 
-def _buckets(spark: SparkSession, path: str, schema, newest: dict[int, int]) -> DataFrame:
-    places = [f"{path}/v={v}/b={b}" for b, v in sorted(newest.items())]
+def _directory(versions: dict[str, list[int]], before: int | None = None) -> dict[str, int]:
+    """The buckets that hold the state, and the newest version of each: those that no later version has split."""
+    newest = {b: max(own) for b, v in versions.items() if (own := [x for x in v if before is None or x < before])}
+    split: dict[str, int] = {}  # the newest version of anything below each bucket
+    for b, v in newest.items():
+        for n in range(len(b)):
+            split[b[:n]] = max(split.get(b[:n], -1), v)
+    return {b: v for b, v in newest.items() if v > split.get(b, -1)}
+
+
+def _buckets(spark: SparkSession, path: str, schema, newest: dict[str, int]) -> DataFrame:
+    places = [f"{path}/v={v}/b=x{b}" for b, v in sorted(newest.items())]
     if not places:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(*places).where("NOT deleted")
@@ -36,37 +48,78 @@ def _buckets(spark: SparkSession, path: str, schema, newest: dict[int, int]) ->
 
 def current_state(spark: SparkSession, path: str, schema) -> DataFrame:
     """The documents as of the last batch that follow_changes wrote below path."""
-    return _buckets(spark, path, schema, {b: v[-1] for b, v in _versions(spark, path).items()})
+    return _buckets(spark, path, schema, _directory(_versions(spark, path)))
+
+
+def _bits(key: str):
+    """The hash of a key as binary digits."""
+    return F.lpad(F.bin(F.xxhash64(key)), BITS, "0")
+
+
+def _placed(rows: DataFrame, leaves: list[str], bits: str, name: str) -> DataFrame:
+    """rows with the one of the buckets in which each lies: a row meets the beginnings of its bits, so nothing is compared in pairs."""
+    deepest = max(map(len, leaves))
+    known = rows.sparkSession.createDataFrame([(x,) for x in leaves], f"{name} string")
+    begins = F.transform(F.sequence(F.lit(0), F.lit(deepest)), lambda n: F.substring(F.col(bits), F.lit(1), n))
+    return rows.withColumn(name, F.explode(begins)).join(known, name)
+
+
+def _split(sizes: dict[str, int], leaf: str, most: int, deepest: int) -> list[str]:
+    """The parts of a bucket, given the number of rows below each beginning of `deepest` bits: none above `most`, if bits suffice."""
+    if sum(sizes.values()) <= most or len(leaf) >= min(deepest, BITS):
+        return [leaf]
+    sides = [{b: n for b, n in sizes.items() if b[len(leaf)] == side} for side in "01"]
+    return [x for side, own in zip("01", sides, strict=True) for x in _split(own, leaf + side, most, deepest)]
 
 
-def follow_changes(changes: DataFrame, path: str, checkpoint: str, key: str = "doc_id", order: str = "seq", buckets: int = BUCKETS) -> StreamingQuery:
+def follow_changes(changes: DataFrame, path: str, checkpoint: str, key: str = "doc_id", order: str = "seq", most_rows: int = MOST_ROWS) -> StreamingQuery:
     """Keeps the state of each document in a bucketed parquet table below path: a changed one replaces, a deleted one goes.
 
-    changes has key, order, deleted and payload columns.  Batch n writes version n of the buckets whose keys it holds, from
-    the newest earlier version of these; so other buckets are neither read nor written, and a batch that is tried again
-    gives the same table.  Each bucket keeps its last two versions.  Of a batch's changes to a key the one of greatest
-    order counts; a bucket without documents holds one deleted row.
+    changes has key, order, deleted and payload columns.  A bucket holds the keys whose hash begins with its bits, at most
+    `most_rows` of them: a fuller one is split on further bits, so files stay bounded and their number grows with the state.
+    Batch n writes version n of the buckets whose keys it holds, from the newest earlier version of these; so other buckets are
+    neither read nor written, and a batch that is tried again gives the same table.  What a later version replaced or split
+    before the last batch is removed.  Of a batch's changes to a key the one of greatest order counts; a bucket without documents
+    holds one deleted row.  The directory of buckets, some tens of bytes for each, is listed on the driver.
     """
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
         rest = [c for c in batch.columns if c != key]
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*").withColumn("b", bucket).persist()
+        last = batch.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("r")).select(key, "r.*").withColumn("__bits", _bits(key)).persist()
         try:
-            touched = [r["b"] for r in last.select("b").distinct().collect()]  # at most `buckets`
-            known = {b: [v for v in _versions(spark, path).get(b, []) if v < n] for b in touched}
-            old = _buckets(spark, path, batch.schema, {b: v[-1] for b, v in known.items() if v})
-            out = old.withColumn("b", bucket).join(last.select(key), key, "left_anti").unionByName(last.where(~F.col("deleted")))
-            empty = spark.createDataFrame([(b,) for b in touched], "b int").withColumn("deleted", F.lit(True))
-            out = out.unionByName(empty, allowMissingColumns=True)
-            out.repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{path}/v={n}")
+            versions = _versions(spark, path)
+            live = _directory(versions, n) or {"": -1}
+            placed = _placed(last, sorted(live), "__bits", "__leaf")
+            touched = {r["__leaf"]: live[r["__leaf"]] for r in placed.select("__leaf").distinct().collect()}  # at most the buckets
+            if not touched:
+                return
+            old = _buckets(spark, path, batch.schema, {b: v for b, v in touched.items() if v >= 0}).withColumn("__bits", _bits(key))
+            out = old.join(last.select(key), key, "left_anti").unionByName(last.where(~F.col("deleted"))).persist()
+            try:
+                placed = _placed(out, sorted(touched), "__bits", "__leaf")
+                counts = placed.groupBy("__leaf").count().where(F.col("count") > most_rows).collect()  # overfull buckets
+                leaves = dict.fromkeys(touched)
+                for r in counts:
+                    leaf = r["__leaf"]
+                    deepest = len(leaf) + STEP
+                    own = placed.where(F.col("__leaf") == leaf).groupBy(F.substring("__bits", 1, deepest).alias("begin")).count().collect()  # 2 ** STEP at most
+                    parts = _split({x["begin"]: x["count"] for x in own}, leaf, most_rows, deepest)
+                    del leaves[leaf]
+                    leaves |= dict.fromkeys(parts)
+                rows = _placed(out, sorted(leaves), "__bits", "__leaf").withColumn("b", F.concat(F.lit("x"), "__leaf")).drop("__leaf", "__bits")
+                empty = spark.createDataFrame([(f"x{b}",) for b in leaves], "b string").withColumn("deleted", F.lit(True))
+                rows = rows.unionByName(empty, allowMissingColumns=True)
+                rows.repartition("b").write.mode("overwrite").partitionBy("b").parquet(f"{path}/v={n}")
+            finally:
+                out.unpersist()
         finally:
             last.unpersist()
-        for b, versions in known.items():
-            for v in versions[:-1]:
-                place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}/b={b}")
-                place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        for b, own in versions.items():
+            for v in own:
+                if v < n and live.get(b) != v:
+                    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v={v}/b=x{b}")
+                    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
