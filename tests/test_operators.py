@@ -186,24 +186,36 @@ def test_follow_changes(spark, tmp_path):
     assert sorted((r.doc_id, r.body) for r in incremental.current_state(spark, str(tmp_path / "out"), schema).collect()) == [(1, "a2"), (3, "c")]
 
 
-def test_follow_changes_touches_few_buckets(spark, tmp_path):
-    schema, out = "doc_id long, seq long, deleted boolean, body string", str(tmp_path / "out")
-    state, seq = {}, 0
-    for n in range(4):
+def test_follow_changes_splits_full_buckets(spark, tmp_path):
+    """Buckets stay under their limit at several sizes of the state, and a small batch rewrites few of them."""
+    schema, out, most = "doc_id long, seq long, deleted boolean, body string", str(tmp_path / "out"), 40
+    state, seq, buckets = {}, 0, []
+    for n, ids in enumerate([range(30), range(30, 300), (5, 60, 7), range(300, 1500), (1, 2, 7), (7,)]):
         rows = []
-        for i in (range(200) if n == 0 else (n, n + 50, 7)):
+        for i in ids:
             seq += 1
-            gone = n > 0 and i == 7
+            gone = i == 7 and n in (2, 5)
             rows.append((i, seq, gone, None if gone else f"{i}.{n}"))
             state[i] = None if gone else f"{i}.{n}"
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         source = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-        incremental.follow_changes(source, out, str(tmp_path / "cp"), buckets=16).awaitTermination()
+        incremental.follow_changes(source, out, str(tmp_path / "cp"), most_rows=most).awaitTermination()
         got = {r.doc_id: r.body for r in incremental.current_state(spark, out, schema).collect()}
         assert got == {k: v for k, v in state.items() if v is not None}
-        versions = incremental._versions(spark, out)
-        assert n == 0 or len([b for b, v in versions.items() if v[-1] == n]) <= 3
-        assert all(len(v) <= 2 + (v[-1] == n) for v in versions.values())
+        live = incremental._directory(incremental._versions(spark, out))
+        sizes = [spark.read.schema(schema).parquet(f"{out}/v={v}/b=x{b}").where("NOT deleted").count() for b, v in live.items()]
+        assert max(sizes) <= most and sum(2.0 ** -len(b) for b in live) == 1  # the buckets part all hashes
+        buckets.append(len(live))
+        assert n not in (2, 4, 5) or sum(v == n for v in live.values()) <= 3
+    assert buckets[0] == 1 and buckets[1] >= 300 // most and buckets[-1] >= 1500 // most and buckets == sorted(buckets)
+    # a batch that is tried again gives the same table: its own version and what it was made from are still there
+    assert all(len(v) <= 2 for v in incremental._versions(spark, out).values())
+
+
+def test_directory_of_split_buckets():
+    assert incremental._directory({"": [0], "0": [1, 3], "1": [1], "10": [2], "11": [2]}) == {"0": 3, "10": 2, "11": 2}
+    assert incremental._directory({"": [0], "0": [1], "1": [1]}, before=1) == {"": 0}
+    assert incremental._split({"00": 5, "01": 5, "11": 2}, "", 5, 2) == ["00", "01", "1"] and incremental._split({"00": 9}, "", 5, 2) == ["00", "01", "1"]
 
 
 def test_places_and_lags_in_large_groups(spark):
