@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,8 +12,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.python import canonical_json
 from ..functions.text import has_all_tags, has_any_tag, slugify, trim_white
-from ..storage import partitions
-from .ranks import with_previous
+from ..storage import materialize, partitions
+from .ranks import with_place, with_previous
 
 
 def latest_turn(turns: DataFrame, session: str = "conv_id", turn: str = "turn") -> DataFrame:
@@ -89,12 +90,25 @@ def next_order(items: DataFrame, group: str, order: str) -> DataFrame:
 def unique_slugs(items: DataFrame, name: str, order: str, scope: str | None = None, default: str = "item") -> DataFrame:
     """items with base_slug and slug: each in order takes its base if that is free, else base-2, base-3 .. whichever is free first.
 
-    Bases that can meet differ in ends of -n alone, so items of one scope and stem follow each other in one partition and are
-    folded as they stream by; a task holds the slugs of one stem.  Ignores case, as bases are in lower case.
+    Bases that can meet differ in ends of -n alone.  Where a scope has one base of a stem, as of all its blank names, an item's
+    number is its place among those of its base, found by ranges whatever their number.  Only items of stems with several
+    bases follow each other in one partition and are folded as they stream by; a task holds the slugs of one such stem.  Ignores
+    case, as bases are in lower case.
     """
     base = F.coalesce(F.nullif(slugify(name), F.lit("")), F.lit(default))
     rows = items.withColumn("base_slug", base).withColumn("__stem", F.regexp_replace("base_slug", "(?:-[0-9]+)+$", ""))
     keys = [*([scope] if scope else []), "__stem"]
+    several = rows.groupBy(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]).agg((F.min("base_slug") != F.max("base_slug")).alias("__several"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    rows = materialize(rows.join(several, same).drop(*[f"__k{i}" for i in range(len(keys))]), "slugs")
+    alone = with_place(rows.where("NOT __several").drop("__several"), [*keys[:-1], "base_slug"], [order], "__n")
+    numbered = F.when(F.col("__n") == 1, F.col("base_slug")).otherwise(F.concat_ws("-", "base_slug", F.col("__n").cast("string")))
+    alone = alone.withColumn("slug", numbered).drop("__n", "__stem")
+    return alone.unionByName(_folded_slugs(rows.where("__several").drop("__several"), keys, order))
+
+
+def _folded_slugs(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The slugs of items of stems with several bases, one after the other."""
     rows = rows.repartition(*keys).sortWithinPartitions(*keys, order, "base_slug")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
