@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "stream_id string, seq long, event string, data string"
@@ -70,6 +71,55 @@ def stream_events(lines: DataFrame) -> DataFrame:
     return lines.groupBy("stream_id").applyInPandasWithState(run, EVENTS, schema, "append", GroupStateTimeout.NoTimeout)
 
 
+class _Frames(StatefulProcessor):
+    """Keeps the open event of each stream, and closes a stream of which nothing has come for `idle` milliseconds."""
+
+    def __init__(self, idle: int):
+        self._idle = idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._open = handle.getValueState("open", "name string, data string, n_data int, seq long, done boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        name, joined, n_data, seq, done = self._open.get() if self._open.exists() else ("", "", 0, 0, False)
+        data, out = joined.split("\n") if n_data else [], []
+        pdf = pd.concat(list(rows)).sort_values("n")
+        if not done:
+            found, name, data, done = frame(pdf["line"].fillna("").tolist(), name, data)
+            out = [(key[0], seq + i, e, d) for i, (e, d) in enumerate(found)]
+        self._open.update((name, "\n".join(data), len(data), seq + len(out), done))
+        for timer in list(self._handle.listTimers()):
+            self._handle.deleteTimer(timer)
+        self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._idle)
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "event", "data"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self._open.exists():
+            name, joined, n_data, seq, _ = self._open.get()
+            out = [(key[0], seq, name, joined)] if n_data else []
+            self._open.clear()
+        yield pd.DataFrame(out, columns=["stream_id", "seq", "event", "data"])
+
+    def close(self) -> None:
+        """Nothing is held beside the state."""
+
+
+def expiring_events(lines: DataFrame, idle: float = 600) -> DataFrame:
+    """stream_events with an end: a stream of which nothing has come for `idle` seconds gives its open event, and its state goes.
+
+    Time is that of processing, and is looked at in each batch.  A query that runs on has batches without data for that; one under
+    availableNow ends only if the session has spark.sql.streaming.noDataMicroBatches.enabled off, and the first batch of its next
+    run gives what has expired since.  A line that comes after its stream's end begins a stream of that name anew.
+    State with timers is kept by the RocksDB store alone, which the session has to name.
+    """
+    store = lines.sparkSession.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+    if not store.endswith("RocksDBStateStoreProvider"):
+        raise ValueError("set spark.sql.streaming.stateStore.providerClass to the RocksDB store")
+    return lines.groupBy("stream_id").transformWithStateInPandas(_Frames(round(1000 * idle)), EVENTS, "append", "processingTime")
+
+
 def event_type(data: Column | str = "data", event: Column | str = "event") -> Column:
     d = F.col(data) if isinstance(data, str) else data
     return F.coalesce(F.get_json_object(d, "$.type"), F.col(event) if isinstance(event, str) else event, F.lit(""))
