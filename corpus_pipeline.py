@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept and returns the columns of documents; the last
 returns the pieces of the packed sequences.  A row that the mix takes twice goes on twice.
+
+Defined cases, for each stage: a null text counts as an empty one, which the quality rules reject; a null doc_id stays null and has no
+labels; rows that repeat are judged alike, near-duplicates keep one of them; texts of any length are read whole; an empty table gives
+an empty result; columns beyond those of documents pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+from pyspark.sql.types import DataType, StructField, StructType
 
 from .symbols import Declaration, blanked, declarations
 
@@ -262,7 +262,7 @@ def types_of(code: str) -> list[dict]:
 
 def with_types(files: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """path and the columns of TYPE, a row for each type of each file."""
-    own = _parse_datatype_string(TYPE)
+    own = DataType.fromDDL(TYPE)
     schema = StructType([StructField(path, files.schema[path].dataType), *own.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
