@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..storage import materialize, partitions, scratch_path, shared_folder
 
-__all__ = ["SPACE", "WORD", "identity", "materialize", "n_words", "partitions", "scratch_path", "shared_folder", "table"]
+__all__ = ["SPACE", "WORD", "forget_memos", "identity", "materialize", "n_words", "partitions", "remembers", "scratch_path", "shared_folder", "table"]
 
 #: A word: a run of characters other than ASCII white space (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
@@ -16,6 +18,21 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Drops what this Python worker remembers between tasks of one kind.
+_MEMOS: list[Callable[[], None]] = []
+
+
+def remembers(forget: Callable[[], None]) -> None:
+    """Names what drops a memo of this process, for tasks of other kinds that need the room."""
+    _MEMOS.append(forget)
+
+
+def forget_memos() -> None:
+    """Called where a task needs much memory and no memo: workers are reused, and a memo may fill a good part of one."""
+    for forget in _MEMOS:
+        forget()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table below sf_dir."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)

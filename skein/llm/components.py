@@ -1,4 +1,8 @@
-"""Connected components of a graph of links, by contraction to least neighbours."""
+"""Connected components of a graph of links, by contraction to least neighbours.
+
+Defined cases: links that repeat, or stand both ways round, are one; a link of a node to itself, or with a null end, says nothing and
+names no node; an empty table of links has no nodes; other columns are ignored.
+"""
 
 from __future__ import annotations
 

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import forget_memos, materialize, table
 from .components import components
 from .hashing import Words, batches, mix, shingles
 
@@ -111,6 +111,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """id, body (a hash of the text), n_shingles, set_id (a digest; null for an empty set) and registers of each row of docs (doc_id, text)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_memos()
         cut = Words()
         for pdf in batches(frames):
             sets = [shingles(w, WORDS) for w in cut.of(pdf["text"].tolist())]
@@ -127,6 +128,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node and elements, the shingles of each class in wanted (node, rep, body, set_id): a text is found by its id and its hash."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_memos()
         cut = Words()
         for pdf in batches(frames, 256):
             sets = [shingles(w, WORDS).view(np.int64) for w in cut.of(pdf["text"].tolist())]

@@ -2,6 +2,9 @@
 
 A word's hash is a polynomial in its bytes modulo 2 ** 64, from running sums over the buffer, with mixed bits; so time and
 memory follow the bytes, whatever the number of distinct words.
+
+Defined cases: a null or empty text, or one of separators alone, has no words; texts of any length are hashed whole, in slices that
+end between words; lone surrogates are hashed as they are encoded; words of one text are in order, repeated ones each.
 """
 
 from __future__ import annotations

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import identity, materialize, n_words, table
+from .common import forget_memos, identity, materialize, n_words, table
 
 #: Rows that one task rounds together, residuals that meet in one node of the tree, and equal rows that travel as one.
 BLOCK, FANOUT, CHUNK = 8192, 512, 1024
@@ -112,7 +112,11 @@ def _pivot(pdf: pd.DataFrame, seed: int) -> pd.DataFrame:
 
 
 def _node(seed: int):
-    return lambda pdf: _pivot(pdf, seed)
+    def round_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        forget_memos()
+        return _pivot(pdf, seed)
+
+    return round_block
 
 
 def mix(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: int = 2, seed: int = 20_231) -> DataFrame:

@@ -21,6 +21,7 @@ from itertools import chain
 
 import numpy as np
 
+from .common import remembers
 from .hashing import CHUNK, SPACES, Words
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -293,6 +294,7 @@ class Pieces:
 
 
 _encoders: dict[str, Encoder | Pieces] = {}
+remembers(_encoders.clear)
 
 
 def encoder(path: str) -> Encoder | Pieces:

@@ -24,13 +24,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import forget_memos, table
 from .hashing import MARKS, Words, batches, grams, mix
 
 TRAIN_ROWS, TRAIN_FEATURES = 12_000, 16_000_000
 EPOCHS = 8
 #: FTRL-proximal: rate, its smoothing, L1 and L2.  L1 is chosen by four folds of the rows that may be learned from, see the README.
-ALPHA, BETA, L1, L2 = 1.0, 1.0, 7.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 8.0, 1.0
 THRESHOLD = 0.3
 
 
@@ -137,6 +137,7 @@ def with_score(docs: DataFrame, model: Model, text: str = "text", name: str = "s
 
     @F.pandas_udf("double")
     def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        forget_memos()
         cut, own = Words(MARKS), shared.value
         for texts in parts:
             yield pd.Series([own.score(w) for at in range(0, len(texts), 512) for w in cut.of(texts.iloc[at : at + 512].tolist())], dtype=float)

@@ -156,3 +156,9 @@ def test_rows_of_one_id_meet_by_their_texts(spark):
     for i in range(1, 150):
         assert len({(None, near(i, 0)), (None, near(i, 1))} & found) == 1
     assert sum(r.doc_id == 7 for r in kept) == 150 and len(kept) == 1 + 149 + 150 + 2
+
+
+def test_components_of_awkward_links(spark):
+    links = spark.createDataFrame([(1, 2, "x"), (2, 1, "x"), (2, 3, "y"), (5, 5, "z"), (None, 7, "z"), (8, None, "z"), (10, 9, "z"), (1, 2, "x")], "a long, b long, comp string")
+    assert sorted((r.node, r.comp) for r in components(links).collect()) == [(1, 1), (2, 1), (3, 1), (9, 9), (10, 9)]
+    assert components(links.where("1 = 0")).count() == 0
