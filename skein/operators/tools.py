@@ -112,16 +112,19 @@ def route_commands(inputs: DataFrame, commands: DataFrame, text: str = "text", k
     listed = commands.limit(most + 1).collect()
     if len(listed) > most:
         raise ValueError("more commands than a registry holds")
-    one = trim_white(F.coalesce(F.col(text), F.lit("")))
-    tests = []
+    # the line and what follows a trigger are columns, so that each is made once however often it is named
+    inputs = inputs.select(key, trim_white(F.coalesce(F.col(text), F.lit(""))).alias("__line"))
+    one, tests, rest = F.col("__line"), [], {}
     for c in listed:
         first = F.lit(None).cast("struct<command_id:string,priority:int,args:array<string>>")
         for trigger in reversed([t.strip() for t in c["triggers"] or [] if t and t.strip()]):
             head = F.substring(one, 1, len(trigger))
             same = F.lower(head) == trigger.lower() if c["ignore_case"] else head == trigger
             following = F.substring(one, len(trigger) + 1, 1)
-            args = arguments(trim_white(F.substring(one, F.lit(len(trigger) + 1), F.length(one))))
-            ok = same & ((following == "") | following.rlike(r"[\s\p{P}]")) & F.size(args).between(c["min_args"], c["max_args"])
+            begins = same & ((following == "") | following.rlike(r"[\s\p{P}]"))
+            name = f"__args{len(rest)}"
+            rest[name], args = F.when(begins, arguments(trim_white(F.substring(one, F.lit(len(trigger) + 1), F.length(one))))), F.col(name)
+            ok = args.isNotNull() & F.size(args).between(c["min_args"], c["max_args"])
             if c["arg_pattern"] is not None:
                 ok = ok & F.coalesce(F.try_element_at(args, F.lit(1)).rlike(c["arg_pattern"]), F.lit(False))
             first = F.when(ok, F.struct(F.lit(c["command_id"]).alias("command_id"), F.lit(c["priority"]).cast("int").alias("priority"), args.alias("args"))).otherwise(first)
@@ -129,7 +132,7 @@ def route_commands(inputs: DataFrame, commands: DataFrame, text: str = "text", k
     if not tests:
         return inputs.select(key, F.lit("NoMatch").alias("outcome"), F.lit(None).cast("string").alias("command_id"), F.lit(None).cast("array<string>").alias("args"), F.array().cast("array<string>").alias("candidates"))
     hits = F.array_sort(F.array_compact(F.array(*tests)), lambda a, b: F.when(a["priority"] > b["priority"], -1).when(a["priority"] < b["priority"], 1).when(F.lower(a["command_id"]) < F.lower(b["command_id"]), -1).otherwise(1))
-    out = inputs.select(key, hits.alias("__hits"))
+    out = inputs.withColumns(rest).select(key, hits.alias("__hits"))
     n = F.size("__hits")
     return out.select(
         key, F.when(n == 0, "NoMatch").when(n == 1, "SingleMatch").otherwise("MultipleMatch").alias("outcome"),

@@ -16,7 +16,7 @@ from ..functions import text as T
 from ..operators import code, points, symbols, tools
 from ..operators import sessions as S
 from ..operators.ranks import with_place
-from .registry import Registry, read
+from .registry import Registry, read, spread
 
 R = Registry()
 
@@ -185,7 +185,7 @@ def command_routes(spark, d):
         F.when(how == 0, F.concat(F.lit('  rUN "'), quoted, F.lit('" tail'))).when(how == 1, F.concat(F.lit("go "), bare))
         .when(how == 2, F.concat(F.lit('go "'), bare)).otherwise(F.concat(F.lit("x"), text))
     )
-    out = tools.route_commands(read(spark, d, "documents").where("doc_id >= 0").withColumn("text", line), registry, "text", "doc_id")
+    out = tools.route_commands(spread(read(spark, d, "documents").select("doc_id", "text").where("doc_id >= 0")).withColumn("text", line), registry, "text", "doc_id")
     return out.select("doc_id", "outcome", "command_id", F.md5(F.array_join("args", "|").cast("binary")).alias("args"), F.array_join("candidates", ",").alias("candidates"))
 
 
