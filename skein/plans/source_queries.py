@@ -240,16 +240,16 @@ def changed_fields(spark, d):
     return tools.with_status(tools.with_changes(customer, changes, "c_custkey"), " approved", ["Draft", "Approved"])
 
 
-@R.add("small_forms", """SELECT doc_id, [true, true, false, false, NULL][doc_id % 5 + 1] AS boolish, contains(coalesce(text, ''), '<') AND contains(coalesce(text, ''), '>') AS html,
-    CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-02-29 12:00:00' ELSE TIMESTAMP '0001-01-01' END::VARCHAR AS at, CASE WHEN doc_id % 3 = 0 THEN 'ABC-' || lpad((doc_id % 1000)::VARCHAR, 6, '0') END AS ddr,
-    doc_id % 4 <> 3 AS is_test, '/api/v' || doc_id || '/things' AS route, 'Thing' || doc_id || 'Controller.Get' AS endpoint FROM documents WHERE doc_id >= 0""")
+@R.add("small_forms", """SELECT doc_id, [true, true, false, false, NULL][(doc_id % 5 + 5) % 5 + 1] AS boolish, contains(coalesce(text, ''), '<') AND contains(coalesce(text, ''), '>') AS html,
+    CASE WHEN doc_id % 2 = 0 THEN TIMESTAMP '2024-02-29 12:00:00' ELSE TIMESTAMP '0001-01-01' END::VARCHAR AS at, CASE WHEN doc_id % 3 = 0 THEN 'ABC-' || lpad(((doc_id % 1000 + 1000) % 1000)::VARCHAR, 6, '0') END AS ddr,
+    coalesce((doc_id % 4 + 4) % 4 <> 3, false) AS is_test, coalesce('/api/v' || doc_id, '') || '/things' AS route, coalesce('Thing' || doc_id || 'Controller.', '') || 'Get' AS endpoint FROM documents""")
 def small_forms(spark, d):
     i = F.col("doc_id")
-    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (i % n + 1).cast("int"))
-    return read(spark, d, "documents").where("doc_id >= 0").select(
+    pick = lambda n, *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.pmod(i, F.lit(n)) + 1).cast("int"))
+    return read(spark, d, "documents").select(
         "doc_id", T.parse_boolish(pick(5, " TRUE", "1", "False ", "0", "yes")).alias("boolish"), F.coalesce(T.looks_like_html("text"), F.lit(False)).alias("html"),
         F.date_format(T.parse_iso_or_min(pick(2, "2024-02-29T12:00:00", "no date")), "yyyy-MM-dd HH:mm:ss").alias("at"),
-        T.ddr_identifier(F.when(i % 3 == 0, F.concat(F.lit(" abc-"), i % 1000)).otherwise(F.concat(F.lit("ab-"), i))).alias("ddr"),
+        T.ddr_identifier(F.when(i % 3 == 0, F.concat(F.lit(" abc-"), F.pmod(i, F.lit(1000)))).otherwise(F.concat(F.lit("ab-"), i))).alias("ddr"),
         T.is_test_path(pick(4, "a\\Tests\\x.cs", "Lib.Tests/x.cs", "src/xTests.cs", "src/x.cs")).alias("is_test"),
         T.combine_routes(F.concat(F.lit("/api/v"), i, F.lit("//")), F.lit("/things/")).alias("route"), T.endpoint_key(F.concat(F.lit("Thing"), i, F.lit("Controller")), F.lit("GetAsync")).alias("endpoint"),
     )
