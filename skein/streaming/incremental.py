@@ -57,11 +57,14 @@ def _bits(key: str):
 
 
 def _placed(rows: DataFrame, leaves: list[str], bits: str, name: str) -> DataFrame:
-    """rows with the one of the buckets in which each lies: a row meets the beginnings of its bits, so nothing is compared in pairs."""
+    """rows with the one of the buckets in which each lies: a row meets the beginnings of its bits, so nothing is compared in pairs.
+
+    The buckets, which the driver has listed, are broadcast: else each row would be shuffled once for each of its beginnings.
+    """
     deepest = max(map(len, leaves))
     known = rows.sparkSession.createDataFrame([(x,) for x in leaves], f"{name} string")
     begins = F.transform(F.sequence(F.lit(0), F.lit(deepest)), lambda n: F.substring(F.col(bits), F.lit(1), n))
-    return rows.withColumn(name, F.explode(begins)).join(known, name)
+    return rows.withColumn(name, F.explode(begins)).join(F.broadcast(known), name)
 
 
 def _split(sizes: dict[str, int], leaf: str, most: int, deepest: int) -> list[str]:
