@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..storage import scratch_path
+from ..storage import partitions, scratch_path
 from ..streaming import incremental, progress
 from .registry import Registry, read
 
@@ -12,11 +12,14 @@ R = Registry()
 _STATE = "doc_id long, seq long, deleted boolean, body string"
 
 
-def _changes(spark, d, files_a_batch: int = 1000):
-    """Each document as a change, every fifth one as a deletion; a stream follows a folder of files."""
-    docs, folder = read(spark, d, "documents"), scratch_path(spark, "changes")
-    docs.repartition(4, "doc_id").write.parquet(folder)
-    docs = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder).where("doc_id IS NOT NULL")
+def _changes(spark, d, batches: int = 1):
+    """Each document as a change, every fifth one as a deletion; a stream follows a folder of files, in this many batches at most.
+
+    There is a file for each shuffle partition, so that files, and tasks that write and read them, stay bounded.
+    """
+    docs, folder, files = read(spark, d, "documents"), scratch_path(spark, "changes"), max(4, partitions(spark))
+    docs.repartition(files, "doc_id").write.parquet(folder)
+    docs = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", -(-files // batches)).parquet(folder).where("doc_id IS NOT NULL")
     return docs.select("doc_id", F.col("doc_id").alias("seq"), (F.col("doc_id") % 5 == 0).alias("deleted"), F.col("text").alias("body"))
 
 
