@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import python as P
 from ..functions import text as T
 from ..operators import chunks, scoring
-from .registry import Registry, read
+from .registry import Registry, read, spread
 
 R = Registry()
 _W, _C = T.WHITE, T.WORD
@@ -175,7 +175,7 @@ _DIMS = list(scoring.WEIGHTS)
 
 @R.add("score_sections", _SCORES + f"SELECT doc_id, {', '.join(f'round({k}, 6) AS {k}' for k in _DIMS)}, round(composite, 6) AS composite, category, flags, array_to_string(models, ',') AS models FROM s")
 def score_sections(spark, d):
-    out = scoring.score_sections(read(spark, d, "documents"), MODELS)
+    out = scoring.score_sections(spread(read(spark, d, "documents")), MODELS)
     return out.select(
         "doc_id", *[F.round(k, 6).alias(k) for k in _DIMS], F.round("composite", 6).alias("composite"), "category",
         F.array_join("flags", ",").alias("flags"), F.array_join("matched_models", ",").alias("models"),
@@ -184,7 +184,7 @@ def score_sections(spark, d):
 
 @R.add("score_gate", _SCORES + "SELECT lang, CASE WHEN composite >= 60 THEN 'Accepted' ELSE 'RejectedLowScore' END AS gate, count(*)::BIGINT AS n FROM s GROUP BY ALL")
 def score_gate(spark, d):
-    out = scoring.score_sections(read(spark, d, "documents"), MODELS)
+    out = scoring.score_sections(spread(read(spark, d, "documents")), MODELS)
     return out.groupBy("lang", scoring.publish_gate("composite").alias("gate")).agg(F.count("*").alias("n"))
 
 
