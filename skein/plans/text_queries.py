@@ -96,12 +96,12 @@ def html_text_regex(spark, d):
 
 @R.add("html_text_unescaped")
 def html_text_unescaped(spark, d):
-    return read(spark, d, "pages").select("page_id", P.unescape_html(T.html_to_text("html")).alias("text"))
+    return spread(read(spark, d, "pages").select("page_id", "html")).select("page_id", P.unescape_html(T.html_to_text("html")).alias("text"))
 
 
 @R.add("html_text_dom")
 def html_text_dom(spark, d):
-    return read(spark, d, "pages").select("page_id", P.html_text_dom("html").alias("text"))
+    return spread(read(spark, d, "pages").select("page_id", "html")).select("page_id", P.html_text_dom("html").alias("text"))
 
 
 @R.add("canonical_json")

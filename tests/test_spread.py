@@ -4,6 +4,10 @@ from pyspark.sql import functions as F
 
 from skein.operators import symbols
 from skein.plans import code_queries as code
+from skein.plans import source_queries as source
+from skein.plans import stream_queries
+from skein.plans import text_queries as text
+from skein.streaming import incremental
 
 
 def one_row_group(spark, tmp_path, n=400):
@@ -29,3 +33,50 @@ def test_blanked_keeps_places():
     assert [i for i, c in enumerate(text) if c == "\n"] == [i for i, c in enumerate(flat) if c == "\n"]
     assert len(flat) == len(text) and flat.split() == ["a", "d"]
     assert symbols.declarations("class A { int x; }", symbols.blanked("class A { int x; }")) == symbols.declarations("class A { int x; }")
+
+
+def plan(df, optimized=False):
+    made = df._jdf.queryExecution()
+    return (made.optimizedPlan() if optimized else made.executedPlan()).toString()
+
+
+def test_commands_and_scores_are_spread(spark, tmp_path):
+    folder = one_row_group(spark, tmp_path, 20)
+    for made in (source.command_routes, text.score_gate, text.score_sections):
+        assert "RoundRobinPartitioning" in plan(made(spark, folder))
+
+
+def test_pages_are_spread_and_keep_their_texts(spark, tmp_path):
+    pages = spark.range(700).select(F.col("id").alias("page_id"), F.expr("if(id % 7 = 0, null, concat('<p>a &lt; ', id, '</p>'))").alias("html"))
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    for made, none in ((text.html_text_unescaped, ""), (text.html_text_dom, None)):
+        rows = made(spark, str(tmp_path))
+        assert "RoundRobinPartitioning" in plan(rows)
+        assert {r["page_id"]: r["text"] for r in rows.collect()} == {i: none if i % 7 == 0 else f"a < {i}" for i in range(700)}
+
+
+def test_buckets_are_broadcast(spark):
+    rows = spark.range(10).select(F.col("id").alias("doc_id"), incremental._bits("id").alias("bits"))
+    placed = incremental._placed(rows, ["0", "10", "11"], "bits", "leaf")
+    assert "BroadcastHashJoin" in plan(placed)
+    assert all(r["bits"].startswith(r["leaf"]) for r in placed.collect()) and placed.count() == 10
+
+
+def test_files_of_changes_grow_with_the_partitions(spark, tmp_path, monkeypatch):
+    folder = one_row_group(spark, tmp_path)
+    monkeypatch.setattr(stream_queries, "scratch_path", lambda _, name: f"{tmp_path}/{name}")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        stream_queries._changes(spark, folder)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(list(tmp_path.glob("changes/*.parquet"))) == 16
+
+
+def test_small_forms_of_every_document(spark, tmp_path):
+    docs = spark.createDataFrame([(-1, "<a>"), (-3, None), (None, "x"), (4, "y")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in source.small_forms(spark, str(tmp_path)).collect()}
+    assert set(rows) == {-1, -3, None, 4}
+    assert rows[-1]["html"] and rows[-1]["boolish"] is None and rows[-3]["ddr"] == "ABC-000997" and rows[None]["is_test"] is False
