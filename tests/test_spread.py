@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from skein.operators import symbols
+from skein.operators import describe, members, symbols
 from skein.plans import code_queries as code
 from skein.plans import source_queries as source
 from skein.plans import stream_queries
@@ -80,3 +80,23 @@ def test_small_forms_of_every_document(spark, tmp_path):
     rows = {r["doc_id"]: r for r in source.small_forms(spark, str(tmp_path)).collect()}
     assert set(rows) == {-1, -3, None, 4}
     assert rows[-1]["html"] and rows[-1]["boolish"] is None and rows[-3]["ddr"] == "ABC-000997" and rows[None]["is_test"] is False
+
+
+def test_only_what_is_asked_for_is_read(spark, tmp_path):
+    folder = one_row_group(spark, tmp_path, 20)
+    files = code._files(spark, folder, code._CONTROLLER, code._action, "    }\n}\n", "src/{i}Controller.cs")
+    everything = members.with_types(files).orderBy("path").collect()
+    for asked in (describe.ENDPOINTS, describe.CLASSES, describe.INTERFACES, describe.ROUTES, describe.ENTITY_URLS, describe.HEADER_FIELDS):
+        some = members.with_types(files, asked=asked)
+        assert set(some.columns) == {"path", *asked.fields}
+        for part, whole in zip(some.orderBy("path").collect(), everything, strict=True):
+            part, whole = part.asDict(True), whole.asDict(True)
+            kept = [{k: m[k] for k in asked.members} for m in whole["members"] if m["kind"] in asked.kinds]
+            assert part == {k: whole[k] for k in part if k != "members"} | ({"members": kept} if "members" in part else {})
+
+
+def test_header_fields_read_files_once(spark, tmp_path):
+    folder = one_row_group(spark, tmp_path, 20)
+    rows = code.header_fields(spark, folder)
+    assert "MapInArrow" not in plan(rows)  # both sides of the join come from a table
+    assert plan(code.controller_routes(spark, folder)).count("MapInArrow") == 1
