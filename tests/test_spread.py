@@ -1,7 +1,11 @@
 """A table of one row group is one task of a scan; what follows must not be."""
 
+import weakref
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from skein.functions import python
 from skein.operators import describe, members, symbols
 from skein.plans import code_queries as code
 from skein.plans import source_queries as source
@@ -100,3 +104,18 @@ def test_header_fields_read_files_once(spark, tmp_path):
     rows = code.header_fields(spark, folder)
     assert "MapInArrow" not in plan(rows)  # both sides of the join come from a table
     assert plan(code.controller_routes(spark, folder)).count("MapInArrow") == 1
+
+
+def test_batches_are_let_go_before_the_next_is_read(monkeypatch):
+    monkeypatch.setattr(python.F, "arrow_udf", lambda f, _: lambda c: f)
+    refs, gone = [], []
+
+    def batches():
+        for _ in range(3):
+            made = [pa.array(["a", None])]
+            refs.append(weakref.ref(made[0]))
+            yield made.pop()
+            gone.append(refs[-1]() is None)
+
+    assert [x.to_pylist() for x in python._each(str.upper, "x")(batches())] == [["A", None]] * 3
+    assert gone == [True] * 3
