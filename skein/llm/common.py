@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
-from ..storage import materialize, partitions, scratch_path, shared_folder
+from ..storage import LARGE_ROWS, materialize, partitions, scratch_path, shared_folder
 
-__all__ = ["SPACE", "WORD", "forget_memos", "identity", "materialize", "n_words", "partitions", "remembers", "scratch_path", "shared_folder", "table"]
+__all__ = ["LARGE_ROWS", "SPACE", "WORD", "forget_memos", "identity", "materialize", "n_words", "partitions", "remembers", "scratch_path", "shared_folder", "table"]
 
 #: A word: a run of characters other than ASCII white space (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"

@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import LARGE_ROWS, materialize, table
 from .hashing import CHUNK, MARKS, Words
 
 #: A term (fixed by the contract).
@@ -55,7 +55,7 @@ class _Block:
         self._words, self._most_rows, self._most_bytes = words, most_rows, most_bytes
         self.rows: list[tuple[bool, int]] = []  # absent, doc_id
         self.size = self._waiting = 0
-        self._found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # term hashes, rows, counts
+        self._found: tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]] = [], [], []  # term hashes, rows, counts
         self._names: dict[int, bytes] = {}
         self._held: list[bytes] = []
 
@@ -89,32 +89,56 @@ class _Block:
                 if (x := int(h[k])) not in self._names:
                     n = order[k]
                     self._names[x] = data[at + starts[n] : at + stops[n]].lower()
-            self._found.append((h[new], row[new], counts))
+            for own, x in zip(self._found, (h[new], row[new].astype(np.int32), counts.astype(np.int32)), strict=True):
+                own.append(x)
 
-    def record(self) -> list | None:
-        """The block as a row of _BLOCKS; none if no row has a term."""
+    def record(self) -> pa.RecordBatch | None:
+        """The block as a row of _BLOCKS; none if no row has a term.  The block lets go of what it holds."""
         if self._held:
             self._count()
-        if not self._found:
+        if not self._found[0]:
             return None
-        h, row, counts = (np.concatenate(x) for x in zip(*self._found, strict=True))
-        lengths = np.bincount(row, counts, len(self.rows)).astype(np.int64)
+        lengths = np.zeros(len(self.rows), np.int64)
+        for row, counts in zip(*self._found[1:], strict=True):
+            lengths += np.bincount(row, counts, len(lengths)).astype(np.int64)
         live = np.flatnonzero(lengths)
         order = sorted(live.tolist(), key=self.rows.__getitem__)  # places in order of doc_id: ties go to the first
-        place = np.zeros(len(self.rows), np.int64)
-        place[order] = np.arange(len(order))
-        known, term = np.unique(h, return_inverse=True)
-        key = term * len(self.rows) + place[row]
-        by = np.argsort(key, kind="stable")
-        key, counts = key[by], counts[by]
-        new = np.flatnonzero(np.diff(key, prepend=-1))  # a long text may have a term in several slices
-        counts = np.add.reduceat(counts, new)
-        term, place = np.divmod(key[new], len(self.rows))
-        names = [self._names[x].decode("utf-8", "surrogatepass") for x in known.tolist()]
-        return [
-            len(order), int(lengths.sum()), np.array([self.rows[r][1] for r in order], np.int64).tobytes(), bytes(self.rows[r][0] for r in order),
-            lengths[order].tobytes(), names, np.bincount(term, minlength=len(known)).tolist(), place.astype(np.uint16).tobytes(), counts.astype(np.int64).tobytes(),
+        at = np.zeros(len(self.rows), np.uint16)
+        at[order] = np.arange(len(order))
+        h, place, counts = self._joined(0), at[self._joined(1)], self._joined(2)
+        by = np.lexsort((place, h))
+        h, place, counts = h[by], place[by], counts[by]
+        del by
+        new = np.flatnonzero(_changes(h) | _changes(place))  # a long text may have a term in several slices
+        h, place, counts = h[new], place[new], np.add.reduceat(counts, new, dtype=np.int32)
+        first = np.flatnonzero(_changes(h))
+        names = pa.array([self._names[x] for x in h[first].tolist()], pa.binary()).cast(pa.string())
+        self._names = {}
+        dfs = pa.array(np.diff(first, append=len(h)).astype(np.int32))
+        each = [
+            pa.array([len(order)]), pa.array([int(lengths.sum())]), _blob(np.array([self.rows[r][1] for r in order], np.int64)), _blob(np.array([self.rows[r][0] for r in order], np.uint8)),
+            _blob(lengths[order]), pa.ListArray.from_arrays([0, len(names)], names), pa.ListArray.from_arrays([0, len(dfs)], dfs), _blob(place), _blob(counts),
         ]
+        return pa.RecordBatch.from_arrays(each, _names(_BLOCKS))
+
+    def _joined(self, i: int) -> np.ndarray:
+        out = np.concatenate(self._found[i])
+        self._found[i].clear()
+        return out
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Where a value differs from the one before; the first does."""
+    return np.concatenate([[True], x[1:] != x[:-1]])
+
+
+def _blob(x: np.ndarray) -> pa.Array:
+    """The bytes of an array as one binary value, not copied."""
+    return pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, x.nbytes], np.int32)), pa.py_buffer(x)])
+
+
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
 
 
 def _slices(data: bytes, words: Words) -> Iterator[tuple[int, int]]:
@@ -128,12 +152,6 @@ def _slices(data: bytes, words: Words) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def _batch(rows: list[list], schema: str) -> pa.RecordBatch:
-    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
-    fields = [f.split() for f in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(fields)], [n for n, _ in fields])
-
-
 def term_blocks(docs: DataFrame, most_rows: int = BLOCK_ROWS, most_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The terms of docs (doc_id, text) by blocks: which rows hold each, and how often."""
 
@@ -146,11 +164,9 @@ def term_blocks(docs: DataFrame, most_rows: int = BLOCK_ROWS, most_bytes: int =
                 for doc_id, text in zip(batch.column("doc_id").slice(at, 256).to_pylist(), texts.slice(at, 256).to_pylist(), strict=True):
                     block.add(doc_id, text)
                     if block.full:
-                        if record := block.record():
-                            yield _batch([record], _BLOCKS)
+                        yield from filter(None, [block.record()])
                         block = _Block(words, most_rows, most_bytes)
-        if record := block.record():
-            yield _batch([record], _BLOCKS)
+        yield from filter(None, [block.record()])
 
     rows = docs.select("doc_id", "text").where(F.length("text") > 0)
     return rows.mapInArrow(run, _BLOCKS)
@@ -159,24 +175,23 @@ def term_blocks(docs: DataFrame, most_rows: int = BLOCK_ROWS, most_bytes: int =
 def impact_index(blocks: DataFrame, n_docs: int, n_terms: int) -> DataFrame:
     """The impact bits of the terms of blocks, given the number of rows with terms and of all their terms."""
 
-    def bits(lengths: np.ndarray, dfs: np.ndarray, places: np.ndarray, counts: np.ndarray) -> bytes:
+    def bits(lengths: np.ndarray, dfs: np.ndarray, places: np.ndarray, counts: np.ndarray) -> np.ndarray:
         most = LENGTH_SHARE * int(lengths.max()) * n_docs
         exact = lengths if most < 1 << 63 else lengths.astype(object)
         norm = (100 - LENGTH_SHARE + (LENGTH_SHARE * exact * n_docs) // n_terms).astype(np.int64)
+        counts = counts.astype(np.int64)
         impact = (SCALE * counts) // (1000 * counts + 8 * norm[places])
         spread = np.zeros(int(_padded(dfs).sum()) * 8, np.uint32)
         spread[_slots(dfs)] = impact
-        return b"".join(np.packbits((spread >> np.uint32(b)) & np.uint32(1), bitorder="little").tobytes() for b in range(BITS))
+        return np.concatenate([np.packbits((spread >> np.uint32(b)) & np.uint32(1), bitorder="little") for b in range(BITS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
-                row = {n: batch.column(n)[r] for n in batch.schema.names}
-                dfs, places = row["dfs"].values.to_numpy(), np.frombuffer(row["places"].as_py(), np.uint16)
-                slices = bits(np.frombuffer(row["lengths"].as_py(), np.int64), dfs, places, np.frombuffer(row["counts"].as_py(), np.int64))
-                own = {"slices": pa.scalar(slices, pa.binary())}
-                names = [f.split()[0] for f in _INDEX.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array([own.get(n, row.get(n)).as_py()], batch.schema.field(n).type if n in row else pa.binary()) for n in names], names)
+                row = {n: batch.column(n).slice(r, 1) for n in batch.schema.names}
+                lengths, places, counts = (np.frombuffer(row[n][0].as_buffer(), kind) for n, kind in (("lengths", np.int64), ("places", np.uint16), ("counts", np.int32)))
+                row["slices"] = _blob(bits(lengths, row["dfs"][0].values.to_numpy(), places, counts))
+                yield pa.RecordBatch.from_arrays([row[n] for n in _names(_INDEX)], _names(_INDEX))
 
     return blocks.mapInArrow(run, _INDEX)
 
@@ -279,9 +294,9 @@ def _spread(planes: np.ndarray, places: np.ndarray, owner: np.ndarray, slots: np
 
 def _search_block(row: dict, items: list[tuple[int, list[str], list[int]]], vocabulary: pa.Array, k: int, held_terms: int = HELD_TERMS) -> Iterator[tuple[int, int, bool, int]]:
     """(item, doc_id, absent, score) of the best rows of a block for each item; items have a number, terms and factors."""
-    dfs, places = row["dfs"].values.to_numpy(), np.frombuffer(row["places"].as_py(), np.uint16)
-    slices = np.frombuffer(row["slices"].as_py(), np.uint8).reshape(BITS, -1)
-    ids, absent = np.frombuffer(row["ids"].as_py(), np.int64), row["absent"].as_py()
+    dfs, places = row["dfs"].values.to_numpy(), np.frombuffer(row["places"].as_buffer(), np.uint16)
+    slices = np.frombuffer(row["slices"].as_buffer(), np.uint8).reshape(BITS, -1)
+    ids, absent = np.frombuffer(row["ids"].as_buffer(), np.int64), row["absent"].as_py()
     at = pc.index_in(vocabulary, row["terms"].values)  # where the block has each term of the items
     where = dict(zip(vocabulary.to_pylist(), at.to_pylist(), strict=True))
     first_row, first_byte = np.cumsum(dfs) - dfs, np.cumsum(_padded(dfs)) - _padded(dfs)
@@ -376,9 +391,9 @@ def _asked(index: DataFrame, group: list[tuple[int, list[str], list[int]]], k: i
 
 def build(docs: DataFrame, **sizes: int) -> tuple[DataFrame, DataFrame, int]:
     """Term blocks and impact index of docs (doc_id, text) as tables of the shared folder, and the number of rows with terms."""
-    blocks = materialize(term_blocks(docs, **sizes), "term_blocks")
+    blocks = materialize(term_blocks(docs, **sizes), "term_blocks", **LARGE_ROWS)
     n_docs, n_terms = blocks.agg(F.coalesce(F.sum("n_docs"), F.lit(0)), F.coalesce(F.sum("n_terms"), F.lit(0))).first()
-    return blocks, materialize(impact_index(blocks, n_docs, n_terms), "impact_index"), n_docs
+    return blocks, materialize(impact_index(blocks, n_docs, n_terms), "impact_index", **LARGE_ROWS), n_docs
 
 
 def search(blocks: DataFrame, index: DataFrame, n_docs: int, items: DataFrame, k: int = 10) -> DataFrame:

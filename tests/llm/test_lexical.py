@@ -6,9 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skein.llm import lexical as L
 
@@ -123,3 +125,13 @@ def test_an_item_of_very_many_terms(spark):
 def test_turns_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(L, "ITEM_TERMS", 5)
     check(run(spark, DOCS, ITEMS), ranked(DOCS, set(ITEMS)))
+
+
+def test_row_groups_are_of_few_blocks(spark):
+    """Writers and readers hold a row group whole, so its size may not follow a task's number of blocks."""
+    text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(60_000)), lambda i: F.hex(F.xxhash64("doc_id", i))), " ")
+    docs = spark.range(12, numPartitions=1).toDF("doc_id").withColumn("text", text)
+    for made in L.build(docs, most_rows=4)[:2]:
+        found = [pq.ParquetFile(file.removeprefix("file://")).metadata for file in made.inputFiles()]
+        rows = [m.row_group(i).num_rows for m in found for i in range(m.num_row_groups)]
+        assert rows == [1, 1, 1]
